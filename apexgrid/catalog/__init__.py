@@ -3,7 +3,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_PARTS = ("scalar",)
+_PARTS = ("scalar", "feature_sets")
 
 
 def load():

@@ -266,28 +266,23 @@ GROUP BY c.config_id, c.optimizer, c.sensitivity, p.event_id, p.event_date, p.se
 }
 
 _REF = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\b[bo]_\w+\b")
 
 
-def dependencies(text: str) -> list[str]:
-    """Views needed by ``text``, in definition order."""
-    seen: set[str] = set()
-    todo = [n for n in _REF.findall(text)] + [n for n in re.findall(r"\bb_\w+\b", text) if n in VIEWS]
+def oracle_text(body: str) -> str:
+    """Complete SQL for the oracle engine: needed views as CTEs in order, then ``body``."""
+    from .oracle_views import VIEWS as ORACLE_VIEWS
+    known = {**VIEWS, **ORACLE_VIEWS}
+    body, needed, todo = body.strip(), set(), [n for n in _NAME.findall(body) if n in known]
     while todo:
         n = todo.pop()
-        if n in VIEWS and n not in seen:
-            seen.add(n)
-            todo += _REF.findall(VIEWS[n])
-    return [n for n in VIEWS if n in seen]
-
-
-def oracle_text(body: str) -> str:
-    """Complete SQL for the oracle engine: needed views as CTEs, then ``body``."""
-    body = body.strip()
-    ctes = [f"{n} AS ({_REF.sub(lambda m: m.group(1), VIEWS[n]).strip()})" for n in dependencies(body)]
+        if n not in needed:
+            needed.add(n)
+            todo += [m for m in _NAME.findall(known[n]) if m in known]
+    ctes = [f"{n} AS ({_REF.sub(lambda m: m.group(1), t).strip()})" for n, t in known.items() if n in needed]
     head = re.match(r"(?i)with\s+(recursive\s+)?", body)
     if head:
-        ctes.append(body[head.end():])
-        return "WITH RECURSIVE " + ",\n".join(ctes)
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[head.end():]])
     return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
