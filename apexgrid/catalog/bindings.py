@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import stage
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -286,6 +288,11 @@ def oracle_text(body: str) -> str:
     return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+# event-grain inputs of the larger jobs, in dependency order
+RACING = ("b_agg", "b_event", "b_driver", "b_spine", "b_rank", "b_result", "b_quali", "b_overtake", "b_score", "b_total", "b_ctotal", "b_price", "b_cprice", "b_pred")
+
+
 class Bindings:
     """Lazy views over one data directory: ``v.b_result``, ``v.lineitem`` …"""
 
@@ -302,5 +309,15 @@ class Bindings:
                 self._made[name] = self.sql(VIEWS[name])
         return self._made[name]
 
+    def stage(self, *names: str) -> "Bindings":
+        """Keep the named views as written tables, once per application and data directory."""
+        app = self.spark.sparkContext.applicationId
+        for n in names:
+            key = (app, self.dir, n)
+            if key not in _STAGED:
+                _STAGED[key] = stage(getattr(self, n), n)
+            self._made[n] = _STAGED[key]
+        return self
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: getattr(self, n) for n in set(_REF.findall(text))})

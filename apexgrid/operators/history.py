@@ -33,6 +33,17 @@ def stack(spine: DataFrame, **facts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def merge_days(df: DataFrame, entity: list[str], key: list[str], facts: list[str]) -> DataFrame:
+    """One row per (key, day): the spine columns and facts of that day side by side.
+
+    The frame is partitioned by ``entity`` once; this aggregate and every window over
+    keys that contain the entity then run without another shuffle.
+    """
+    rest = [c for c in df.columns if c not in (*entity, *key, "day", *facts, "is_spine")]
+    keep = [F.max(c).alias(c) for c in rest] + [F.first(c, ignorenulls=True).alias(c) for c in facts]
+    return df.repartition(*entity).groupBy(*dict.fromkeys([*entity, *key, "day"])).agg(*keep, F.max("is_spine").alias("is_spine"))
+
+
 def before(key: list[str]) -> Window:
     """All rows of the entity on strictly earlier days."""
     return Window.partitionBy(*key).orderBy("day").rangeBetween(UP, -1)
@@ -43,6 +54,11 @@ def up_to(key: list[str]) -> Window:
     return Window.partitionBy(*key).orderBy("day").rangeBetween(UP, 0)
 
 
+def last(key: list[str], number: str, n: int) -> Window:
+    """Frame of the last ``n`` facts, where ``number`` counts the facts on earlier days."""
+    return Window.partitionBy(*key).orderBy(number).rangeBetween(-n, -1)
+
+
 def last_n(df: DataFrame, key: list[str], fact: str, n: int, out: str) -> DataFrame:
     """Array ``out`` of the last ``n`` facts before each row's day, oldest first.
 
@@ -50,8 +66,7 @@ def last_n(df: DataFrame, key: list[str], fact: str, n: int, out: str) -> DataFr
     """
     num = f"_no_{out}"
     df = df.withColumn(num, F.count(fact).over(before(key)))
-    w = Window.partitionBy(*key).orderBy(num).rangeBetween(-n, -1)
-    return df.withColumn(out, F.collect_list(fact).over(w)).drop(num)
+    return df.withColumn(out, F.collect_list(fact).over(last(key, num, n))).drop(num)
 
 
 def asof_latest(left: DataFrame, right: DataFrame, key: list[str], values: list[str]) -> DataFrame:

@@ -62,6 +62,7 @@ class Tables:
 
     @classmethod
     def of(cls, v) -> "Tables":
+        v.stage("b_agg", "b_event", "b_driver", "b_spine", "b_rank", "b_result", "b_quali", "b_overtake", "b_score", "b_total", "b_price")
         return cls(v.b_spine, v.b_result, v.b_quali, v.b_lap, v.b_weather, v.b_price, v.b_total, v.b_session)
 
 
@@ -127,17 +128,10 @@ def driver_history(t: Tables) -> DataFrame:
         score=t.total.select("code", d, F.col("race_total").cast("double").alias("total")),
         price=t.price.select("code", d, "pick_percentage", F.col("price_change").cast("double").alias("price_change")))
     code = ["code"]
-    df = H.last_n(df, code, "race", 10, "races")
-    df = H.last_n(df, code, "quali", 5, "qualis")
-    df = H.last_n(df, code, "score", 5, "scores")
-    df = H.last_n(df, ["code", "circuit_id"], "race", 3, "at_circuit")
+    df = H.merge_days(df, code, [], ["race", "quali", "score", "price"])
     w, ws = H.before(code), H.before(["code", "driver_id"])
     placed = F.col("race.position")
-    df = (df.withColumn("_first5", F.when(F.count("score").over(w) < 5, F.col("score")))
-          .withColumn("_placed", F.when(placed.isNotNull(), F.col("race"))))
-    df = H.last_n(df, ["code", "driver_id"], "_placed", 20, "placed20")
-    return df.withColumns({
-        "oldest_scores": F.collect_list("_first5").over(w),
+    df = df.withColumns({
         "signal": F.last("price", ignorenulls=True).over(H.up_to(code)),
         "starts": F.count("race").over(w),
         "wet_starts": F.count_if(F.col("race.wet")).over(w) + F.count_if(F.col("quali.wet")).over(w),
@@ -147,7 +141,21 @@ def driver_history(t: Tables) -> DataFrame:
         "dry_mean": F.avg(F.when(~F.col("race.wet"), placed)).over(w),
         "season_points": F.sum("race.points").over(ws),
         "season_starts": F.count("race").over(ws),
-    }).where("is_spine").drop("race", "quali", "score", "price", "is_spine", "_first5", "_placed")
+        "_first5": F.when(F.count("score").over(w) < 5, F.col("score")),
+        "_placed": F.when(placed.isNotNull(), F.col("race")),
+        "_n_race": F.count("race").over(w), "_n_quali": F.count("quali").over(w), "_n_score": F.count("score").over(w),
+        "_n_circuit": F.count("race").over(H.before(["code", "circuit_id"])),
+        "_n_own": F.count(F.when(placed.isNotNull(), 1)).over(ws),
+    })
+    return df.withColumns({
+        "oldest_scores": F.collect_list("_first5").over(w),
+        "scores": F.collect_list("score").over(H.last(code, "_n_score", 5)),
+        "at_circuit": F.collect_list("race").over(H.last(["code", "circuit_id"], "_n_circuit", 3)),
+        "placed20": F.collect_list("_placed").over(H.last(["code", "driver_id"], "_n_own", 20)),
+        "qualis": F.collect_list("quali").over(H.last(code, "_n_quali", 5)),
+        "races": F.collect_list("race").over(H.last(code, "_n_race", 10)),
+    }).where("is_spine").drop("race", "quali", "score", "price", "is_spine", "_first5", "_placed",
+                              "_n_race", "_n_quali", "_n_score", "_n_circuit", "_n_own")
 
 
 def driver_columns(hist: DataFrame, p: Params = DEFAULTS, trend: str = "latest") -> DataFrame:
@@ -229,8 +237,8 @@ def team_frame(t: Tables) -> DataFrame:
             F.avg("position").alias("mean"), F.sum("points").alias("points"), F.count(F.lit(1)).alias("n"))
 
     race, quali = per_event(t.race), per_event(t.quali)
-    df = H.stack(spine, race=race, quali=quali)
     season = ["team_code", "team_id"]
+    df = H.merge_days(H.stack(spine, race=race, quali=quali), ["team_code"], season, ["race", "quali"])
     df = df.withColumns({"_rm": F.when(F.col("race.mean").isNotNull(), F.struct("race.mean")),
                          "_qm": F.when(F.col("quali.mean").isNotNull(), F.struct("quali.mean"))})
     df = H.last_n(df, season, "race", 10, "races")

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,20 +15,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; a folder of our own is set only
-    where the session has none, which is the case in local tests.
+    A folder of our own is set only where the session has none, as in local tests.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="apexgrid-ckpt-"))
-    return df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="apexgrid-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    This cuts the lineage, survives lost executors, and gives later plans a columnar
+    scan with true sizes, so joins are chosen by the measured bytes of each side.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
