@@ -37,7 +37,7 @@ def first_containing(rows: DataFrame, events: DataFrame, text: str, within: list
 def matched(pred: DataFrame, actual: DataFrame) -> DataFrame:
     """Predictions with an actual position and actual points."""
     a = actual.where(F.col("position").isNotNull() & F.col("actual_points").isNotNull())
-    return pred.join(a.select("event_id", "driver_id", F.col("position").cast("double").alias("actual_position"), "actual_points"), ["event_id", "driver_id"])
+    return pred.join(a.select("event_id", "driver_id", F.col("position").cast("double").alias("actual_position"), F.col("actual_points").cast("double").alias("actual_points")), ["event_id", "driver_id"])
 
 
 def session_actuals(results: DataFrame, scores: DataFrame, session_type: str, event_types: list[str]) -> DataFrame:
