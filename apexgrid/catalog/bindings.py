@@ -10,6 +10,7 @@ scale: events grow with the suppliers, the rows of one event do not.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -288,6 +289,12 @@ def oracle_text(body: str) -> str:
     return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
+def _needs(name: str) -> set[str]:
+    """All views below ``name``."""
+    direct = {n for n in _REF.findall(VIEWS[name]) if n in VIEWS}
+    return direct.union(*map(_needs, direct)) if direct else direct
+
+
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 # event-grain inputs of the larger jobs, in dependency order
 RACING = ("b_agg", "b_event", "b_driver", "b_spine", "b_rank", "b_result", "b_quali", "b_overtake", "b_score", "b_total", "b_ctotal", "b_price", "b_cprice", "b_pred")
@@ -309,14 +316,22 @@ class Bindings:
                 self._made[name] = self.sql(VIEWS[name])
         return self._made[name]
 
+    def keep(self, name: str, make) -> DataFrame:
+        """A derived table, written once per application and data directory."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STAGED:
+            _STAGED[key] = stage(make(), name)
+        return _STAGED[key]
+
     def stage(self, *names: str) -> "Bindings":
-        """Keep the named views as written tables, once per application and data directory."""
-        app = self.spark.sparkContext.applicationId
-        for n in names:
-            key = (app, self.dir, n)
-            if key not in _STAGED:
-                _STAGED[key] = stage(getattr(self, n), n)
-            self._made[n] = _STAGED[key]
+        """Use the named views as written tables; independent ones are written side by side."""
+        todo = [n for n in VIEWS if n in names]
+        while todo:
+            ready = [n for n in todo if not _needs(n) & set(todo)]
+            with ThreadPoolExecutor(4) as pool:
+                tables = list(pool.map(lambda n: self.keep(n, lambda: self.sql(VIEWS[n])), ready))
+            self._made.update(zip(ready, tables))
+            todo = [n for n in todo if n not in ready]
         return self
 
     def sql(self, text: str) -> DataFrame:

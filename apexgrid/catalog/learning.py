@@ -3,8 +3,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J, ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK, windows as W
 from ..plans import backtest as BT, features as FS, models as M, training as TR
-from ..session import stage
-from .bindings import RACING, _STAGED
+from .bindings import RACING
 from .lineups import oracle_scores
 from .registry import query
 from .scores_prices import nested_lineups, price_state
@@ -15,23 +14,18 @@ _Y = "r.position AS y_position, coalesce(t.race_total, r.points) AS y_points, de
 
 
 def feature_table(v, version: str):
-    """Feature set as a written table, once per application and data directory."""
+    """Feature set as a written table."""
     v.stage(*RACING)
-    k = (v.spark.sparkContext.applicationId, v.dir, f"features-{version}")
-    if k not in _STAGED:
-        _STAGED[k] = stage(FS.features(FS.Tables.of(v), version), f"features-{version}")
-    return _STAGED[k]
+    return v.keep(f"features-{version}", lambda: FS.features(FS.Tables.of(v), version))
 
 
 def training_table(v, family: str):
-    k = (v.spark.sparkContext.applicationId, v.dir, f"training-{family}")
-    if k not in _STAGED:
+    def make():
         if family == "qualifying":
-            df = TR.quali_training_set(feature_table(v, "v4"), v.b_quali, v.b_score)
-        else:
-            df = TR.race_training_set(feature_table(v, "race" if family == "race" else "v4"), v.b_result, v.b_total)
-        _STAGED[k] = stage(df, f"training-{family}")
-    return _STAGED[k]
+            return TR.quali_training_set(feature_table(v, "v4"), v.b_quali, v.b_score)
+        return TR.race_training_set(feature_table(v, "race" if family == "race" else "v4"), v.b_result, v.b_total)
+
+    return v.keep(f"training-{family}", make)
 
 
 @query("fs07_race_training_set", f"""SELECT r.event_id, r.driver_id, o.position_mean_last3, o.fp_sector1_rank, {_Y} FROM b_result r JOIN o_all o ON o.event_id = r.event_id AND o.driver_id = r.driver_id
@@ -87,12 +81,9 @@ def _(v):
 
 
 def walk_predictions(v, version="v4"):
-    k = (v.spark.sparkContext.applicationId, v.dir, f"walk-{version}")
-    if k not in _STAGED:
-        table = training_table(v, "v4")
-        field = stage(W.event_index(feature_table(v, "v4"), []), "field")
-        _STAGED[k] = stage(BT.predictions(table, field, FS.V4, version), f"walk-{version}")
-    return _STAGED[k]
+    table = training_table(v, "v4")
+    field = v.keep("field", lambda: W.event_index(feature_table(v, "v4"), []))
+    return v.keep(f"walk-{version}", lambda: BT.predictions(table, field, FS.V4, version))
 
 
 @query("evl07_model_walk_forward")

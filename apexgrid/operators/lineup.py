@@ -99,6 +99,11 @@ def _frame(keys, rows, results) -> pd.DataFrame:
     return out
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks for CPU-bound rows: small in bytes, so size-based coalescing would serialise them."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def solve(grid: DataFrame, key: list[str], method: str, budget: float | None = None, p: Params = DEFAULTS, spread: int | None = None) -> DataFrame:
     """Line-up of every grid row: ``greedy``, ``upgraded``, ``exact`` or ``sampled``.
 
@@ -118,7 +123,7 @@ def solve(grid: DataFrame, key: list[str], method: str, budget: float | None = N
                 res.append(choose(r, method, b, p, None if prev is None else (list(prev), list(r.prev_teams)), int(getattr(r, "free", p.free_transfers))))
             yield _frame(key, rows, res)
 
-    return (grid if spread is None else grid.repartition(spread, *key)).mapInPandas(run, schema)
+    return grid.repartition(spread or tasks(grid), *key).mapInPandas(run, schema)
 
 
 def season_walk(grid: DataFrame, key: list[str], season: str, order: str, method: str, p: Params = DEFAULTS) -> DataFrame:
@@ -143,7 +148,8 @@ def season_walk(grid: DataFrame, key: list[str], season: str, order: str, method
         out["n_transfers"] = moved
         return out
 
-    return grid.groupBy(*dict.fromkeys(group)).applyInPandas(run, schema)
+    group = list(dict.fromkeys(group))
+    return grid.repartition(tasks(grid), *group).groupBy(*group).applyInPandas(run, schema)
 
 
 def prediction_grid(pred: DataFrame, prices: DataFrame, cprices: DataFrame, drivers: DataFrame, key: list[str] = ["event_id"], prune: bool = False) -> DataFrame:

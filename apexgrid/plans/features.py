@@ -59,11 +59,13 @@ class Tables:
     price: DataFrame     # driver prices
     total: DataFrame     # one points total per (event, driver)
     session: DataFrame   # session rows
+    stints: DataFrame | None = None  # ``stint_frame`` of the laps, if already written
 
     @classmethod
     def of(cls, v) -> "Tables":
         v.stage("b_agg", "b_event", "b_driver", "b_spine", "b_rank", "b_result", "b_quali", "b_overtake", "b_score", "b_total", "b_price")
-        return cls(v.b_spine, v.b_result, v.b_quali, v.b_lap, v.b_weather, v.b_price, v.b_total, v.b_session)
+        return cls(v.b_spine, v.b_result, v.b_quali, v.b_lap, v.b_weather, v.b_price, v.b_total, v.b_session,
+                   v.keep("stints", lambda: stint_frame(v.b_lap)))
 
 
 # --- weekend ---------------------------------------------------------------
@@ -304,7 +306,7 @@ def stint_frame(laps: DataFrame) -> DataFrame:
 
 def practice_frame(t: Tables) -> DataFrame:
     """Practice columns per (event, driver)."""
-    stints = stint_frame(t.laps)
+    stints = stint_frame(t.laps) if t.stints is None else t.stints
     long_run = F.col("n_run") >= 5
     fp2 = long_run & (F.col("session_type") == "FP2")
     per = stints.groupBy(*KEYS).agg(
