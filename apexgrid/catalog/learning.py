@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import joins as J, ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK, windows as W
-from ..plans import backtest as BT, features as FS, models as M, training as TR
+from ..plans import backtest as BT, features as FS, models as M, training as TR, walk as WK
 from .bindings import RACING
 from .lineups import oracle_scores
 from .registry import query
@@ -83,6 +83,8 @@ def _(v):
 def walk_predictions(v, version="v4"):
     table = training_table(v, "v4")
     field = v.keep("field", lambda: W.event_index(feature_table(v, "v4"), []))
+    if version == "v4":
+        return v.keep("walk-v4", lambda: WK.rank_forward(table, field, FS.V4).select(*BT.PRED))
     return v.keep(f"walk-{version}", lambda: BT.predictions(table, field, FS.V4, version))
 
 

@@ -126,10 +126,8 @@ SELECT event_id, exp(-ln(2) / 10 * (max(i) OVER () - i)) AS weight FROM (
 def _(v):
     from ..operators.windows import event_index
     idx = event_index(v.b_event, [])
-    latest = idx.agg(F.max("event_index").alias("latest"))
-    # one row on the right: the latest index of all events
-    return idx.join(F.broadcast(latest), F.col("event_index") <= F.col("latest")).select(
-        "event_id", S.recency_weight(F.col("event_index"), F.col("latest")).alias("weight"))
+    latest = idx.agg(F.max("event_index")).scalar()
+    return idx.select("event_id", S.recency_weight(F.col("event_index"), latest).alias("weight"))
 
 
 @query("fn18_team_alias", """

@@ -83,8 +83,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, values: list[str], key: list
     the right side is a short sorted array per key and the search is a map-side filter.
     """
     key = key or []
-    cal = right.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("day", *values))).alias("_cal"))
-    j = left.join(cal, key, "left") if key else left.join(F.broadcast(cal))
+    dates = F.array_sort(F.collect_list(F.struct("day", *values))).alias("_cal")
+    # without a key there is one calendar: a scalar subquery, evaluated once
+    j = left.join(right.groupBy(*key).agg(dates), key, "left") if key else left.withColumn("_cal", right.agg(dates).scalar())
     nxt = F.try_element_at(F.filter("_cal", lambda e: e["day"] >= F.col("day")), F.lit(1))
     prev = F.try_element_at(F.filter("_cal", lambda e: e["day"] < F.col("day")), F.lit(-1))
     return j.withColumn("_f", F.coalesce(nxt, prev)).select(*left.columns, *[F.col(f"_f.{c}").alias(c) for c in values])

@@ -7,6 +7,7 @@ never built: one weighted least-squares pass over the rows gives the pairwise so
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
@@ -42,9 +43,13 @@ def weighted(train: DataFrame, half_life: float | None) -> DataFrame:
     """Column ``w``: halves every ``half_life`` events back from the newest training event."""
     if half_life is None:
         return train.withColumn("w", F.lit(1.0))
-    latest = train.agg(F.max("event_index").alias("_latest"))  # one row
-    return train.join(F.broadcast(latest), F.col("event_index") <= F.col("_latest")).withColumn(
-        "w", S.recency_weight(F.col("event_index"), F.col("_latest"), half_life)).drop("_latest")
+    latest = train.agg(F.max("event_index")).scalar()
+    return train.withColumn("w", S.recency_weight(F.col("event_index"), latest, half_life))
+
+
+def _bucket(cuts: list[float], p):
+    """Prediction bucket: how many cuts lie below."""
+    return sum((F.when(p > c, 1).otherwise(0) for c in cuts), F.lit(0))
 
 
 def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -59,27 +64,27 @@ class TreeModel:
     spec: TreeSpec
     position: object = None
     points: object = None
-    residuals: DataFrame | None = None
+    sd: float = 0.0
+    cuts: list[float] = field(default_factory=list)
+    table: list[dict] = field(default_factory=list)
 
     def fit(self, train: DataFrame) -> "TreeModel":
         s = self.spec
         data = _assembled(weighted(train, s.half_life), self.cols).select("x", "w", "y_position", "y_points").persist()
         gbt = lambda label: GBTRegressor(featuresCol="x", labelCol=label, weightCol="w", predictionCol="_p", maxIter=s.trees,
                                          maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.subsample, seed=s.seed).fit(data)
-        self.position, self.points = gbt("y_position"), gbt("y_points")
+        with ThreadPoolExecutor(2) as pool:  # two independent fits
+            self.position, self.points = pool.map(gbt, ("y_position", "y_points"))
         res = self.points.transform(data).select("w", "_p", (F.col("y_points") - F.col("_p")).alias("r"))
         if s.bounds == "std":
-            self.residuals = res.agg(F.stddev_pop("r").alias("hi"), (-F.stddev_pop("r")).alias("lo"))
+            self.sd = float(res.agg(F.stddev_pop("r")).first()[0] or 0.0)
         else:
             # residual quantiles inside prediction buckets; weights enter as repetitions of the sorted values
-            cuts = res.agg(F.percentile_approx("_p", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"))
-            b = F.size(F.filter("cuts", lambda c: c < F.col("_p")))
+            cuts = [float(c) for c in res.agg(F.percentile_approx("_p", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0]]
             freq = F.greatest(F.round(F.col("w") * 100).cast("bigint"), F.lit(1))
-            per = res.join(F.broadcast(cuts)).withColumn("b", b).groupBy("b").agg(
+            per = res.withColumn("b", _bucket(cuts, F.col("_p"))).groupBy("b").agg(
                 F.percentile("r", F.lit(0.1), freq).alias("lo"), F.percentile("r", F.lit(0.9), freq).alias("hi"))
-            # at most BUCKETS rows: kept as one row of arrays
-            self.residuals = per.agg(F.sort_array(F.collect_list(F.struct("b", "lo", "hi"))).alias("table")).join(F.broadcast(cuts))
-        self._bounds = self.residuals.first().asDict(recursive=True)
+            self.cuts, self.table = cuts, [r.asDict() for r in per.collect()]  # at most BUCKETS rows
         data.unpersist()
         return self
 
@@ -89,11 +94,10 @@ class TreeModel:
         out = self.points.transform(out).withColumnRenamed("_p", "predicted_points").drop("x")
         p = F.col("predicted_points")
         if self.spec.bounds == "std":
-            lo, hi = p + F.lit(self._bounds["lo"]), p + F.lit(self._bounds["hi"])
+            lo, hi = p - F.lit(self.sd), p + F.lit(self.sd)
         else:
-            cuts = F.array(*[F.lit(float(c)) for c in self._bounds["cuts"]])
-            table = F.create_map(*[x for t in self._bounds["table"] for x in (F.lit(t["b"]), F.struct(F.lit(t["lo"]).alias("lo"), F.lit(t["hi"]).alias("hi")))])
-            hit = F.try_element_at(table, F.size(F.filter(cuts, lambda c: c < p)))
+            table = F.create_map(*[x for t in self.table for x in (F.lit(t["b"]), F.struct(F.lit(t["lo"]).alias("lo"), F.lit(t["hi"]).alias("hi")))])
+            hit = F.try_element_at(table, _bucket(self.cuts, p))
             lo, hi = p + F.coalesce(hit["lo"], F.lit(0.0)), p + F.coalesce(hit["hi"], F.lit(0.0))
         return out.withColumns({"lower": F.least(lo, hi), "upper": F.greatest(lo, hi)})
 
@@ -173,13 +177,16 @@ def search(train: DataFrame, cols: list[str], specs: list[TreeSpec], folds: int
     last = train.agg(F.max("event_index")).first()[0]
     cuts = [round((last + 1) * (i + 1) / (folds + 1)) for i in range(folds + 1)]
     data = _assembled(train, cols).select("x", "event_index", "y_position").persist()
-    rows = []
-    for i, s in enumerate(specs):
-        for f in range(folds):
-            gbt = GBTRegressor(featuresCol="x", labelCol="y_position", predictionCol="_p", maxIter=s.trees, maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.subsample, seed=s.seed)
-            m = gbt.fit(data.where(F.col("event_index") < cuts[f]))
-            test = data.where((F.col("event_index") >= cuts[f]) & (F.col("event_index") < cuts[f + 1]))
-            rows.append((i, s.trees, s.depth, s.step, s.subsample, f, m.transform(test).agg(F.avg(F.abs(F.col("_p") - F.col("y_position")))).first()[0]))
+
+    def one(task):
+        i, s, f = task
+        gbt = GBTRegressor(featuresCol="x", labelCol="y_position", predictionCol="_p", maxIter=s.trees, maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.subsample, seed=s.seed)
+        m = gbt.fit(data.where(F.col("event_index") < cuts[f]))
+        test = data.where((F.col("event_index") >= cuts[f]) & (F.col("event_index") < cuts[f + 1]))
+        return i, s.trees, s.depth, s.step, s.subsample, f, m.transform(test).agg(F.avg(F.abs(F.col("_p") - F.col("y_position")))).first()[0]
+
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(one, [(i, s, f) for i, s in enumerate(specs) for f in range(folds)]))
     data.unpersist()
     out = train.sparkSession.createDataFrame(rows, "spec_id int, trees int, depth int, step double, subsample double, fold int, mae double")
     return out.groupBy("spec_id", "trees", "depth", "step", "subsample").agg(F.avg("mae").alias("mae"))

@@ -14,24 +14,24 @@ KINDS = {"driver_price": "*-drivers.csv", "constructor_price": "*-constructors.c
          "driver_score": "*-all-drivers-performance.csv", "constructor_score": "*-all-constructors-performance.csv"}
 
 
-def _csv_by_name(spark: SparkSession, files: list[str], columns: list[str]) -> DataFrame:
-    """Text columns of CSV files whose headers differ: files are grouped by header, one scan
-    per distinct header (exports change their header rarely)."""
-    heads = spark.read.text(files).select(F.col("value"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+def _csv_by_name(spark: SparkSession, root: str, kind: str, columns: list[str]) -> DataFrame:
+    """Text columns of all files of one kind, by header name.
+
+    Exports differ in their headers, so each line meets the header of its own file (an
+    equi-join on the file path) and becomes a name -> text map; nothing is listed or
+    opened on the driver.
+    """
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", KINDS[kind]).text(root)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"))
+             .where(~F.col("file_name").contains("performance") if kind.endswith("price") else F.lit(True)))
     # the header is the first line of the first block of each file
-    first = heads.where(F.col("b") == 0).withColumn("n", F.monotonically_increasing_id()).groupBy("f").agg(F.min_by("value", "n").alias("head"))
-    groups = first.groupBy("head").agg(F.collect_list("f").alias("files")).collect()
-    out = None
-    for g in groups:
-        names = [h.strip().strip('"').lstrip("﻿") for h in g["head"].split(",")]
-        schema = ", ".join(f"`{n}` STRING" for n in names)
-        df = spark.read.schema(schema).csv(g["files"], header=True, mode="PERMISSIVE")
-        df = df.select(*[F.col(f"`{n}`") for n in names if n in columns], F.col("_metadata.file_name").alias("file_name"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    for c in columns:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-    return out
+    heads = (lines.where("block = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "n").alias("head"))
+             .withColumn("names", F.transform(F.split(F.regexp_replace("head", "[\ufeff\"\r]", ""), ","), lambda x: F.trim(x))))
+    width = len(columns)
+    fields = F.from_csv("value", F.lit(", ".join(f"c{i} STRING" for i in range(width))))
+    rows = lines.join(heads, "path").where((F.col("value") != F.col("head")) & (F.trim("value") != "")).withColumn("_f", fields)
+    named = F.map_from_arrays("names", F.slice(F.array(*[F.col(f"_f.c{i}") for i in range(width)]), F.lit(1), F.size("names")))
+    return rows.withColumn("_m", named).select(*[F.try_element_at("_m", F.lit(c)).alias(c) for c in columns], "file_name")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -44,13 +44,9 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
                             .when(n.endswith("-all-drivers-performance.csv"), "driver_score").when(n.endswith("-all-constructors-performance.csv"), "constructor_score"))
 
 
-def _files(spark, root, kind):
-    return [r["path"] for r in listing(spark, root).where(F.col("kind") == kind).select("path").toLocalIterator()]
-
-
 def price_snapshots(spark: SparkSession, root: str, kind: str = "driver_price") -> DataFrame:
     """Price snapshots: one file per day, the day from the file name."""
-    return type_prices(_csv_by_name(spark, _files(spark, root, kind), PRICE_COLUMNS))
+    return type_prices(_csv_by_name(spark, root, kind, PRICE_COLUMNS))
 
 
 def type_prices(raw: DataFrame, *also: str) -> DataFrame:
@@ -63,7 +59,7 @@ def type_prices(raw: DataFrame, *also: str) -> DataFrame:
 
 def score_lines(spark: SparkSession, root: str, kind: str = "driver_score") -> DataFrame:
     """Scoring line items as exported."""
-    raw = _csv_by_name(spark, _files(spark, root, kind), SCORE_COLUMNS)
+    raw = _csv_by_name(spark, root, kind, SCORE_COLUMNS)
     return raw.select(
         S.year_of_file(F.col("file_name")).alias("season_year"), F.trim(F.coalesce("Driver Name", "Constructor Name")).alias("name"),
         F.trim("Race").alias("race"), F.col("Event Type").alias("event_type"), F.col("Scoring Item").alias("scoring_item"),
