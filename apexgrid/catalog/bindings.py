@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.windows import overtakes
 from ..session import stage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -310,12 +311,17 @@ class Bindings:
         if name.startswith("_") or (name not in TABLES and name not in VIEWS):
             raise AttributeError(name)
         if name not in self._made:
-            if name in TABLES:
-                self._made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            else:
-                self._made[name] = self.sql(VIEWS[name])
+            self._made[name] = self._define(name)
         return self._made[name]
 
+    def _define(self, name: str) -> DataFrame:
+        if name in TABLES:
+            return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name == "b_overtake":
+            # same rows as the SQL text, but no window over all laps of one driver
+            return overtakes(self.b_racelap)
+        return self.sql(VIEWS[name])
+
     def keep(self, name: str, make) -> DataFrame:
         """A derived table, written once per application and data directory."""
         key = (self.spark.sparkContext.applicationId, self.dir, name)
@@ -329,7 +335,7 @@ class Bindings:
         while todo:
             ready = [n for n in todo if not _needs(n) & set(todo)]
             with ThreadPoolExecutor(4) as pool:
-                tables = list(pool.map(lambda n: self.keep(n, lambda: self.sql(VIEWS[n])), ready))
+                tables = list(pool.map(lambda n: self.keep(n, lambda: self._define(n)), ready))
             self._made.update(zip(ready, tables))
             todo = [n for n in todo if n not in ready]
         return self

@@ -57,7 +57,40 @@ def _(v):
     return LN.solve(LN.actual_grid(v.b_total, v.b_ctotal, v.b_price, v.b_cprice, prune=False), ["event_id"], "upgraded").select(*_KEEP)
 
 
-@query("ln01_greedy_lineup")
+def _greedy_sql(src: str, k: int, budget: str) -> str:
+    """Greedy fill as a recursion over the candidates in value order.
+
+    ``fill`` holds, per candidate, the sums of the 0..k-1 cheapest later candidates.
+    """
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY p / cast(x AS double) DESC, id) AS i FROM {src}),
+later AS (SELECT a.event_id, a.i, b.x, row_number() OVER (PARTITION BY a.event_id, a.i ORDER BY b.x, b.i) AS r FROM o a JOIN o b ON b.event_id = a.event_id AND b.i > a.i),
+fill AS (SELECT o.event_id, o.i, o.id, o.x, o.p, {", ".join(f"coalesce(sum(CASE WHEN l.r <= {n} THEN l.x END), 0) AS f{n}" for n in range(k))}
+  FROM o LEFT JOIN later l ON l.event_id = o.event_id AND l.i = o.i GROUP BY 1, 2, 3, 4, 5),
+run AS (
+  SELECT event_id, cast(0 AS bigint) AS i, cast(NULL AS bigint) AS id, 0 AS took, 0 AS got, cast(b AS bigint) AS money FROM {budget} bb
+  UNION ALL
+  SELECT event_id, i, id, took, got + took, money - took * x FROM (
+    SELECT f.event_id, f.i, f.id, f.x, r.got, r.money,
+      CASE WHEN r.got < {k} AND f.x + CASE {k} - r.got - 1 {" ".join(f"WHEN {n} THEN f.f{n}" for n in range(k))} ELSE 0 END <= r.money THEN 1 ELSE 0 END AS took
+    FROM run r JOIN fill f ON f.event_id = r.event_id AND f.i = r.i + 1) q)
+SELECT o.event_id, o.id, o.x, o.p FROM run r JOIN o ON o.event_id = r.event_id AND o.id = r.id WHERE r.took = 1"""
+
+
+_LN01 = f"""
+WITH d AS (SELECT event_id, driver_id AS id, cast(round(price * 10) AS bigint) AS x, cast(pts AS bigint) AS p FROM {_PRED_CARS}),
+t AS (SELECT event_id, team_id AS id, cast(round(price * 10) AS bigint) AS x, cast(pts AS bigint) AS p FROM {_PRED_TEAMS}),
+reserve AS (SELECT event_id, 1000 - sum(x) AS b FROM (SELECT event_id, x, row_number() OVER (PARTITION BY event_id ORDER BY x) AS rn FROM t) z WHERE rn <= 2 GROUP BY 1),
+cars AS (WITH RECURSIVE {_greedy_sql('d', 5, 'reserve')}),
+rest AS (SELECT r.event_id, 1000 - coalesce(sum(c.x), 0) AS b FROM reserve r LEFT JOIN cars c ON c.event_id = r.event_id GROUP BY 1),
+teams AS (WITH RECURSIVE {_greedy_sql('t', 2, 'rest')}),
+c AS (SELECT event_id, count(*) AS n, sum(x) AS x, sum(p) + max(p) AS p, arg_max(id, p * 1000000000 - id) AS boost_id, string_agg(cast(id AS varchar), ',' ORDER BY id) AS ids FROM cars GROUP BY 1),
+q AS (SELECT event_id, count(*) AS n, sum(x) AS x, sum(p) AS p, string_agg(cast(id AS varchar), ',' ORDER BY id) AS ids FROM teams GROUP BY 1)
+SELECT r.event_id, CASE WHEN c.n = 5 AND q.n = 2 THEN (c.x + q.x) / 10.0 END AS total_cost, CASE WHEN c.n = 5 AND q.n = 2 THEN c.p + q.p END AS predicted_points,
+  coalesce(c.n = 5 AND q.n = 2, false) AS feasible, c.boost_id, coalesce(c.ids, '') AS driver_ids, coalesce(q.ids, '') AS team_ids
+FROM reserve r LEFT JOIN c ON c.event_id = r.event_id LEFT JOIN q ON q.event_id = r.event_id"""
+
+
+@query("ln01_greedy_lineup", _LN01, d="total_cost predicted_points", i="boost_id")
 def _(v):
     return LN.solve(_grid(v), ["event_id"], "greedy").select(*_KEEP, "driver_ids", "team_ids")
 

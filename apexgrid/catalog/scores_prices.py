@@ -62,11 +62,13 @@ def _(v):
 
 @query("wn09_running_season_total", "SELECT event_id, driver_id, scoring_item, event_type, sum(points) OVER (PARTITION BY driver_id ORDER BY round_no RANGE UNBOUNDED PRECEDING) AS season_total FROM b_score", i="season_total")
 def _(v):
+    v.stage("b_agg", "b_rank", "b_overtake", "b_score")
     return W.stamp_season_total(v.b_score).select("event_id", "driver_id", "scoring_item", "event_type", "season_total")
 
 
 @query("wn10_stamped_event_total", "SELECT event_id, driver_id, scoring_item, event_type, sum(points) OVER (PARTITION BY driver_id, event_id) AS race_total FROM b_score", i="race_total")
 def _(v):
+    v.stage("b_agg", "b_rank", "b_overtake", "b_score")
     return W.stamp_event_total(v.b_score).select("event_id", "driver_id", "scoring_item", "event_type", "race_total")
 
 
