@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 from ..operators import joins as J, ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK, windows as W
 from ..plans import backtest as BT, features as FS, models as M, training as TR, walk as WK
 from .bindings import RACING
-from .lineups import oracle_scores
+from .lineups import _REAL_CARS, _REAL_TEAMS, _best_sql, oracle_scores
 from .registry import query
-from .scores_prices import nested_lineups, price_state
+from .scores_prices import _LINEUP_PTS, _TEAM_PTS, nested_lineups, price_state
 from .tables import _actuals
 
 KEYS = FS.KEYS
@@ -122,6 +122,15 @@ def _(v):
     return recommendations(v).select("event_id", "strategy", "model_version", "driver_ids", "team_ids", "boost_id", "total_cost", "predicted_points")
 
 
+@query("sc06_submitted_lineups", f"""SELECT a.event_id, a.pts + b.pts AS actual_points, o.best AS oracle_points FROM ({_LINEUP_PTS}) a JOIN ({_TEAM_PTS}) b ON b.event_id = a.event_id
+LEFT JOIN ({_best_sql(_REAL_CARS, _REAL_TEAMS)}) o ON o.event_id = a.event_id""", d="actual_points oracle_points")
+def _(v):
+    v.stage(*RACING)
+    lines = nested_lineups(v)
+    best = oracle_scores(v).select("event_id", F.col("predicted_points").alias("oracle_points"))
+    return SC.lineup_points(lines, v.b_total, v.b_ctotal, ["event_id"]).join(best, "event_id", "left")
+
+
 @query("sc06_post_race_scoring")
 def _(v):
     v.stage(*RACING)
