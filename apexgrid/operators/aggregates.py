@@ -3,8 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..params import PRACTICE
-
 
 def event_totals(scores: DataFrame, entity: str, value: str = "race_total") -> DataFrame:
     """One total per entity and event; the total repeats on every line item."""
@@ -60,7 +58,3 @@ def price_moves(prices: DataFrame, entity: str) -> DataFrame:
 def price_matrix(prices: DataFrame, entity: str, rounds: list[int]) -> DataFrame:
     """One row per entity, one cell per round, null when absent."""
     return prices.groupBy("season_id", entity).pivot("round_no", rounds).agg(F.first("price"))
-
-
-def practice_sessions(session: DataFrame) -> DataFrame:
-    return session.where(F.col("session_type").isin(*PRACTICE))
