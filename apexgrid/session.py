@@ -25,15 +25,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session has none, as in local tests.
+    Only a local session may go without it: it gets a temporary folder, remembered in the session. On a cluster
+    a folder of the driver's machine is invisible to the executors, so a missing setting is an error there.
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("apexgrid.staging.dir", None)
+    if folder:
+        return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="apexgrid-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="apexgrid-")
+    spark.conf.set("apexgrid.staging.dir", folder)
+    return folder
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
