@@ -15,7 +15,8 @@ Documents are compared as sets of distinct five-word shingles. Two link when the
   symmetric difference of the sets, so the filter loses nothing.
 
 Defined cases: null, empty and blank texts have no set, link with nothing and are their own component. A text of under
-five words has one shingle. Rows that repeat a doc_id are one document whose links are united. Other columns are ignored.
+five words has one shingle. Rows that repeat a doc_id are one document whose links are united. Rows without a doc_id
+name no document and are left out. Other columns are ignored.
 """
 from __future__ import annotations
 
@@ -30,17 +31,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
 from .components import connected
-from .shingles import WIDTH, mix, shingles, windows, word_hashes
+from .shingles import WIDTH, mix, shingles_of, windows_of
 
 #: Sets up to this size are considered for subset enumeration; the boundary is at most one more.
 MAX_LIGHT = 12
 #: The most frequent shingles that are moved to the end of the token order. Any order gives the same result.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Shingles of a counting chunk, and the count from which a chunk reports one.
-CHUNK, REPORT = 1 << 20, 8
+CHUNK, REPORT = 1 << 20, 3
 #: Lists up to this length are paired by a join; blocks hold about this many shingles.
 SHORT_LIST, BLOCK = 32, 1 << 19
 SKETCH_BITS = 1024
+#: Bits of the filter that names the documents whose sets are fetched: a bound on what is broadcast, not on documents.
+FETCH_BITS = 1 << 25
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -82,8 +85,8 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
             return pd.DataFrame({"h": h[keep], "n": n[keep]})
 
         for batch in batches:
-            for text in batch["text"]:
-                w = windows(word_hashes(text), width).view(np.int64)
+            for w in windows_of(batch["text"], width):
+                w = w.view(np.int64)
                 held.append(w)
                 size += len(w)
                 if size >= CHUNK:
@@ -110,28 +113,41 @@ def ordered_tokens(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -
     return tokens[order], common[order]
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """One bit per residue: whether an odd number of tokens has it."""
+    odd = np.bincount(tokens & (SKETCH_BITS - 1), minlength=SKETCH_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _token_rows(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, n, digest, prefix, common, small): tokens of each document's inverted lists."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_shingles(docs, width))
+    """(doc_id, n, digest, sketch, prefix, common, small): tokens of each document's inverted lists.
+
+    Of equal sets within a task only the first gets tokens; across tasks copies find each other in the lists.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
+    none = np.empty(0, np.int64)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, rank = shared.value
+        seen = set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                s = shingles(text, width)
-                n = len(s)
-                t, common = ordered_tokens(s, frequent, rank)
-                p = prefix_length(n, percent) if n else 0
-                t, common = t[:p], common[:p]
-                rows.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), t[~common], t[common], s if 0 < n <= MAX_LIGHT else None))
-            out = pd.DataFrame(rows, columns=["n", "digest", "prefix", "common", "small"])
+            for s in shingles_of(batch["text"], width):
+                n, digest = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if n and digest not in seen:
+                    seen.add(digest)
+                    t, common = ordered_tokens(s, frequent, rank)
+                    p = prefix_length(n, percent)
+                    t, common = t[:p], common[:p]
+                    rows.append((n, digest, _parity(s), t[~common], t[common], s if n <= MAX_LIGHT else None))
+                else:
+                    rows.append((n, digest, None, none, none, None))
+            out = pd.DataFrame(rows, columns=["n", "digest", "sketch", "prefix", "common", "small"], dtype=object)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(
-        tokens, "doc_id long, n long, digest binary, prefix array<long>, common array<long>, small array<long>")
+    return docs.filter("doc_id IS NOT NULL").mapInPandas(
+        tokens, "doc_id long, n long, digest binary, sketch array<long>, prefix array<long>, common array<long>, small array<long>")
 
 
 def _boundary(heads: DataFrame, percent: int) -> int:
@@ -149,47 +165,65 @@ def _boundary(heads: DataFrame, percent: int) -> int:
     return min(range(1, MAX_LIGHT + 2), key=work)
 
 
-def _lists(heads: DataFrame, percent: int) -> DataFrame:
-    """(h, id, n): inverted lists of at least two classes."""
-    bound = _boundary(heads, percent)
+def _lists(rows: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(h, id, n): inverted lists that more than one document stands in; ids are those of classes."""
+    bound = _boundary(rows, percent)
     keys = F.udf(lambda t: subset_keys(np.array(t, np.int64), percent), "array<long>")
     in_lists = F.col("n") * 100 >= percent * bound
-    rare = heads.filter(in_lists).select(F.explode("prefix").alias("h"), F.col("doc_id").alias("id"), "n") \
-        .union(heads.filter((F.size("small") > 0) & (F.col("n") < bound)).select(F.explode(keys("small")), "doc_id", "n"))
+    rare = rows.filter(in_lists).select(F.explode("prefix").alias("h"), "doc_id") \
+        .union(rows.filter((F.size("small") > 0) & (F.col("n") < bound)).select(F.explode(keys("small")), "doc_id"))
     w = Window.partitionBy("h")
-    rare = rare.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).filter("lo <> hi").select("h", "id", "n")
-    common = heads.filter(in_lists).select(F.explode("common").alias("h"), F.col("doc_id").alias("id"), "n")
-    return stage(rare.union(common), "lists")
+    rare = rare.withColumns({"lo": F.min("doc_id").over(w), "hi": F.max("doc_id").over(w)}).filter("lo <> hi").select("h", "doc_id")
+    common = rows.filter(in_lists).select(F.explode("common").alias("h"), "doc_id")
+    return stage(rare.union(common).join(placed, "doc_id").select("h", F.col("class_id").alias("id"), "n").distinct(), "lists")
+
 
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, n, tokens) of at least the documents of ``ids(id)``.
+
+    Their ids set bits of a bitmap of fixed size, which the scan of the texts looks up: no text is shuffled. A bit set by
+    another id only adds a set that no join asks for.
+    """
+    slot = 1 + F.pmod(F.xxhash64("id"), F.lit(FETCH_BITS))
+    bits = ids.select(slot.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")) \
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    held = docs.sparkSession.sparkContext.broadcast({r["b"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in bits})
 
-def _sets(docs: DataFrame, lists: DataFrame, width: int) -> DataFrame:
-    """(id, n, sketch, tokens) of the documents that stand in lists."""
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                s = shingles(text, width)
-                odd = np.bincount(s & (SKETCH_BITS - 1), minlength=SKETCH_BITS).astype(np.uint8) & 1
-                rows.append((len(s), np.packbits(odd).view(np.int64), s))
-            out = pd.DataFrame(rows, columns=["n", "sketch", "tokens"])
-            out.insert(0, "id", batch["doc_id"].to_numpy())
-            yield out
+            p = batch["p"].to_numpy()
+            bucket, at = 1 + (p - 1) // 32768, (p - 1) % 32768
+            keep = np.zeros(len(p), bool)
+            for b in np.unique(bucket):
+                table = held.value.get(b)
+                if table is not None:
+                    own = bucket == b
+                    keep[own] = (table[at[own] >> 3] >> (at[own] & 7).astype(np.uint8)) & 1
+            batch = batch[keep]
+            sets = list(shingles_of(batch["text"], width))
+            yield pd.DataFrame({"id": batch["id"].to_numpy(np.int64), "n": np.array([len(s) for s in sets], np.int64), "tokens": pd.Series(sets, dtype=object)})
+
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    return stage(texts.select("id", "text", slot.alias("p")).mapInPandas(build, "id long, n long, tokens array<long>"), "sets")
+
+
+def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sketches do not rule out a link."""
+    def side(x: str) -> DataFrame:
+        return sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-    wanted = lists.select(F.col("id").alias("doc_id")).distinct()
-    return stage(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-                 .mapInPandas(build, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
+    differ = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return pairs.join(side("a"), "a").join(side("b"), "b") \
+        .filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link: the sketches first, then the sets."""
-    def side(x: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    """Those of ``pairs(a, b)`` that link."""
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
 
-    differ = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b") \
-        .filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b").distinct()
     inter = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return near.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b") \
+    return pairs.join(side("a"), "a").join(side("b"), "b") \
         .filter(100 * inter >= percent * (F.col("n_a") + F.col("n_b") - inter)).select("a", "b").distinct()
 
 
@@ -197,19 +231,17 @@ def _sized(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return lists.withColumn("comp", F.col("id"))
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     return lists.join(connected(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _pivot_pairs(rows: DataFrame, tested: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """Every member of a list with several components against the list's pivot."""
-    pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("k"), F.col("id").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn")))
-    chosen = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("p")).filter("lo <> hi").select("h", "p.pivot", "p.pcomp", "p.pn")
-    pairs = rows.join(chosen, "h").filter((F.col("comp") != F.col("pcomp")) & _sized("n", "pn", percent)) \
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Every member of a list against the list's two pivots, which are the same for lists of the same members."""
+    def pivot(turn: int):
+        return F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("k"), "id", "n"))
+
+    chosen = lists.groupBy("h").agg(pivot(1).alias("p"), pivot(2).alias("q")).select("h", F.explode(F.array_distinct(F.array("p.id", "q.id"))).alias("pivot"))
+    return lists.join(chosen, "h").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,23 +278,26 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return work.groupBy("g", "i", "j").applyInPandas(scan, "a long, b long").distinct()
 
 
-def _cross_links(rows: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components of a list: what the pivots left open, without exception."""
-    open_ = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len"), F.min("id").alias("first")) \
+def _open_lists(rows: DataFrame) -> DataFrame:
+    """Rows of lists that still hold several components, with the list's length and first member."""
+    many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len"), F.min("id").alias("first")) \
         .filter("lo <> hi").select("h", "len", "first")
-    rows = stage(rows.join(open_, "h"), "open")
+    return rows.join(many, "h")
+
+
+def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in short lists."""
     short = rows.filter(F.col("len") <= SHORT_LIST)
     a = short.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     b = short.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb", percent)) \
-        .select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    links = _verified(stage(pairs, "pairs"), sets, percent)
+    return a.join(b, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb", percent)).select("a", "b").distinct()
+
+
+def _long_members(rows: DataFrame) -> DataFrame:
+    """(id, g, comp, n) of long lists; lists that share members are one group ``g``."""
     long_ = rows.filter(F.col("len") > SHORT_LIST)
-    if long_.isEmpty():
-        return stage(links, "links")
     group = connected(long_.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()).withColumnRenamed("comp", "g")
-    members = stage(long_.select("id", "comp", "n").distinct().join(group, "id").select("id", "g", "comp", "n"), "members")
-    return stage(links.union(_block_links(members, sets, percent)), "links")
+    return long_.select("id", "comp", "n").distinct().join(group, "id").select("id", "g", "comp", "n")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
@@ -272,24 +307,30 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = WIDTH) -
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stage(_token_rows(docs, percent, width), "tokens")
-    full = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    full = rows.filter("n > 0")
     first = full.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     placed = stage(full.select("doc_id", "n", "digest").join(first, "digest").select("doc_id", "n", "class_id"), "classes")
-    heads = full.join(first, ["digest"]).filter("doc_id = class_id").select("doc_id", "n", "prefix", "common", "small")
-    lists = _lists(stage(heads, "heads"), percent)
-    sets = _sets(docs, lists, width)
+    lists = _lists(rows, placed.distinct(), percent)
+    sketches = stage(full.filter("sketch IS NOT NULL").select("doc_id", "sketch").join(placed, "doc_id")
+                     .select(F.col("class_id").alias("id"), "n", "sketch").distinct(), "sketches")
 
     # rows that repeat a doc_id tie their classes together
     same = placed.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a <> z").select("doc_id", "a")
-    links = stage(placed.join(same, "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct(), "links")
-    tested = None
-    for turn in (1, 2):
-        labelled = stage(_labelled(lists, links), "labelled")
-        pairs = stage(_pivot_pairs(labelled, tested, turn, percent), "pairs")
-        links = stage(links.union(_verified(pairs, sets, percent)), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-    links = links.union(_cross_links(stage(_labelled(lists, links), "labelled"), tested, sets, percent))
+    links = placed.join(same, "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
+    tested = stage(_promising(_pivot_pairs(lists, percent), sketches, percent), "pairs")
+    links = stage(links.union(_verified(tested, _sets(docs, _ends(tested), width), percent)), "links")
+
+    rows_ = stage(_open_lists(_labelled(lists, links)), "open")
+    pairs = stage(_promising(_short_pairs(rows_, percent), sketches, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    members = stage(_long_members(rows_), "members")
+    sets = _sets(docs, _ends(pairs).union(members.select("id")), width)
+    links = links.union(_verified(pairs, sets, percent)).union(_block_links(members, sets, percent))
+
     comp = connected(links).select(F.col("id").alias("class_id"), "comp")
     linked = placed.join(comp, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class_id").alias("component_id"), "class_id")
-    alone = rows.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return linked.union(alone)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))

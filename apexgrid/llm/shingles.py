@@ -5,6 +5,8 @@ polynomial over its bytes, so one pass of array operations hashes all words of a
 """
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 WIDTH = 5
@@ -34,19 +36,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash per word, in order; empty for null, empty and blank texts."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def _hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word starts and word hashes of a byte buffer."""
     inside = ~_SPACE[raw]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     if not len(edges):
-        return np.empty(0, np.uint64)
+        return edges, np.empty(0, np.uint64)
     lens = edges[1::2] - edges[::2]
     first = np.cumsum(lens) - lens
     letters = _LOWER[raw[inside]].astype(np.uint64) + np.uint64(1)
     at = np.arange(len(letters)) - np.repeat(first, lens)
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(letters * _powers(int(lens.max()))[at], first) + lens.astype(np.uint64) * _BASE)
+        return edges[::2], mix(np.add.reduceat(letters * _powers(int(lens.max()))[at], first) + lens.astype(np.uint64) * _BASE)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """One 64-bit hash per word, in order; empty for null, empty and blank texts."""
+    return _hashed(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))[1]
 
 
 def windows(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -65,3 +71,41 @@ def windows(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes of a text, as signed 64-bit values."""
     return np.unique(windows(word_hashes(text), width).view(np.int64))
+
+
+#: Bytes hashed at once; a longer text is hashed alone.
+_BUFFER = 1 << 18
+
+
+def windows_of(texts: Iterable[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """``windows(word_hashes(text))`` of each text, with short texts hashed together."""
+    held, size = [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if size + len(raw) > _BUFFER and held:
+            yield from _together(held, width)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw) + 1
+    yield from _together(held, width)
+
+
+def _together(held: list[bytes], width: int) -> Iterator[np.ndarray]:
+    if len(held) <= 1:
+        for raw in held:
+            yield windows(_hashed(np.frombuffer(raw, np.uint8))[1], width)
+        return
+    start, word = _hashed(np.frombuffer(b" ".join(held), np.uint8))
+    ends = np.cumsum([len(raw) + 1 for raw in held])
+    cut = np.searchsorted(start, ends).tolist()
+    full = windows(word, width) if len(word) >= width else word[:0]
+    lo = 0
+    for hi in cut:
+        yield full[lo:hi - width + 1] if hi - lo >= width else windows(word[lo:hi], width)
+        lo = hi
+
+
+def shingles_of(texts: Iterable[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """``shingles(text)`` of each text."""
+    for w in windows_of(texts, width):
+        yield np.unique(w.view(np.int64))
