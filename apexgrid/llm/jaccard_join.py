@@ -7,8 +7,8 @@ Documents are compared as sets of distinct five-word shingles. Two link when the
 * Light sets (fewer than a boundary of shingles) list every subset of the size that a partner must share with them
   as one hashed key. Heavy sets list the rarest tokens of which partners must share one. The boundary is the one with the
   least estimated work: keys written, plus pairs that an inverted list of small sets would bring up.
-* Inverted lists are scanned without forming their pairs: in two rounds every list tests its members against
-  one pivot member, and what is linked becomes one component. Only lists that still hold several components are then
+* Inverted lists are scanned without forming their pairs: first every list tests its members against one pivot
+  member, and what is linked becomes one component. Only lists that still hold several components are then
   compared across components: short lists by a join, long ones in blocks of bounded size whose tasks scan an
   inverted list of one block for each set of the other and return at most one link per set and component.
 * Before sets are fetched, pairs must pass a parity sketch: the bits in which two sketches differ never exceed the
@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
+from .bitmap import bitmap, holds, slot
 from .components import connected
 from .shingles import WIDTH, mix, shingles_of, windows_of
 
@@ -41,7 +42,8 @@ FREQUENT = 1 << 18
 CHUNK, REPORT = 1 << 20, 3
 #: Lists up to this length are paired by a join; blocks hold about this many shingles.
 SHORT_LIST, BLOCK = 32, 1 << 19
-SKETCH_BITS = 1024
+#: A sketch has at least this many bits, and at least twice as many as its set has shingles.
+SKETCH_BITS = 256
 #: Bits of the filter that names the documents whose sets are fetched: a bound on what is broadcast, not on documents.
 FETCH_BITS = 1 << 25
 
@@ -114,8 +116,9 @@ def ordered_tokens(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -
 
 
 def _parity(tokens: np.ndarray) -> np.ndarray:
-    """One bit per residue: whether an odd number of tokens has it."""
-    odd = np.bincount(tokens & (SKETCH_BITS - 1), minlength=SKETCH_BITS).astype(np.uint8) & 1
+    """One bit per residue: whether an odd number of tokens has it. The length is a power of two that grows with the set."""
+    bits = max(SKETCH_BITS, 1 << int(2 * len(tokens) - 1).bit_length())
+    odd = np.bincount(tokens & (bits - 1), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
@@ -184,35 +187,33 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     Their ids set bits of a bitmap of fixed size, which the scan of the texts looks up: no text is shuffled. A bit set by
     another id only adds a set that no join asks for.
     """
-    slot = 1 + F.pmod(F.xxhash64("id"), F.lit(FETCH_BITS))
-    bits = ids.select(slot.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")) \
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
-    held = docs.sparkSession.sparkContext.broadcast({r["b"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in bits})
+    value = F.xxhash64("id")
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids, value, FETCH_BITS))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            p = batch["p"].to_numpy()
-            bucket, at = 1 + (p - 1) // 32768, (p - 1) % 32768
-            keep = np.zeros(len(p), bool)
-            for b in np.unique(bucket):
-                table = held.value.get(b)
-                if table is not None:
-                    own = bucket == b
-                    keep[own] = (table[at[own] >> 3] >> (at[own] & 7).astype(np.uint8)) & 1
-            batch = batch[keep]
+            batch = batch[holds(held.value, batch["p"].to_numpy())]
             sets = list(shingles_of(batch["text"], width))
             yield pd.DataFrame({"id": batch["id"].to_numpy(np.int64), "n": np.array([len(s) for s in sets], np.int64), "tokens": pd.Series(sets, dtype=object)})
 
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    return stage(texts.select("id", "text", slot.alias("p")).mapInPandas(build, "id long, n long, tokens array<long>"), "sets")
+    return stage(texts.select("id", "text", slot(value, FETCH_BITS).alias("p")).mapInPandas(build, "id long, n long, tokens array<long>"), "sets")
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sketches do not rule out a link."""
+    """Those of ``pairs(a, b)``, of fitting sizes, whose sketches do not rule out a link.
+
+    Sketches of such a pair have the same length or one has twice that of the other, which is then folded.
+    """
     def side(x: str) -> DataFrame:
         return sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-    differ = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    def folded(x: str, y: str) -> str:
+        half = f"CAST(size(sketch_{x}) / 2 AS INT)"
+        return (f"CASE WHEN size(sketch_{x}) > size(sketch_{y}) THEN zip_with(slice(sketch_{x}, 1, {half}), slice(sketch_{x}, {half} + 1, {half}), (u, v) -> u ^ v)"
+                f" ELSE sketch_{x} END")
+
+    differ = F.expr(f"aggregate(zip_with({folded('a', 'b')}, {folded('b', 'a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     return pairs.join(side("a"), "a").join(side("b"), "b") \
         .filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b").distinct()
 
@@ -236,12 +237,10 @@ def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Every member of a list against the list's two pivots, which are the same for lists of the same members."""
-    def pivot(turn: int):
-        return F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("k"), "id", "n"))
-
-    chosen = lists.groupBy("h").agg(pivot(1).alias("p"), pivot(2).alias("q")).select("h", F.explode(F.array_distinct(F.array("p.id", "q.id"))).alias("pivot"))
-    return lists.join(chosen, "h").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    """Every member of a list against the list's pivot, which is mostly the same for lists that share members."""
+    pivot = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("k"), "id", "n")).alias("p")).select("h", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
+    return lists.join(pivot, "h").filter((F.col("id") != F.col("pivot")) & _sized("n", "pn", percent)) \
+        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
