@@ -8,9 +8,9 @@
    of the hosts' rates (method of moments), paths toward their host with one estimated from the paths' spread, so sparse sites
    stay near their parents.
 3. The posterior log-odds of a document are its own plus the shift of its path's rate against the global rate. A document
-   is rejected when it is more likely toxic than not, or more likely bad than good.
+   is rejected when its toxic posterior reaches ``TOXIC_CUT`` or its quality posterior is under ``QUALITY_CUT``.
 
-Defined cases: null and empty texts carry no evidence and get their path's rate; null hosts and paths are values of their own;
+Defined cases: null and empty texts carry no evidence, count for no site and are kept; null hosts and paths are values of their own;
 a label that is null, or a document with contradicting labels, does not train; without labels of both kinds a target's
 log-odds are 0 for all and nothing is rejected for it. Other columns pass through; the names
 ``p_quality``, ``p_toxic`` and ``keep`` of a former run are replaced.
@@ -26,8 +26,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage
+
 #: Bound of the training sample, of the telling words, and of a site table that may be broadcast.
 TRAIN_ROWS, TELLING, BROADCAST_SITES = 8192, 1024, 50_000
+#: Posteriors that reject a document. A missed toxic document costs more than a lost clean one, hence the lower cut.
+TOXIC_CUT, QUALITY_CUT = 0.3, 0.5
 #: Shrinkage of the weights of telling forms; shapes have 1.
 FORM_RIDGE = 0.1
 TARGETS = ("quality", "toxic")
@@ -154,3 +158,79 @@ def fit(sample: DataFrame) -> dict[str, Model | None]:
                                np.repeat([1.0, FORM_RIDGE], [SHAPES, len(own)]))
         models[target] = Model(bias, w[:SHAPES], mean, scale, dict(zip(told[target], w[SHAPES:].tolist())))
     return models
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, quality, toxic) of at most ``TRAIN_ROWS`` labelled documents, chosen by a hash of their ids."""
+    clear = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)").groupBy("doc_id") \
+        .agg(*[f(c).alias(f"{c}_{n}") for c in TARGETS for n, f in (("lo", F.min), ("hi", F.max))]) \
+        .filter("quality_lo = quality_hi AND toxic_lo = toxic_hi") \
+        .select("doc_id", F.col("quality_lo").cast("int").alias("quality"), F.col("toxic_lo").cast("int").alias("toxic"))
+    chosen = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    return stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+                 .groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")).select("text", "quality", "toxic"), "sample")
+
+
+def _logit(p):
+    p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.log(p / (1 - p))
+
+
+def site_shifts(sites: DataFrame) -> DataFrame:
+    """(host, path, shift_quality, shift_toxic) from ``sites(host, path, n, quality, toxic)``, sums of evidence.
+
+    The strengths of shrinkage are estimated from all sites; nine numbers reach the driver.
+    """
+    hosts = sites.groupBy("host").agg(*[F.sum(c).alias(f"{c}_host") for c in ("n", *TARGETS)])
+    total = sites.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
+    if not total["n"]:
+        return sites.select("host", "path", *[F.lit(0.0).alias(f"shift_{t}") for t in TARGETS])
+    both = sites.join(hosts, sites["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
+    rate = {t: min(max(total[t] / total["n"], 1e-6), 1 - 1e-6) for t in TARGETS}
+
+    def strength(df: DataFrame, n: str, own, parent, t: str):
+        spread = F.sum(F.col(n) * (own - parent) ** 2) / F.sum(n) - F.count("*") * rate[t] * (1 - rate[t]) / F.sum(n)
+        return F.least(F.greatest(rate[t] * (1 - rate[t]) / F.greatest(spread, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e6))
+
+    k_host = hosts.agg(*[strength(hosts, "n_host", F.col(f"{t}_host") / F.col("n_host"), F.lit(rate[t]), t).alias(t) for t in TARGETS]).first()
+    k_path = both.agg(*[strength(both, "n", F.col(t) / F.col("n"), F.col(f"{t}_host") / F.col("n_host"), t).alias(t) for t in TARGETS]).first()
+    out = both
+    for t in TARGETS:
+        host = (k_host[t] * rate[t] + F.col(f"{t}_host")) / (k_host[t] + F.col("n_host"))
+        path = (k_path[t] * host + F.col(t)) / (k_path[t] + F.col("n"))
+        out = out.withColumn(f"shift_{t}", _logit(path) - _logit(F.lit(rate[t])))
+    return out.select("host", "path", *[f"shift_{t}" for t in TARGETS])
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """``docs`` with ``p_quality``, ``p_toxic`` and ``keep``."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fit(training_sample(docs, labels)))
+
+    @F.pandas_udf("quality double, toxic double")
+    def evidence(texts: pd.Series) -> pd.DataFrame:
+        models = [shared.value[t] for t in TARGETS]
+        rows = []
+        for text in texts:
+            if not text or not any(models):
+                rows.append((0.0, 0.0))
+                continue
+            s, f = shape(text), telling_forms(text)
+            rows.append(tuple(m.score(s, f) if m else 0.0 for m in models))
+        return pd.DataFrame(rows, columns=list(TARGETS))
+
+    has = (F.length("text") > 0) & F.lit(any(shared.value.values()))
+    scored = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), evidence("text").alias("e"), has.alias("has"))
+    sites = stage(scored.filter("has").groupBy("host", "path").agg(
+        F.count("*").alias("n"), *[F.sum(1 / (1 + F.exp(-F.col(f"e.{t}")))).alias(t) for t in TARGETS]), "sites")
+    shifts = stage(site_shifts(sites), "shifts")
+    # the strings that the driver would hold are bounded by the number of sites; larger tables are joined by shuffle
+    small = shifts.count() <= BROADCAST_SITES
+    names = [c for c in docs.columns if c not in ("p_quality", "p_toxic", "keep")]
+    left = docs.select(*names).withColumn("_e", evidence("text")).withColumn("_has", F.coalesce(has, F.lit(False)))
+    right = shifts.toDF("_host", "_path", *[f"_shift_{t}" for t in TARGETS])
+    joined = left.join(F.broadcast(right) if small else right, left[host].cast("string").eqNullSafe(right["_host"]) & left[path].cast("string").eqNullSafe(right["_path"]), "left")
+    p = {t: 1 / (1 + F.exp(-(F.col(f"_e.{t}") + F.coalesce(F.col(f"_shift_{t}"), F.lit(0.0))))) for t in TARGETS}
+    known = {t: F.lit(shared.value[t] is not None) & F.col("_has") for t in TARGETS}
+    keep = ~(known["toxic"] & (p["toxic"] >= TOXIC_CUT)) & ~(known["quality"] & (p["quality"] < QUALITY_CUT))
+    return joined.select(*names, p["quality"].alias("p_quality"), p["toxic"].alias("p_toxic"), keep.alias("keep"))
