@@ -37,9 +37,9 @@ from .shingles import WIDTH, mix, shingles_of, windows_of
 #: Sets up to this size are considered for subset enumeration; the boundary is at most one more.
 MAX_LIGHT = 12
 #: The most frequent shingles that are moved to the end of the token order. Any order gives the same result.
-FREQUENT = 1 << 18
-#: Shingles of a counting chunk, and the count from which a chunk reports one.
-CHUNK, REPORT = 1 << 20, 3
+FREQUENT = 1 << 19
+#: Shingles of a counting chunk (64 MB), and the count from which a chunk reports one.
+CHUNK, REPORT = 1 << 23, 2
 #: Lists up to this length are paired by a join; blocks hold about this many shingles.
 SHORT_LIST, BLOCK = 32, 1 << 19
 #: A sketch has at least this many bits, and at least twice as many as its set has shingles.
@@ -75,7 +75,7 @@ def subset_keys(tokens: np.ndarray, percent: int) -> list[int]:
 def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and ranks of the most frequent shingles, at most ``FREQUENT``: they order tokens, nothing else.
 
-    Every text is counted. Each task counts chunks of about a million shingles and reports those it met ``REPORT``
+    Every text is counted. Each task counts chunks of up to ``CHUNK`` shingles and reports those it met ``REPORT``
     times or more (lossy counting), so what is shuffled and what reaches the driver is small and bounded.
     """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,9 +278,10 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _open_lists(rows: DataFrame) -> DataFrame:
-    """Rows of lists that still hold several components, with the list's length and first member."""
-    many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len"), F.min("id").alias("first")) \
-        .filter("lo <> hi").select("h", "len", "first")
+    """Rows of lists that still hold several components, with the list's length and pivot."""
+    many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len"),
+                                     F.min(F.struct(F.xxhash64("id").alias("k"), "id")).alias("p")) \
+        .filter("lo <> hi").select("h", "len", F.col("p.id").alias("pivot"))
     return rows.join(many, "h")
 
 
@@ -293,10 +294,8 @@ def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _long_members(rows: DataFrame) -> DataFrame:
-    """(id, g, comp, n) of long lists; lists that share members are one group ``g``."""
-    long_ = rows.filter(F.col("len") > SHORT_LIST)
-    group = connected(long_.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()).withColumnRenamed("comp", "g")
-    return long_.select("id", "comp", "n").distinct().join(group, "id").select("id", "g", "comp", "n")
+    """(id, g, comp, n) of long lists. Lists of one pivot are one group: the many lists of near copies are scanned few times."""
+    return rows.filter(F.col("len") > SHORT_LIST).select("id", F.col("pivot").alias("g"), "comp", "n").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:

@@ -36,7 +36,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2, place, halves): distinct lines with their first place and the hashes of their halves."""
-    lines = _keyed(docs).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
+    lines = _keyed(docs).select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")) \
         .withColumn("w", words_of("line")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
 
     def halves(m: Column) -> list[Column]:
@@ -73,7 +73,8 @@ def _variants(lines: DataFrame) -> DataFrame:
     # the pairs (at - 1, at) and (at, at + 1) give way to (at - 1, at + 1)
     keys = F.expr("concat(array(all), transform(sequence(1, n), i -> all ^ element_at(g, i) ^ element_at(g, i + 1)"
                   " ^ xxhash64(element_at(p, i), element_at(p, i + 2))))")
-    return padded.select("place", "n", F.posexplode(keys).alias("at", "key"))
+    # outer: else the optimizer would build the array once more, in a filter on its size
+    return padded.select("place", "n", F.posexplode_outer(keys).alias("at", "key"))
 
 
 def _one_edit(lines: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .catalog import query, table
 from .decontaminate import leaks
+from .fingerprints import neighbour_fingerprints
 from .jaccard_join import jaccard_components
+from .licenses import scan_licenses
 from .line_dedup import line_report
 from .packing import pack
 from .quality import classify
+from .secrets import digest_columns, scan_secrets
+from .token_shards import read_sequences, write_shards
+from .url_filter import judge_urls
 
 #: Files of the public tokenizers; end tokens are the contracts'.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,3 +77,49 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "keep")
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest_columns(scan_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+@query("op3_document_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_token_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = write_shards(table(spark, sf_dir, "documents"), WORD_BPE, END_ID, key=20240607)
+    return read_sequences(spark, folder).select("slot", "shard", "offset", F.col("n_tokens").cast("long").alias("n_tokens"),
+                                                F.array_join("docs", ",").alias("doc_ids"), F.crc32("record").alias("record_crc32"))
+
+
+# fixed values: the rules, as (verdict, host, path)
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: What decides where no rule fits: hosts by a label, and a path.
+BLOCKED = ["*casino*/**", "*adult-*/**", "*free-bets*/**", "*spam-farm*/**", "*cheap-pills*/**", "*ads-track*/**", "*casino*", "*adult-*", "*free-bets*",
+           "*spam-farm*", "*cheap-pills*", "*ads-track*", "**/ads/**", "**.exe"]
+
+_URL_SQL = r"""
+WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             CASE WHEN position('/' IN rest) > 0 THEN substr(rest, position('/' IN rest)) ELSE '' END AS path FROM (SELECT page_id, coalesce(rest, '') AS rest FROM p)),
+r(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdict, length(rh || rp)) AS verdict FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(m.verdict, CASE WHEN regexp_matches(host, 'casino|adult-|free-bets|spam-farm|cheap-pills|ads-track')
+       OR position('/ads/' IN path) > 0 OR ends_with(host || path, '.exe') THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN m USING (page_id)
+"""
+
+
+@query("op7_url_filter", _URL_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, BLOCKED).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
