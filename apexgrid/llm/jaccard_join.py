@@ -37,7 +37,7 @@ from .shingles import WIDTH, mix, shingles_of, windows_of
 #: Sets up to this size are considered for subset enumeration; the boundary is at most one more.
 MAX_LIGHT = 12
 #: The most frequent shingles that are moved to the end of the token order. Any order gives the same result.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 17
 #: Shingles of a counting chunk (64 MB), and the count from which a chunk reports one.
 CHUNK, REPORT = 1 << 23, 2
 #: Lists up to this length are paired by a join; blocks hold about this many shingles.
