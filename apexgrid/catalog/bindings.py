@@ -257,16 +257,16 @@ FROM {b_session} WHERE hh <> 5""",
 SELECT user_id, cast(ts AS date) AS snapshot_date, cast(value AS decimal(18,2)) AS value, event_id AS row_id, event_type FROM {events}""",
     # one evaluation row per (configuration, event): three ways of scaling the stand-in predictions
     "b_run_race": """
-SELECT c.config_id, c.optimizer, c.sensitivity, p.event_id, p.event_date, p.season_id, p.season_year, p.round_no,
-    avg(abs(p.predicted_position + (c.config_id - 1) - r.position)) AS mae_position,
-    avg(abs(p.predicted_points * c.sensitivity - t.race_total)) AS mae_points,
-    CASE WHEN (p.event_id + c.config_id) % 7 = 0 THEN NULL ELSE sum(CASE WHEN p.predicted_position <= 4 + c.config_id THEN t.race_total END) END AS lineup_actual,
+SELECT c.config_id, c.optimizer, c.sensitivity, c.event_id, c.event_date, c.season_id, c.season_year, c.round_no,
+    avg(abs(c.predicted_position + (c.config_id - 1) - r.position)) AS mae_position,
+    avg(abs(c.predicted_points * c.sensitivity - t.race_total)) AS mae_points,
+    CASE WHEN (c.event_id + c.config_id) % 7 = 0 THEN NULL ELSE sum(CASE WHEN c.predicted_position <= 4 + c.config_id THEN t.race_total END) END AS lineup_actual,
     sum(CASE WHEN r.position <= 5 + c.config_id THEN t.race_total END) AS optimal_actual
-FROM (SELECT * FROM (VALUES (1, 'greedy', 0.5), (2, 'exact', 1.0), (3, 'sampled', 1.5)) AS v(config_id, optimizer, sensitivity)) c
-JOIN {b_pred} p ON p.predicted_position > -c.config_id
-JOIN {b_result} r ON r.event_id = p.event_id AND r.driver_id = p.driver_id AND r.position IS NOT NULL
-JOIN {b_total} t ON t.event_id = p.event_id AND t.driver_id = p.driver_id
-GROUP BY c.config_id, c.optimizer, c.sensitivity, p.event_id, p.event_date, p.season_id, p.season_year, p.round_no""",
+FROM (SELECT 1 AS config_id, 'greedy' AS optimizer, 0.5 AS sensitivity, a.* FROM {b_pred} a
+      UNION ALL SELECT 2, 'exact', 1.0, a.* FROM {b_pred} a UNION ALL SELECT 3, 'sampled', 1.5, a.* FROM {b_pred} a) c
+JOIN {b_result} r ON r.event_id = c.event_id AND r.driver_id = c.driver_id AND r.position IS NOT NULL
+JOIN {b_total} t ON t.event_id = c.event_id AND t.driver_id = c.driver_id
+GROUP BY c.config_id, c.optimizer, c.sensitivity, c.event_id, c.event_date, c.season_id, c.season_year, c.round_no""",
 }
 
 _REF = re.compile(r"\{(\w+)\}")

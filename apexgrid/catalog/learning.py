@@ -1,7 +1,7 @@
 """Queries for training sets, models, backtests and the weekly jobs."""
 from pyspark.sql import functions as F
 
-from ..operators import joins as J, ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK, windows as W
+from ..operators import ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK
 from ..plans import backtest as BT, features as FS, models as M, training as TR, walk as WK
 from .bindings import RACING
 from .lineups import _REAL_CARS, _REAL_TEAMS, _best_sql, oracle_scores
@@ -10,7 +10,8 @@ from .scores_prices import _LINEUP_PTS, _TEAM_PTS, nested_lineups, price_state
 from .tables import _actuals
 
 KEYS = FS.KEYS
-_Y = "r.position AS y_position, coalesce(t.race_total, r.points) AS y_points, dense_rank() OVER (ORDER BY r.event_date) - 1 AS event_index"
+_Y = "r.position AS y_position, coalesce(t.race_total, r.points) AS y_points, e.event_index"
+_CALENDAR = "JOIN (SELECT event_id, dense_rank() OVER (ORDER BY event_date) - 1 AS event_index FROM b_event) e ON e.event_id = r.event_id"
 
 
 def feature_table(v, version: str):
@@ -22,30 +23,37 @@ def feature_table(v, version: str):
 def training_table(v, family: str):
     def make():
         if family == "qualifying":
-            return TR.quali_training_set(feature_table(v, "v4"), v.b_quali, v.b_score)
-        return TR.race_training_set(feature_table(v, "race" if family == "race" else "v4"), v.b_result, v.b_total)
+            return TR.quali_training_set(feature_table(v, "v4"), v.b_quali, v.b_score, v.b_event)
+        return TR.race_training_set(feature_table(v, "race" if family == "race" else "v4"), v.b_result, v.b_total, v.b_event)
 
     return v.keep(f"training-{family}", make)
 
 
 @query("fs07_race_training_set", f"""SELECT r.event_id, r.driver_id, o.position_mean_last3, o.fp_sector1_rank, {_Y} FROM b_result r JOIN o_all o ON o.event_id = r.event_id AND o.driver_id = r.driver_id
-LEFT JOIN b_total t ON t.event_id = r.event_id AND t.driver_id = r.driver_id WHERE r.position IS NOT NULL""", d="position_mean_last3 fp_sector1_rank y_position y_points")
+{_CALENDAR} LEFT JOIN b_total t ON t.event_id = r.event_id AND t.driver_id = r.driver_id WHERE r.position IS NOT NULL""", d="position_mean_last3 fp_sector1_rank y_position y_points")
 def _(v):
     return training_table(v, "v4").select(*KEYS, "position_mean_last3", "fp_sector1_rank", "y_position", "y_points", "event_index")
 
 
-@query("fs08_qualifying_training_set", """SELECT r.event_id, r.driver_id, o.quali_last1, r.position AS y_position, coalesce(t.p, r.points) AS y_points, dense_rank() OVER (ORDER BY r.event_date) - 1 AS event_index
-FROM b_quali r JOIN o_last5 o ON o.event_id = r.event_id AND o.driver_id = r.driver_id LEFT JOIN (SELECT event_id, driver_id, sum(points) AS p FROM b_score WHERE event_type = 'qualifying' GROUP BY 1, 2) t
+@query("fs08_qualifying_training_set", f"""SELECT r.event_id, r.driver_id, o.quali_last1, r.position AS y_position, coalesce(t.p, r.points) AS y_points, e.event_index
+FROM b_quali r JOIN o_last5 o ON o.event_id = r.event_id AND o.driver_id = r.driver_id {_CALENDAR} LEFT JOIN (SELECT event_id, driver_id, sum(points) AS p FROM b_score WHERE event_type = 'qualifying' GROUP BY 1, 2) t
 ON t.event_id = r.event_id AND t.driver_id = r.driver_id WHERE r.position IS NOT NULL""", d="quali_last1 y_position y_points")
 def _(v):
     return training_table(v, "qualifying").select(*KEYS, "quali_last1", "y_position", "y_points", "event_index")
 
 
+def field(v, family="v4"):
+    """All season drivers with features, numbered by the calendar."""
+    name = "race" if family == "race" else "v4"
+    return v.keep(f"field-{name}", lambda: TR.numbered(feature_table(v, name), v.b_event))
+
+
 def _split(v, family="v4"):
-    """The newest weekend is the target, all events before it are training."""
-    t = training_table(v, family)
-    last = t.agg(F.max("event_index")).first()[0]
-    return t.where(F.col("event_index") < last), t.where(F.col("event_index") == last)
+    """The newest weekend of the field is the target, whether it has results or not; all events before it with results are training."""
+    f, t = field(v, family), training_table(v, family)
+    target = f.agg(F.max("event_index").alias("target"))
+    before = t.join(F.broadcast(target), t["event_index"] < target["target"]).drop("target")
+    return before, f.join(F.broadcast(target), f["event_index"] == target["target"]).drop("target")
 
 
 _OUT = [*KEYS, "predicted_position", "predicted_points", "lower", "upper"]
@@ -72,20 +80,18 @@ def _(v):
 
 @query("ml09_prediction_job")
 def _(v):
-    train, _ = _split(v)
-    field = W.event_index(feature_table(v, "v4"), [])
-    target = field.agg(F.max("event_index")).first()[0]
-    new = M.make("v4", FS.V4).fit(train).predict(field.where(F.col("event_index") == target)).select(*_OUT).withColumn("model_version", F.lit("v4"))
+    train, target = _split(v)
+    new = M.make("v4", FS.V4).fit(train).predict(target).select(*_OUT).withColumn("model_version", F.lit("v4"))
     old = v.b_pred.select(*KEYS, "predicted_position", "predicted_points", "lower", "upper").withColumn("model_version", F.lit("v4"))
     return SK.upsert(old, new, [*KEYS, "model_version"])[0]
 
 
 def walk_predictions(v, version="v4"):
     table = training_table(v, "v4")
-    field = v.keep("field", lambda: W.event_index(feature_table(v, "v4"), []))
+    all_ = field(v)
     if version == "v4":
-        return v.keep("walk-v4", lambda: WK.rank_forward(table, field, FS.V4).select(*BT.PRED))
-    return v.keep(f"walk-{version}", lambda: BT.predictions(table, field, FS.V4, version))
+        return v.keep("walk-v4", lambda: WK.rank_forward(table, all_, FS.V4).select(*BT.PRED))
+    return v.keep(f"walk-{version}", lambda: BT.predictions(table, all_, FS.V4, version))
 
 
 @query("evl07_model_walk_forward")
@@ -146,10 +152,8 @@ def _(v):
     """Newest weekend of every championship: train, predict, adjust, budget, transfers, line-up, difference."""
     from ..operators import prices as PR
     v.stage(*RACING)
-    train, _ = _split(v)
-    field = W.event_index(feature_table(v, "v4"), [])
-    target = field.agg(F.max("event_index")).first()[0]
-    pred = M.make("v4", FS.V4).fit(train).predict(field.where(F.col("event_index") == target)).select(*_OUT)
+    train, target = _split(v)
+    pred = M.make("v4", FS.V4).fit(train).predict(target).select(*_OUT)
     pred = PR.adjust_for_price(pred, v.b_price, price_state(v), 1.0)
     lines = nested_lineups(v)
     ledger = G.budgets(lines, v.b_price, v.b_cprice).join(G.banked_transfers(lines).select("event_id", "free_after"), "event_id")

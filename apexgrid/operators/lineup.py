@@ -47,10 +47,10 @@ def grids(drivers: DataFrame, teams: DataFrame, key: list[str], prune: bool = Fa
     return side(drivers, "driver_id", "d").join(side(teams, "team_id", "t"), key)
 
 
-def _row(d, t, r, extra=0):
+def _row(d, t, r, extra=0, p: Params = DEFAULTS):
     """Result tuple of chosen car and team indexes."""
     ids, pts = r.d_id[d], r.d_p[d]
-    if len(d) < 5 or len(t) < 2:
+    if len(d) < p.n_drivers or len(t) < p.n_constructors:
         b = int(ids[pts.argmax()]) if len(d) else None
         return list(map(int, ids)), list(map(int, r.t_id[t])), b, None, None, False, extra
     return (list(map(int, ids)), list(map(int, r.t_id[t])), int(ids[pts.argmax()]), float(r.d_x[d].sum() + r.t_x[t].sum()) / 10,
@@ -69,26 +69,25 @@ def choose(r, method: str, budget: int, p: Params, prev=None, free: int = 2):
         if not (lo == hi).all():
             seed = (int(r.event_id) * 1_000_003 + 12_345) % 2**32  # by event, so partitioning does not matter
             d, t, n = X.best_of_scenarios((lo, dp, hi), (np.asarray(r.t_lo, float), tp, np.asarray(r.t_hi, float)), dx, tx, budget, seed, p.n_scenarios)
-            out = _row(d, t, r, n)
+            out = _row(d, t, r, n, p)
             return out if prev is None or not out[5] else _toward(r, out, prev, free, budget, p)
         method = "exact"
     if method == "exact":
         new = (None, None) if prev is None else (~np.isin(r.d_id, prev[0]), ~np.isin(r.t_id, prev[1]))
         got = X.exact(dp, dx, tp, tx, budget, *new, p.transfer_threshold if prev else 0.0, p.transfer_penalty, free)
-        return _row(*got, r, 1) if got is not None else ([], [], None, None, None, False, 0)
+        return _row(*got, r, 1, p) if got is not None else ([], [], None, None, None, False, 0)
     cars, teams = X.value_lineup(dp[None], dx, tp[None], tx, budget, improve=method == "upgraded")
-    out = _row(np.flatnonzero(cars[0]), np.flatnonzero(teams[0]), r, 1)
+    out = _row(np.flatnonzero(cars[0]), np.flatnonzero(teams[0]), r, 1, p)
     return out if prev is None or method == "greedy" or not out[5] else _toward(r, out, prev, free, budget, p)
 
 
 def _toward(r, ideal, prev, free, budget, p):
     pts = (dict(zip(r.d_id, r.d_p)), dict(zip(r.t_id, r.t_p)))
     price = (dict(zip(r.d_id, r.d_x)), dict(zip(r.t_id, r.t_x)))
-    cars, teams = X.limit_transfers(ideal[:2], prev, pts, price, free, p.transfer_penalty, budget)
+    (cars, teams), cost = X.limit_transfers(ideal[:2], prev, pts, price, free, p.transfer_penalty, budget)
     score = [pts[0].get(c, 0.0) for c in cars]
-    cost = sum(price[0].get(c, 0) for c in cars) + sum(price[1].get(t, 0) for t in teams)
     return (list(map(int, cars)), list(map(int, teams)), int(cars[int(np.argmax(score))]), float(cost) / 10,
-            float(sum(score) + max(score) + sum(pts[1].get(t, 0.0) for t in teams)), True, ideal[6])
+            float(sum(score) + max(score) + sum(pts[1].get(t, 0.0) for t in teams)), cost <= budget, ideal[6])
 
 
 def _frame(keys, rows, results) -> pd.DataFrame:

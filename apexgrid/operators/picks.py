@@ -112,31 +112,31 @@ def exact(dp, dx, tp, tx, budget: int, d_new=None, t_new=None, threshold=0.0, pe
 
 
 def limit_transfers(ideal, current, pts: tuple[dict, dict], price: tuple[dict, dict], free: int, penalty: float, budget: int):
-    """Move from ``current`` towards ``ideal`` (pairs of id lists: cars, teams).
+    """The line-up between ``current`` and ``ideal`` (pairs of id lists: cars, teams) that the transfer rules allow, and its cost.
 
-    Outgoing worst first meets incoming best first; the ``free`` best swaps are taken, more
-    only above the penalty; the weakest are undone while over budget.
+    Leavers by rising points are zipped with arrivals by falling points. By falling gain, the swaps allowed are a
+    prefix of the list: the free ones, and those whose gain exceeds the penalty. Costs after each prefix
+    are one running sum; the longest allowed prefix within the budget is made. What has no price costs more than any budget.
     """
-    swaps = []
+    parts = []
     for kind in (0, 1):
-        p = pts[kind]
-        out = sorted(set(current[kind]) - set(ideal[kind]), key=lambda x: (p.get(x, 0.0), x))
-        inn = sorted(set(ideal[kind]) - set(current[kind]), key=lambda x: (-p.get(x, 0.0), x))
-        swaps += [(p.get(n, 0.0) - p.get(o, 0.0), kind, o, n) for o, n in zip(out, inn)]
-    swaps.sort(key=lambda s: -s[0])
-    keep = [s for i, s in enumerate(swaps) if i < free or s[0] > penalty]
-
-    def apply(kept):
-        now = [list(current[0]), list(current[1])]
-        for _, kind, o, n in kept:
-            now[kind][now[kind].index(o)] = n
-        return now, sum(price[k].get(x, budget + 10) for k in (0, 1) for x in now[k])
-
-    now, cost = apply(keep)
-    while cost > budget and keep:
-        keep.pop()
-        now, cost = apply(keep)
-    return now
+        held, wanted = np.array(current[kind], np.int64), np.array(ideal[kind], np.int64)
+        leave, come = np.setdiff1d(held, wanted), np.setdiff1d(wanted, held)
+        worth = [np.array([pts[kind].get(int(x), 0.0) for x in ids]) for ids in (leave, come)]
+        cost = [np.array([price[kind].get(int(x), budget + 10) for x in ids], np.int64) for ids in (leave, come)]
+        a, b = np.argsort(worth[0], kind="stable"), np.argsort(-worth[1], kind="stable")
+        n = min(len(a), len(b))
+        a, b = a[:n], b[:n]
+        parts.append((np.full(n, kind), leave[a], come[b], worth[1][b] - worth[0][a], cost[1][b] - cost[0][a]))
+    kind, leave, come, gain, extra = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(-gain, kind="stable")
+    allowed = max(min(free, len(order)), int((gain > penalty).sum()))
+    start = sum(price[k].get(x, budget + 10) for k in (0, 1) for x in current[k])
+    costs = start + np.concatenate([[0], np.cumsum(extra[order][:allowed])]).astype(np.int64)
+    within = np.flatnonzero(costs <= budget)
+    made = int(within[-1]) if len(within) else 0
+    to = [dict(zip(leave[order[:made]][kind[order[:made]] == k].tolist(), come[order[:made]][kind[order[:made]] == k].tolist())) for k in (0, 1)]
+    return [[to[k].get(int(x), int(x)) for x in current[k]] for k in (0, 1)], int(costs[made])
 
 
 def sampled(lower, mode, upper, rng, n: int) -> np.ndarray:

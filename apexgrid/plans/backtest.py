@@ -60,10 +60,14 @@ def backtest(pred: DataFrame, actual: DataFrame, v, state: DataFrame, configs: l
     lineups = stage(reduce(DataFrame.unionByName, lines), "backtest-lineups")
     scored = SC.lineup_points(lineups, v.b_total, v.b_ctotal, key)
     charge = F.greatest(F.col("n_transfers") - p.free_transfers, F.lit(0)) * p.transfer_penalty
-    result = (lineups.join(scored, key).withColumn("lineup_actual", F.col("actual_points") - charge)
-              .select(*key, "season_id", F.col("predicted_points").alias("lineup_predicted"), "lineup_actual", "n_transfers", "total_cost", "feasible"))
+    # a race that could not be priced or filled stays, with nulls, so that all configurations cover the same races
+    races = with_configs(pred.select("event_id", "season_id").distinct(), configs).select(*key, "season_id")
+    line = F.col("feasible")
+    result = (races.join(lineups.drop("season_id"), key, "left").join(scored, key, "left")
+              .select(*key, "season_id", F.when(line, F.col("predicted_points")).alias("lineup_predicted"), F.when(line, F.col("actual_points") - charge).alias("lineup_actual"),
+                      F.when(line, F.col("n_transfers")).alias("n_transfers"), F.when(line, F.col("total_cost")).alias("total_cost"), F.coalesce(line, F.lit(False)).alias("feasible")))
     quality = model_report(pred, actual)
-    return (result.join(oracle.select("event_id", F.col("predicted_points").alias("optimal_actual")), "event_id", "left").join(quality, "event_id"))
+    return (result.join(oracle.select("event_id", F.col("predicted_points").alias("optimal_actual")), "event_id", "left").join(quality, "event_id", "left"))
 
 
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:

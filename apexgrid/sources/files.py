@@ -1,7 +1,7 @@
 """Landed files to typed frames."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 
@@ -14,24 +14,42 @@ KINDS = {"driver_price": "*-drivers.csv", "constructor_price": "*-constructors.c
          "driver_score": "*-all-drivers-performance.csv", "constructor_score": "*-all-constructors-performance.csv"}
 
 
-def _csv_by_name(spark: SparkSession, root: str, kind: str, columns: list[str]) -> DataFrame:
-    """Text columns of all files of one kind, by header name.
+def csv_fields(line) -> Column:
+    """Fields of one CSV line of any width: quoted fields may hold commas and doubled quotes."""
+    line = F.regexp_replace(line, "[\ufeff\r]", "")
+    found = F.regexp_extract_all(line, F.lit(r'(?:^|,)(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
+    return F.transform(found, lambda x: F.when(F.trim(x).startswith('"') & F.trim(x).endswith('"') & (F.length(F.trim(x)) > 1),
+                                               F.replace(F.substr(F.trim(x), F.lit(2), F.length(F.trim(x)) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
+def csv_lines(reader, root: str, kind: str) -> DataFrame:
+    """Lines of all files of one kind with the file they come from; ``reader`` is ``spark.read`` or ``spark.readStream``."""
+    lines = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", KINDS[kind]).format("text").load(root)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
+                     F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("delivered_at")))
+    return lines.where(~F.col("file_name").contains("performance")) if kind.endswith("price") else lines
 
-    Exports differ in their headers, so each line meets the header of its own file (an
-    equi-join on the file path) and becomes a name -> text map; nothing is listed or
-    opened on the driver.
+
+def by_header(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """Text columns by header name, whatever the order, width and quoting of each file's header.
+
+    Exports differ in their headers, so each line meets the header of its own file (an equi-join on the file path);
+    nothing is listed or opened on the driver.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", KINDS[kind]).text(root)
-             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"))
-             .where(~F.col("file_name").contains("performance") if kind.endswith("price") else F.lit(True)))
     # the header is the first line of the first block of each file
     heads = (lines.where("block = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "n").alias("head"))
-             .withColumn("names", F.transform(F.split(F.regexp_replace("head", "[\ufeff\"\r]", ""), ","), lambda x: F.trim(x))))
-    width = len(columns)
-    fields = F.from_csv("value", F.lit(", ".join(f"c{i} STRING" for i in range(width))))
-    rows = lines.join(heads, "path").where((F.col("value") != F.col("head")) & (F.trim("value") != "")).withColumn("_f", fields)
-    named = F.map_from_arrays("names", F.slice(F.array(*[F.col(f"_f.c{i}") for i in range(width)]), F.lit(1), F.size("names")))
-    return rows.withColumn("_m", named).select(*[F.try_element_at("_m", F.lit(c)).alias(c) for c in columns], "file_name")
+             .withColumn("names", F.transform(csv_fields(F.col("head")), lambda x: F.trim(x))))
+    rows = lines.join(heads, "path").where((F.col("value") != F.col("head")) & (F.trim("value") != "")).withColumn("_f", csv_fields(F.col("value")))
+
+    def named(c: str) -> Column:
+        at = F.array_position("names", c).cast("int")
+        return F.when(at > 0, F.nullif(F.try_element_at("_f", at), F.lit(""))).alias(c)
+
+    return rows.select(*[named(c) for c in columns], "file_name", "delivered_at")
+
+
+def _csv_by_name(spark: SparkSession, root: str, kind: str, columns: list[str]) -> DataFrame:
+    return by_header(csv_lines(spark.read, root, kind), columns).drop("delivered_at")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -59,13 +77,16 @@ def type_prices(raw: DataFrame, *also: str) -> DataFrame:
 
 def score_lines(spark: SparkSession, root: str, kind: str = "driver_score") -> DataFrame:
     """Scoring line items as exported."""
-    raw = _csv_by_name(spark, root, kind, SCORE_COLUMNS)
+    return type_scores(_csv_by_name(spark, root, kind, SCORE_COLUMNS))
+
+
+def type_scores(raw: DataFrame, *also: str) -> DataFrame:
     return raw.select(
         S.year_of_file(F.col("file_name")).alias("season_year"), F.trim(F.coalesce("Driver Name", "Constructor Name")).alias("name"),
         F.trim("Race").alias("race"), F.col("Event Type").alias("event_type"), F.col("Scoring Item").alias("scoring_item"),
         S.strict_int(F.col("Frequency")).alias("frequency"), S.strict_int(F.col("Position")).alias("position"),
         S.strict_int(F.col("Points")).alias("points"), S.strict_int(F.col("Race Total")).alias("race_total"),
-        S.strict_int(F.col("Season Total")).alias("season_total"), "file_name", F.lit("import").alias("source"))
+        S.strict_int(F.col("Season Total")).alias("season_total"), "file_name", F.lit("import").alias("source"), *also)
 
 
 def starting_prices(spark: SparkSession, path: str) -> DataFrame:

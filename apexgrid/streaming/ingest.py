@@ -1,33 +1,26 @@
-"""Incremental ingest of a drop folder: each file is parsed once, rows are merged by key."""
+"""Incremental ingest of a drop folder: each file is parsed once, by its own header, and its rows are merged by key."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.files import KINDS, PRICE_COLUMNS, type_prices
+from ..sources.files import PRICE_COLUMNS, SCORE_COLUMNS, by_header, csv_lines, type_prices, type_scores
 from ..sources.sinks import upsert
 
-# Header of the daily price export, in file order.
-DRIVER_HEADER = ["% Picked", "Current Value", "Driver Name", "Price Change", "Season Points"]
+#: Header columns, typing, key and partition column of the four kinds of files.
+_PRICES = (PRICE_COLUMNS, type_prices, ["name", "snapshot_date"], "snapshot_date")
+_SCORES = (SCORE_COLUMNS, type_scores, ["season_year", "name", "race", "event_type", "scoring_item"], "season_year")
+KIND_RULES = {"driver_price": _PRICES, "constructor_price": _PRICES, "driver_score": _SCORES, "constructor_score": _SCORES}
 
 
-def price_stream(spark: SparkSession, folder: str, header: list[str] = DRIVER_HEADER, kind: str = "driver_price") -> DataFrame:
-    schema = ", ".join(f"`{h}` STRING" for h in header)
-    raw = (spark.readStream.schema(schema).option("header", "true").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", KINDS[kind]).option("maxFilesPerTrigger", 1000).csv(folder))
-    raw = raw.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("delivered_at"))
-    for c in PRICE_COLUMNS:
-        if c not in raw.columns:
-            raw = raw.withColumn(c, F.lit(None).cast("string"))
-    return raw.where(~F.col("file_name").contains("performance"))
+def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, kind: str = "driver_price") -> None:
+    """Take in all files of one kind not seen before, then stop. Merging by key makes a repeated batch harmless.
 
-
-def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, header: list[str] = DRIVER_HEADER) -> None:
-    """Take in all files not seen before, then stop.  Merging by key makes a repeated batch harmless."""
+    The stream carries lines; a file is never split between batches, so a batch holds the headers of its own lines.
+    """
+    columns, typed, key, by = KIND_RULES[kind]
 
     def merge(batch: DataFrame, _: int) -> None:
-        typed = type_prices(batch, "delivered_at")
-        upsert(spark, table, typed, ["name", "snapshot_date"], by="snapshot_date", order="delivered_at")
+        upsert(spark, table, typed(by_header(batch, columns), "delivered_at"), key, by=by, order="delivered_at")
 
-    q = (price_stream(spark, folder, header).writeStream.foreachBatch(merge)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    lines = csv_lines(spark.readStream.option("maxFilesPerTrigger", 1000), folder, kind)
+    lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -132,3 +132,28 @@ def test_stream_ingests_each_file_once(spark, tmp_path, drop):
     ingest(spark, folder, table, ck)
     rows = spark.read.parquet(table).orderBy("snapshot_date").collect()
     assert [(r["snapshot_date"], r["price"]) for r in rows] == [(dt.date(2026, 3, 27), Decimal("24.2")), (dt.date(2026, 4, 3), Decimal("24.4"))]
+
+
+def test_stream_reads_any_header_by_name(spark, tmp_path):
+    folder, table, ck = str(tmp_path / "drop"), str(tmp_path / "table"), str(tmp_path / "ck")
+    put(folder, "2026-03-27-drivers.csv", '\ufeffDriver Name,% Picked,Current Value,"Note, long",Team,Price Change,Season Points,A,B,C,D\r\n"Fast, Ann",25.00,$23.8M,"say ""x"", y",T,$0.3M,5,1,2,3,4\r\n')
+    put(folder, "2026-03-28-drivers.csv", "% Picked,Current Value,Driver Name,Price Change,Season Points\n26.00,$24.1M,Bob,$0.3M,7\n")
+    ingest(spark, folder, table, ck)
+    rows = {r["name"]: r for r in spark.read.parquet(table).collect()}
+    assert (rows["Fast, Ann"]["price"], rows["Fast, Ann"]["pick_percentage"], rows["Fast, Ann"]["season_points"], rows["Fast, Ann"]["team"]) == (Decimal("23.8"), 25.0, 5, "T")
+    assert (rows["Bob"]["price"], rows["Bob"]["team"]) == (Decimal("24.1"), None)
+
+
+def test_stream_ingests_teams_and_scores(spark, tmp_path):
+    folder = str(tmp_path / "drop")
+    put(folder, "2026-03-27-constructors.csv", "Constructor Name,Current Value,% Picked,Price Change,Season Points\nRed,$30.0M,40.0,$0.1M,50\n")
+    put(folder, "2026-03-27-drivers.csv", "Driver Name,Current Value,% Picked,Price Change,Season Points\nAnn,$20.0M,40.0,$0.1M,50\n")
+    ingest(spark, folder, str(tmp_path / "cp"), str(tmp_path / "ck1"), "constructor_price")
+    assert [r["name"] for r in spark.read.parquet(str(tmp_path / "cp")).collect()] == ["Red"]
+    head = "Points,Driver Name,Team,Race,Event Type,Scoring Item,Frequency,Position,Race Total,Season Total\n"
+    put(folder, "2026-03-27-all-drivers-performance.csv", head + "25,Ann,T,Oz,race,Race Position,,1,25,25\n")
+    for turn in (1, 2):
+        ingest(spark, folder, str(tmp_path / "ds"), str(tmp_path / "ck2"), "driver_score")
+        put(folder + "/again", "2026-03-27-all-drivers-performance.csv", head + "26,Ann,T,Oz,race,Race Position,,1,26,26\n")
+    rows = spark.read.parquet(str(tmp_path / "ds")).collect()
+    assert [(r["name"], r["race"], r["points"], r["race_total"]) for r in rows] == [("Ann", "Oz", 26, 26)]
