@@ -26,8 +26,10 @@ _PLACE = ("doc_id", "row", "line_no")
 
 
 def words_of(line: Column) -> Column:
-    """Words between white space; a blank line has one empty word."""
-    return F.split(F.trim(F.regexp_replace(line, "[ \\t\\n\\x0B\\f\\r]+", " ")), " ")
+    """Words between white space; a blank line has none."""
+    for c in "\t\x0b\f\r":  # plain replacements scan faster than a pattern
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
