@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,36 +39,58 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 _EDGE = re.compile(r"^\W+|\W+$")
 _SYMBOLS = "*&%$#|!?.,;:<>{}[]()=+/\\_-~^@\"'"
 SHAPES = 12 + len(_SYMBOLS)
+WORDS = 300_000
+_PLAIN = (False, False, False, False, ())
+
+
+def word_forms(raw: str) -> list[str]:
+    """A word and its beginnings, in lower case without the punctuation around it; ``=`` marks the whole word."""
+    w = _EDGE.sub("", raw).lower()
+    return ["=" + w, *(w[:k] for k in BEGINNINGS if len(w) > k)] if w else []
 
 
 def telling_forms(text: str) -> set[str]:
-    """Words, and beginnings of words, that a text holds; ``=`` marks whole words."""
-    out = set()
-    for raw in set(text.split()):
-        w = _EDGE.sub("", raw).lower()
-        if w:
-            out.add("=" + w)
-            out.update(w[:k] for k in BEGINNINGS if len(w) > k)
-    return out
-
-
-def shape(text: str) -> np.ndarray:
-    """Fixed-length description of a text's surface, all values of order 1."""
-    words = text.split()
-    n, m = max(1, len(text)), max(1, len(words))
-    counts = Counter(words)
-    top = max(counts.values(), default=0)
-    doubled = sum(a == b for a, b in zip(words, words[1:]))
-    lines = [x for x in text.split("\n") if x.strip()]
-    bars, marked, capitals, digits = 0, 0, 0, 0
-    for w, k in counts.items():
-        bars += k * (w == "|")
-        marked += k * (len(w) > 2 and w[-1] == w[-2] and not w[-1].isalnum())
-        capitals += k * (len(w) > 1 and w.isupper())
-        digits += k * any(c.isdigit() for c in w)
-    out = [np.log1p(m) / 5, m < 5, len(counts) / m, min(1, 3 * top / m) if m > 20 else 0, doubled / m, bars / m, marked / m, capitals / m, digits / m,
-           len(set(lines)) / max(1, len(lines)), min(3, n / m / 6), sum(map(len, counts)) / max(1, len(counts)) / 8]
-    return np.array([*out, *(min(2.0, text.count(c) * 10 / n) for c in _SYMBOLS)], float)
+    """All forms of all words of a text."""
+    return {f for raw in set(text.split()) for f in word_forms(raw)}
+
+
+class Reader:
+    """Shapes and known forms of texts. What a word contributes is remembered, up to ``WORDS`` words."""
+
+    def __init__(self, forms: Iterable[str]):
+        self.forms = frozenset(forms)
+        self.facts: dict[str, tuple] = {}
+
+    def _fact(self, w: str) -> tuple:
+        marked = len(w) > 2 and w[-1] == w[-2] and not w[-1].isalnum()
+        return (w == "|", marked, len(w) > 1 and w.isupper(), any(c.isdigit() for c in w), tuple(f for f in word_forms(w) if f in self.forms))
+
+    def read(self, text: str) -> tuple[np.ndarray, set[str]]:
+        words = text.split()
+        n, m = max(1, len(text)), max(1, len(words))
+        counts = Counter(words)
+        top = max(counts.values(), default=0)
+        doubled = sum(map(str.__eq__, words, words[1:]))
+        lines = [x for x in text.split("\n") if x.strip()]
+        bars = marked = capitals = digits = 0
+        forms: set[str] = set()
+        facts = self.facts
+        for w, k in counts.items():
+            fact = facts.get(w)
+            if fact is None:
+                fact = self._fact(w)
+                if len(facts) >= WORDS:
+                    facts.clear()
+                facts[w] = fact
+            if fact != _PLAIN:
+                bars += k * fact[0]
+                marked += k * fact[1]
+                capitals += k * fact[2]
+                digits += k * fact[3]
+                forms.update(fact[4])
+        out = [np.log1p(m) / 5, m < 5, len(counts) / m, min(1, 3 * top / m) if m > 20 else 0, doubled / m, bars / m, marked / m, capitals / m, digits / m,
+               len(set(lines)) / max(1, len(lines)), min(3, n / m / 6), sum(map(len, counts)) / max(1, len(counts)) / 8]
+        return np.array([*out, *(min(2.0, text.count(c) * 10 / n) for c in _SYMBOLS)], float), forms
 
 
 @dataclass(frozen=True)
@@ -133,10 +155,10 @@ def fit(sample: DataFrame) -> dict[str, Model | None]:
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, reader = [], Reader(at)
             for text, q, t in zip(b["text"], b["quality"], b["toxic"]):
-                text = text or ""
-                rows.append((int(q), int(t), shape(text), np.array(sorted(at[f] for f in telling_forms(text) if f in at), np.int32)))
+                shaped, held = reader.read(text or "")
+                rows.append((int(q), int(t), shaped, np.array(sorted(at[f] for f in held), np.int32)))
             yield pd.DataFrame(rows, columns=["quality", "toxic", "shape", "forms"])
 
     got = sample.mapInPandas(features, "quality int, toxic int, shape array<double>, forms array<int>").toPandas()
@@ -171,6 +193,18 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                  .groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")).select("text", "quality", "toxic"), "sample")
 
 
+_READERS: dict[tuple, Reader] = {}
+
+
+def reader_of(models: dict[str, Model | None]) -> Reader:
+    """The worker's reader of these models' forms, kept from batch to batch."""
+    key = tuple(f for m in models.values() if m for f in m.forms)
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = Reader(key)
+    return _READERS[key]
+
+
 def _logit(p):
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))
@@ -210,12 +244,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     @F.pandas_udf("quality double, toxic double")
     def evidence(texts: pd.Series) -> pd.DataFrame:
         models = [shared.value[t] for t in TARGETS]
-        rows = []
+        reader, rows = reader_of(shared.value), []
         for text in texts:
             if not text or not any(models):
                 rows.append((0.0, 0.0))
                 continue
-            s, f = shape(text), telling_forms(text)
+            s, f = reader.read(text)
             rows.append(tuple(m.score(s, f) if m else 0.0 for m in models))
         return pd.DataFrame(rows, columns=list(TARGETS))
 

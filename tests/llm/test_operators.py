@@ -396,12 +396,12 @@ def test_quality_held_out(spark):
 
 def test_quality_odd_rows(spark):
     rng = random.Random(13)
-    texts = [None, ""] + [sentence(rng, 30) + (" scum" if k % 4 == 0 else "") for k in range(80)]
+    texts = [None, ""] + [sentence(rng, 30) + (" scum" if k % 4 == 0 else "") for k in range(500)]
     docs = frame(spark, texts).withColumn("keep", F.lit("old"))
-    labels = spark.createDataFrame([(k, 1, int(k >= 2 and (k - 2) % 4 == 0)) for k in range(60)] + [(3, 1, 1), (4, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, 1, int(k >= 2 and (k - 2) % 4 == 0)) for k in range(400)] + [(3, 1, 1), (4, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in classify(docs, labels).collect()}
     assert len(got) == len(texts) and got[0]["keep"] and got[1]["keep"]
-    assert [k for k in got if k > 60 and not got[k]["keep"]] == [k for k in range(61, 82) if (k - 2) % 4 == 0]
+    assert [k for k in sorted(got) if k > 400 and not got[k]["keep"]] == [k for k in range(401, 502) if (k - 2) % 4 == 0]
     assert classify(docs, labels.limit(0)).filter("keep").count() == len(texts)
     assert classify(docs.limit(0), labels).count() == 0
     nulls = docs.withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit(None).cast("string"))
