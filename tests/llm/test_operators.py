@@ -234,7 +234,7 @@ def test_fingerprints(spark, corpus):
         assert sum(r["near_edited"] for r in long_) / len(long_) > 0.55
     words = [sentence(random.Random(k), 300) for k in range(20)]
     rows = fingerprints.neighbour_fingerprints(frame(spark, words)).collect()
-    assert max(r["near_next"] for r in rows) < 0.3 < 0.5 < min(r["near_edited"] for r in rows)
+    assert max(r["near_next"] for r in rows) < 0.3 < 0.45 < min(r["near_edited"] for r in rows)
     same = fingerprints.neighbour_fingerprints(frame(spark, ["one and the same text"] * 4 + [None], [4, 4, 2, 1, None])).collect()
     assert sorted((str(r["doc_id"]), r["near_next"]) for r in same) == [("1", 0.0), ("2", 1.0), ("4", 1.0), ("4", 1.0), ("None", 0.0)]
     assert fingerprints.neighbour_fingerprints(frame(spark, [])).count() == 0
@@ -431,7 +431,7 @@ def test_licenses(spark):
     assert {k: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for k, r in rows.items()} == {k: brute(t) for k, t in enumerate(texts)}
     assert rows[8]["labels"] == rows[9]["labels"] == "mit" and rows[8]["score"] == 1.0 and 0.6 <= rows[9]["score"] < 1 and rows[10]["labels"] == ""
     assert rows[11]["labels"] == "gpl-3" and rows[0]["score"] == 0.0
-    assert all(set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) for r in rows.values())
+    assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) for r in rows.values())
     twice = licenses.scan_licenses(frame(spark, [texts[3]] * 3, [5, 5, None])).collect()
     assert [(r["n_base"], r["labels"]) for r in twice] == [(1, "mit")] * 3
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
