@@ -150,7 +150,7 @@ def _(v):
 @query("ag14_exact_median_hot_groups", "SELECT session_type, median(lap_time) AS med FROM b_lap GROUP BY 1", d="med")
 def _(v):
     from ..functions.quantiles import exact_median
-    return exact_median(v.b_lap, ["session_type"], "lap_time", "med", hot=1000)
+    return exact_median(v.b_lap, ["session_type"], "lap_time", "med")
 
 
 @query("ag15_stint_slope", """

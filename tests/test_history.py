@@ -49,14 +49,16 @@ def test_asof_nearest_looks_forward_then_back(spark):
     assert got == {5: "x", 10: "x", 30: "y"}
 
 
-@pytest.mark.parametrize("hot", [3, 10**9])
-def test_exact_median_both_paths(spark, hot):
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 999, 1000, 1001, 20000])
+def test_exact_median_of_any_group_size(spark, size):
+    import random
     import statistics
-    r = random.Random(4)
-    rows = [(k, r.choice([1.5, 2.5, r.random() * 100])) for k in range(5) for _ in range(r.randint(1, 60))]
-    got = {x["k"]: x["m"] for x in exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", "m", hot=hot).collect()}
-    for k in range(5):
-        assert abs(got[k] - statistics.median([v for q, v in rows if q == k])) < 1e-9
+    rng = random.Random(size)
+    groups = {1: [rng.choice([1.5, 2.5, 2.5, 1e9, rng.random()]) for _ in range(size)], 2: [float(k) for k in range(size)], 3: [7.0] * size}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [(4, None), (1, None)]
+    rng.shuffle(rows)
+    got = {x["k"]: x["m"] for x in exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", "m").collect()}
+    assert got == {k: statistics.median(vs) for k, vs in groups.items()}
 
 
 def test_feature_columns_counts():
