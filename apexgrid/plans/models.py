@@ -30,6 +30,13 @@ class TreeSpec:
     bounds: str = "std"           # "std" or "quantile"
     half_life: float | None = None
     seed: int = 7
+    min_rows: int = 1             # rows that a leaf needs
+    columns: float = 1.0          # share of the columns that a split may use
+
+    def regressor(self, label: str, weight: str | None = None) -> GBTRegressor:
+        out = GBTRegressor(featuresCol="x", labelCol=label, predictionCol="_p", maxIter=self.trees, maxDepth=self.depth, stepSize=self.step,
+                           subsamplingRate=self.subsample, minInstancesPerNode=self.min_rows, featureSubsetStrategy=str(self.columns) if self.columns < 1 else "all", seed=self.seed)
+        return out.setWeightCol(weight) if weight else out
 
 
 SPECS = {
@@ -52,6 +59,25 @@ def _bucket(cuts: list[float], p):
     return sum((F.when(p > c, 1).otherwise(0) for c in cuts), F.lit(0))
 
 
+def residual_bounds(res: DataFrame) -> tuple[list[float], list[dict]]:
+    """Cuts of the predictions ``_p`` and, per bucket between them, residual quantiles; weights enter as repetitions of the values."""
+    cuts = [float(c) for c in res.agg(F.percentile_approx("_p", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or []]
+    freq = F.greatest(F.round(F.col("w") * 10_000).cast("bigint"), F.lit(1))
+    per = res.withColumn("b", _bucket(cuts, F.col("_p"))).groupBy("b").agg(
+        F.percentile("r", F.lit(0.1), freq).alias("lo"), F.percentile("r", F.lit(0.9), freq).alias("hi"))
+    return cuts, [r.asDict() for r in per.collect()]  # at most BUCKETS rows
+
+
+def bounded(p, cuts: list[float], table: list[dict]) -> dict:
+    """Columns ``lower`` and ``upper`` around a prediction, by its bucket."""
+    if not table:
+        return {"lower": p, "upper": p}
+    known = F.create_map(*[x for t in table for x in (F.lit(t["b"]), F.struct(F.lit(t["lo"]).alias("lo"), F.lit(t["hi"]).alias("hi")))])
+    hit = F.try_element_at(known, _bucket(cuts, p))
+    lo, hi = p + F.coalesce(hit["lo"], F.lit(0.0)), p + F.coalesce(hit["hi"], F.lit(0.0))
+    return {"lower": F.least(lo, hi), "upper": F.greatest(lo, hi)}
+
+
 def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="x").transform(df)
 
@@ -71,20 +97,14 @@ class TreeModel:
     def fit(self, train: DataFrame) -> "TreeModel":
         s = self.spec
         data = _assembled(weighted(train, s.half_life), self.cols).select("x", "w", "y_position", "y_points").persist()
-        gbt = lambda label: GBTRegressor(featuresCol="x", labelCol=label, weightCol="w", predictionCol="_p", maxIter=s.trees,
-                                         maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.subsample, seed=s.seed).fit(data)
+        gbt = lambda label: s.regressor(label, "w").fit(data)
         with ThreadPoolExecutor(2) as pool:  # two independent fits
             self.position, self.points = pool.map(gbt, ("y_position", "y_points"))
         res = self.points.transform(data).select("w", "_p", (F.col("y_points") - F.col("_p")).alias("r"))
         if s.bounds == "std":
             self.sd = float(res.agg(F.stddev_pop("r")).first()[0] or 0.0)
         else:
-            # residual quantiles inside prediction buckets; weights enter as repetitions of the sorted values
-            cuts = [float(c) for c in res.agg(F.percentile_approx("_p", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0]]
-            freq = F.greatest(F.round(F.col("w") * 100).cast("bigint"), F.lit(1))
-            per = res.withColumn("b", _bucket(cuts, F.col("_p"))).groupBy("b").agg(
-                F.percentile("r", F.lit(0.1), freq).alias("lo"), F.percentile("r", F.lit(0.9), freq).alias("hi"))
-            self.cuts, self.table = cuts, [r.asDict() for r in per.collect()]  # at most BUCKETS rows
+            self.cuts, self.table = residual_bounds(res)
         data.unpersist()
         return self
 
@@ -94,12 +114,8 @@ class TreeModel:
         out = self.points.transform(out).withColumnRenamed("_p", "predicted_points").drop("x")
         p = F.col("predicted_points")
         if self.spec.bounds == "std":
-            lo, hi = p - F.lit(self.sd), p + F.lit(self.sd)
-        else:
-            table = F.create_map(*[x for t in self.table for x in (F.lit(t["b"]), F.struct(F.lit(t["lo"]).alias("lo"), F.lit(t["hi"]).alias("hi")))])
-            hit = F.try_element_at(table, _bucket(self.cuts, p))
-            lo, hi = p + F.coalesce(hit["lo"], F.lit(0.0)), p + F.coalesce(hit["hi"], F.lit(0.0))
-        return out.withColumns({"lower": F.least(lo, hi), "upper": F.greatest(lo, hi)})
+            return out.withColumns({"lower": p - F.lit(self.sd), "upper": p + F.lit(self.sd)})
+        return out.withColumns(bounded(p, self.cuts, self.table))
 
     def importances(self) -> list[tuple[str, float]]:
         v = self.points.featureImportances.toArray()
@@ -117,8 +133,8 @@ class Ranker:
     scale: list[float] = field(default_factory=list)
     slope: float = 1.0
     intercept: float = 0.0
-    lo: float = 0.0
-    hi: float = 0.0
+    cuts: list[float] = field(default_factory=list)
+    table: list[dict] = field(default_factory=list)
 
     def fit(self, train: DataFrame) -> "Ranker":
         e = Window.partitionBy("event_id")
@@ -136,9 +152,8 @@ class Ranker:
         if row["sd"] is not None and row["sd"] >= 1e-9 and row["k"] is not None:
             self.slope, self.intercept = float(row["k"]), float(row["b"])
         self.scale = [float(row[f"sd_{c}"] or 0.0) for c in self.cols]
-        q = s.select((F.col("y_points") - (F.col("s") * self.slope + self.intercept)).alias("r")).agg(
-            F.percentile_approx("r", [0.1, 0.9], 1000).alias("q")).first()["q"]
-        self.lo, self.hi = sorted((float(q[0]), float(q[1])))
+        p = F.col("s") * self.slope + self.intercept
+        self.cuts, self.table = residual_bounds(s.select(p.alias("_p"), (F.col("y_points") - p).alias("r"), F.lit(1.0).alias("w")))
         data.unpersist()
         return self
 
@@ -146,8 +161,8 @@ class Ranker:
         score = sum((F.col(c) * w for c, w in zip(self.cols, self.weights)), F.lit(0.0))
         out = df.withColumn("score", score)
         pts = F.col("score") * self.slope + self.intercept
-        return out.withColumns({"predicted_position": average_rank(["event_id"], "score", ascending=False), "predicted_points": pts}).withColumns({
-            "lower": F.col("predicted_points") + self.lo, "upper": F.col("predicted_points") + self.hi})
+        return out.withColumns({"predicted_position": average_rank(["event_id"], "score", ascending=False), "predicted_points": pts}).withColumns(
+            bounded(F.col("predicted_points"), self.cuts, self.table))
 
     def importances(self) -> list[tuple[str, float]]:
         return sorted(((c, abs(w * s)) for c, w, s in zip(self.cols, self.weights, self.scale)), key=lambda t: -t[1])
@@ -160,11 +175,13 @@ def make(version: str, cols: list[str]):
     return Ranker(cols, DEFAULTS.half_life if version == "v4" else None)
 
 
-# The search grid of the regressors.
-GRID = {"trees": (50, 100, 200), "depth": (2, 3, 4), "step": (0.03, 0.05, 0.1), "subsample": (0.7, 0.8, 1.0)}
+# The search grid of the regressors. Ridge weights of leaves have no counterpart in MLlib.
+GRID = {"trees": (20, 50, 100), "depth": (2, 3, 4), "step": (0.05, 0.1, 0.2), "min_rows": (3, 5, 10), "subsample": (0.7, 0.8), "columns": (0.7, 0.8)}
+#: Settings that a full search draws.
+SEARCH_DRAWS = 50
 
 
-def draw_specs(n: int, grid: dict = GRID, seed: int = 42) -> list[TreeSpec]:
+def draw_specs(n: int = SEARCH_DRAWS, grid: dict = GRID, seed: int = 42) -> list[TreeSpec]:
     """``n`` distinct settings of the grid."""
     import itertools
     import random
@@ -173,20 +190,21 @@ def draw_specs(n: int, grid: dict = GRID, seed: int = 42) -> list[TreeSpec]:
 
 
 def search(train: DataFrame, cols: list[str], specs: list[TreeSpec], folds: int = 4) -> DataFrame:
-    """Mean absolute position error per setting over expanding folds of whole events."""
+    """Mean absolute position error per setting over expanding folds of whole events, and what it gains on the first setting."""
     last = train.agg(F.max("event_index")).first()[0]
     cuts = [round((last + 1) * (i + 1) / (folds + 1)) for i in range(folds + 1)]
     data = _assembled(train, cols).select("x", "event_index", "y_position").persist()
 
     def one(task):
         i, s, f = task
-        gbt = GBTRegressor(featuresCol="x", labelCol="y_position", predictionCol="_p", maxIter=s.trees, maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.subsample, seed=s.seed)
-        m = gbt.fit(data.where(F.col("event_index") < cuts[f]))
+        m = s.regressor("y_position").fit(data.where(F.col("event_index") < cuts[f]))
         test = data.where((F.col("event_index") >= cuts[f]) & (F.col("event_index") < cuts[f + 1]))
-        return i, s.trees, s.depth, s.step, s.subsample, f, m.transform(test).agg(F.avg(F.abs(F.col("_p") - F.col("y_position")))).first()[0]
+        return i, s.trees, s.depth, s.step, s.min_rows, s.subsample, s.columns, f, m.transform(test).agg(F.avg(F.abs(F.col("_p") - F.col("y_position")))).first()[0]
 
     with ThreadPoolExecutor(4) as pool:
         rows = list(pool.map(one, [(i, s, f) for i, s in enumerate(specs) for f in range(folds)]))
     data.unpersist()
-    out = train.sparkSession.createDataFrame(rows, "spec_id int, trees int, depth int, step double, subsample double, fold int, mae double")
-    return out.groupBy("spec_id", "trees", "depth", "step", "subsample").agg(F.avg("mae").alias("mae"))
+    out = train.sparkSession.createDataFrame(rows, "spec_id int, trees int, depth int, step double, min_rows int, subsample double, columns double, fold int, mae double")
+    mean = out.groupBy("spec_id", "trees", "depth", "step", "min_rows", "subsample", "columns").agg(F.avg("mae").alias("mae"))
+    first = F.max(F.when(F.col("spec_id") == 0, F.col("mae"))).over(Window.partitionBy(F.lit(1)))  # one row per setting
+    return mean.withColumn("gain", first - F.col("mae"))
