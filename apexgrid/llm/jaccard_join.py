@@ -5,7 +5,7 @@ Documents are compared as sets of distinct five-word shingles. Two link when the
 
 * Documents of equal sets are one class, found by a 128-bit digest; only one representative goes on.
 * Light sets (fewer than a boundary of shingles) list every subset of the size that a partner must share with them
-  as one hashed key. Heavy sets list the rarest tokens of which partners must share one. The boundary is the one with the
+  as one hashed key. Heavy sets list the rarest tokens of which partners must share two. The boundary is the one with the
   least estimated work: keys written, plus pairs that an inverted list of small sets would bring up.
 * Inverted lists are scanned without forming their pairs: first every list tests its members against one pivot
   member, and what is linked becomes one component. Only lists that still hold several components are then
@@ -49,8 +49,8 @@ FETCH_BITS = 1 << 25
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """Tokens of which a partner must share one, in any common order."""
-    return n + (-percent * n // 100) + 1
+    """Tokens, the first in any common order, of which a partner of a set of two or more must share two."""
+    return min(n, n + (-percent * n // 100) + 2)
 
 
 def subset_sizes(n: int, percent: int) -> list[int]:
@@ -168,17 +168,27 @@ def _boundary(heads: DataFrame, percent: int) -> int:
     return min(range(1, MAX_LIGHT + 2), key=work)
 
 
-def _lists(rows: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """(h, id, n): inverted lists that more than one document stands in; ids are those of classes."""
+def _lists(rows: DataFrame, percent: int) -> DataFrame:
+    """(h, id, n, w, pivot, pn): inverted lists that more than one document stands in, each with its pivot.
+
+    ``w`` is 2 for subset keys, which prove enough by themselves, and 1 for tokens, of which partners share two. A set
+    of one shingle has no partner but its copies.
+    """
     bound = _boundary(rows, percent)
     keys = F.udf(lambda t: subset_keys(np.array(t, np.int64), percent), "array<long>")
-    in_lists = F.col("n") * 100 >= percent * bound
-    rare = rows.filter(in_lists).select(F.explode("prefix").alias("h"), "doc_id") \
-        .union(rows.filter((F.size("small") > 0) & (F.col("n") < bound)).select(F.explode(keys("small")), "doc_id"))
-    w = Window.partitionBy("h")
-    rare = rare.withColumns({"lo": F.min("doc_id").over(w), "hi": F.max("doc_id").over(w)}).filter("lo <> hi").select("h", "doc_id")
-    common = rows.filter(in_lists).select(F.explode("common").alias("h"), "doc_id")
-    return stage(rare.union(common).join(placed, "doc_id").select("h", F.col("class_id").alias("id"), "n").distinct(), "lists")
+    rows = rows.filter("n > 1")
+    in_lists = rows.filter(F.col("n") * 100 >= percent * bound)
+
+    def listed(df: DataFrame, tokens, w: int) -> DataFrame:
+        return df.select(F.explode(tokens).alias("h"), F.col("doc_id").alias("id"), "n", F.lit(w).alias("w"))
+
+    pivot = F.min(F.struct(F.xxhash64("id").alias("k"), "id", "n"))
+    by = Window.partitionBy("h")
+    rare = listed(in_lists, "prefix", 1).union(listed(rows.filter((F.size("small") > 0) & (F.col("n") < bound)), keys("small"), 2)) \
+        .withColumns({"lo": F.min("id").over(by), "hi": F.max("id").over(by), "p": pivot.over(by)}).filter("lo <> hi").drop("lo", "hi")
+    common = listed(in_lists, "common", 1)
+    common = common.join(common.groupBy("h").agg(pivot.alias("p")), "h")
+    return stage(rare.unionByName(common).select("h", "id", "n", "w", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "lists")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -236,11 +246,14 @@ def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     return lists.join(connected(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Distinct ``pairs(x, y, w)`` that share two tokens or one subset key."""
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")).filter("w > 1").select("a", "b")
+
+
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Every member of a list against the list's pivot, which is mostly the same for lists that share members."""
-    pivot = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("k"), "id", "n")).alias("p")).select("h", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
-    return lists.join(pivot, "h").filter((F.col("id") != F.col("pivot")) & _sized("n", "pn", percent)) \
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    """Members of lists against the list's pivot, which is mostly the same for lists that share members."""
+    return _enough(lists.filter((F.col("id") != F.col("pivot")) & _sized("n", "pn", percent)).select(F.col("id").alias("x"), F.col("pivot").alias("y"), "w"))
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,19 +291,17 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _open_lists(rows: DataFrame) -> DataFrame:
-    """Rows of lists that still hold several components, with the list's length and pivot."""
-    many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len"),
-                                     F.min(F.struct(F.xxhash64("id").alias("k"), "id")).alias("p")) \
-        .filter("lo <> hi").select("h", "len", F.col("p.id").alias("pivot"))
+    """Rows of lists that still hold several components, with the list's length."""
+    many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len")).filter("lo <> hi").select("h", "len")
     return rows.join(many, "h")
 
 
 def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in short lists."""
+    """Pairs across components in short lists. A pair that shares a long list is left to the blocks."""
     short = rows.filter(F.col("len") <= SHORT_LIST)
-    a = short.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = short.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return a.join(b, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb", percent)).select("a", "b").distinct()
+    a = short.select("h", "w", F.col("id").alias("x"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    b = short.select("h", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    return _enough(a.join(b, "h").filter((F.col("x") < F.col("y")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb", percent)).select("x", "y", "w"))
 
 
 def _long_members(rows: DataFrame) -> DataFrame:
@@ -307,14 +318,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = WIDTH) -
     rows = stage(_token_rows(docs, percent, width), "tokens")
     full = rows.filter("n > 0")
     first = full.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    placed = stage(full.select("doc_id", "n", "digest").join(first, "digest").select("doc_id", "n", "class_id"), "classes")
-    lists = _lists(rows, placed.distinct(), percent)
-    sketches = stage(full.filter("sketch IS NOT NULL").select("doc_id", "sketch").join(placed, "doc_id")
-                     .select(F.col("class_id").alias("id"), "n", "sketch").distinct(), "sketches")
+    placed = stage(full.select("doc_id", "n", "digest", F.col("sketch").isNotNull().alias("own")).join(first, "digest").select("doc_id", "n", "class_id", "own"), "classes")
+    lists = _lists(rows, percent)
+    sketches = full.filter("sketch IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "sketch")
 
-    # rows that repeat a doc_id tie their classes together
+    # documents with tokens stand for their class; rows that repeat a doc_id tie their classes together
     same = placed.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a <> z").select("doc_id", "a")
-    links = placed.join(same, "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
+    links = placed.join(same, "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b") \
+        .union(placed.filter("own AND doc_id <> class_id").select("doc_id", "class_id")).distinct()
     tested = stage(_promising(_pivot_pairs(lists, percent), sketches, percent), "pairs")
     links = stage(links.union(_verified(tested, _sets(docs, _ends(tested), width), percent)), "links")
 
