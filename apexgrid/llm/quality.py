@@ -236,8 +236,8 @@ def site_shifts(sites: DataFrame) -> DataFrame:
     return out.select("host", "path", *[f"shift_{t}" for t in TARGETS])
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """``docs`` with ``p_quality``, ``p_toxic`` and ``keep``."""
+def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """(doc_id, text_hash, p_quality, p_toxic, keep), one row per row of ``docs``. Texts are read once and not shuffled."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(training_sample(docs, labels)))
 
@@ -254,17 +254,23 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         return pd.DataFrame(rows, columns=list(TARGETS))
 
     has = (F.length("text") > 0) & F.lit(any(shared.value.values()))
-    scored = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), evidence("text").alias("e"), has.alias("has"))
+    scored = stage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"),
+                               evidence("text").alias("e"), F.coalesce(has, F.lit(False)).alias("has")).select("*", "e.*").drop("e"), "evidence")
     sites = stage(scored.filter("has").groupBy("host", "path").agg(
-        F.count("*").alias("n"), *[F.sum(1 / (1 + F.exp(-F.col(f"e.{t}")))).alias(t) for t in TARGETS]), "sites")
-    shifts = stage(site_shifts(sites), "shifts")
-    # the strings that the driver would hold are bounded by the number of sites; larger tables are joined by shuffle
+        F.count("*").alias("n"), *[F.sum(1 / (1 + F.exp(-F.col(t)))).alias(t) for t in TARGETS]), "sites")
+    shifts = stage(site_shifts(sites), "shifts").toDF("_host", "_path", *[f"_shift_{t}" for t in TARGETS])
+    # sites are broadcast only up to a bound; larger tables are joined by shuffle
     small = shifts.count() <= BROADCAST_SITES
-    names = [c for c in docs.columns if c not in ("p_quality", "p_toxic", "keep")]
-    left = docs.select(*names).withColumn("_e", evidence("text")).withColumn("_has", F.coalesce(has, F.lit(False)))
-    right = shifts.toDF("_host", "_path", *[f"_shift_{t}" for t in TARGETS])
-    joined = left.join(F.broadcast(right) if small else right, left[host].cast("string").eqNullSafe(right["_host"]) & left[path].cast("string").eqNullSafe(right["_path"]), "left")
-    p = {t: 1 / (1 + F.exp(-(F.col(f"_e.{t}") + F.coalesce(F.col(f"_shift_{t}"), F.lit(0.0))))) for t in TARGETS}
-    known = {t: F.lit(shared.value[t] is not None) & F.col("_has") for t in TARGETS}
+    joined = scored.join(F.broadcast(shifts) if small else shifts, scored["host"].eqNullSafe(shifts["_host"]) & scored["path"].eqNullSafe(shifts["_path"]), "left")
+    p = {t: 1 / (1 + F.exp(-(F.col(t) + F.coalesce(F.col(f"_shift_{t}"), F.lit(0.0))))) for t in TARGETS}
+    known = {t: F.lit(shared.value[t] is not None) & F.col("has") for t in TARGETS}
     keep = ~(known["toxic"] & (p["toxic"] >= TOXIC_CUT)) & ~(known["quality"] & (p["quality"] < QUALITY_CUT))
-    return joined.select(*names, p["quality"].alias("p_quality"), p["toxic"].alias("p_toxic"), keep.alias("keep"))
+    return joined.select("doc_id", "text_hash", p["quality"].alias("p_quality"), p["toxic"].alias("p_toxic"), keep.alias("keep"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """``docs`` with ``p_quality``, ``p_toxic`` and ``keep``. Rows that repeat id and text get the strictest of their scores."""
+    per = quality_scores(docs, labels, host, path).groupBy("doc_id", "text_hash").agg(
+        F.min("p_quality").alias("p_quality"), F.max("p_toxic").alias("p_toxic"), F.min("keep").alias("keep")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    docs = docs.select(*[c for c in docs.columns if c not in ("p_quality", "p_toxic", "keep")])
+    return docs.join(per, docs["doc_id"].eqNullSafe(per["_id"]) & (F.xxhash64(docs["text"]) == per["_hash"])).drop("_id", "_hash")

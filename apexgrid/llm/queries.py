@@ -11,7 +11,7 @@ from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .line_dedup import line_report
 from .packing import pack
-from .quality import classify
+from .quality import quality_scores
 from .secrets import digest_columns, scan_secrets
 from .token_shards import read_sequences, write_shards
 from .url_filter import judge_urls
@@ -76,7 +76,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "keep")
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "keep")
 
 
 @query("op1_secret_scan")
