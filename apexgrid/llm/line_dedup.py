@@ -2,6 +2,7 @@
 
 Lines are compared as sequences of words. A line of at least ``min_words`` words goes when an earlier line (by doc_id, then place in the
 text) is equal to it or within one word edit: a word replaced, inserted or deleted. The earliest of such lines stays.
+Shorter lines, down to ``exact_words``, go when an earlier line is equal; without that value they always stay.
 
 1. Equal lines are one class with its first place; this settles exact copies by one grouped minimum, whatever their number.
 2. Lines within one edit share their first or their last half. Classes none of whose halves (for both lengths that a
@@ -12,7 +13,7 @@ text) is equal to it or within one word edit: a word replaced, inserted or delet
 4. Joined pairs are verified word by word, and the later one goes. Should a hash collision make a pair fail, its group is
    compared without the shortcut.
 
-Defined cases: a null text stays null; blank and shorter lines always stay; rows that repeat both id and text are treated alike;
+Defined cases: a null text stays null; blank lines and those under both lengths always stay; rows that repeat both id and text are treated alike;
 rows without an id stay as they are and make no others go. All columns pass through.
 """
 from __future__ import annotations
@@ -36,16 +37,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id"), F.xxhash64("text").alias("row"), "text")
 
 
-def _classes(docs: DataFrame, min_words: int) -> DataFrame:
-    """(h1, h2, place, halves): distinct lines with their first place and the hashes of their halves."""
+def _least(min_words: int, exact_words: int | None) -> int:
+    """Words of the shortest line that may go; a blank line never does."""
+    return max(1, min_words if exact_words is None else min(exact_words, min_words))
+
+
+def _classes(docs: DataFrame, min_words: int, least: int) -> DataFrame:
+    """(h1, h2, place, halves): distinct lines with their first place and, from ``min_words`` on, the hashes of their halves."""
     lines = _keyed(docs).select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")) \
-        .withColumn("w", words_of("line")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
+        .withColumn("w", words_of("line")).withColumn("n", F.size("w")).filter(F.col("n") >= least)
 
     def halves(m: Column) -> list[Column]:
         p = F.floor(m / 2).cast("int")
         return [F.xxhash64(F.lit(0), m, F.slice("w", F.lit(1), p)), F.xxhash64(F.lit(1), m, F.slice("w", F.col("n") - (m - p) + 1, m - p))]
 
-    keys = F.array(*halves(F.col("n")), *halves(F.col("n") - 1))
+    keys = F.when(F.col("n") >= min_words, F.array(*halves(F.col("n")), *halves(F.col("n") - 1)))
     return lines.select(F.xxhash64("w").alias("h1"), F.xxhash64("w", F.lit(7)).alias("h2"), F.struct(*_PLACE).alias("place"), keys.alias("halves")) \
         .groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
@@ -89,9 +95,9 @@ def _one_edit(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").select("x", "y", "at", "kind", "key", "n", good.alias("good"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, kept): for every keyed row the places of its long lines that stay."""
-    classes = stage(_classes(docs, min_words), "line-classes")
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
+    """(doc_id, row, kept): for every keyed row the places of its lines that stay, of those that are long enough to go."""
+    classes = stage(_classes(docs, min_words, _least(min_words, exact_words)), "line-classes")
     lines = stage(_with_words(docs, _candidates(classes)), "line-candidates")
     variants = stage(_variants(lines), "line-variants")
 
@@ -113,10 +119,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("kept"))
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): which lines (from 0) of each row go. No text leaves its scan."""
-    kept = repeated_lines(docs, min_words)
-    long_lines = F.filter(F.expr("sequence(0, size(lines) - 1)"), lambda i: F.size(words_of(F.element_at("lines", i + 1))) >= min_words)
+    kept, least = repeated_lines(docs, min_words, exact_words), _least(min_words, exact_words)
+    long_lines = F.filter(F.expr("sequence(0, size(lines) - 1)"), lambda i: F.size(words_of(F.element_at("lines", i + 1))) >= least)
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.split("text", "\n").alias("lines")) \
         .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("row"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), long_lines.alias("long"))
     stays = F.coalesce("kept", F.when(F.col("row").isNull(), F.col("long")), F.array().cast("array<int>"))
@@ -125,15 +131,15 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``. Rows keep their other columns, also when no line is left."""
-    kept = repeated_lines(docs, min_words)
+    kept, least = repeated_lines(docs, min_words, exact_words), _least(min_words, exact_words)
     right = kept.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("kept").alias("_kept"))
     none = F.array().cast("array<int>")
     lines = F.split("text", "\n")
     joined = docs.join(right, (docs["doc_id"] == right["_id"]) & (F.xxhash64(docs["text"]) == right["_row"]), "left").withColumn("_lines", lines)
     stay = F.array_sort(F.array_union(F.coalesce("_kept", none), F.filter(F.expr("sequence(0, size(_lines) - 1)"),
-                                                                           lambda i: F.size(words_of(F.element_at("_lines", i + 1))) < min_words)))
+                                                                           lambda i: F.size(words_of(F.element_at("_lines", i + 1))) < least)))
     cleaned = F.when(F.col("text").isNull() | F.col("doc_id").isNull(), F.col("text")) \
         .otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n"))
     return joined.withColumn("text", cleaned).select(*docs.columns)

@@ -42,6 +42,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+_EVERY_LINE_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i AS line_no, ls[i + 1] AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM s)),
+k AS (SELECT * FROM (SELECT doc_id, line_no, doc_id * 100000000 + line_no AS place,
+             string_split(trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ') AS w FROM l) WHERE w <> ['']),
+a AS (SELECT w, len(w) AS n, min(place) AS place FROM k GROUP BY w),
+c AS (SELECT * FROM a WHERE n >= 5),
+v AS (SELECT place, n, a, list_concat(w[1:a - 1], w[a + 1:]) AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS a FROM c)),
+g AS (SELECT rest, n, a, min(place) AS first FROM v GROUP BY ALL HAVING count(*) > 1),
+gone AS (SELECT v.place FROM v JOIN g ON v.rest = g.rest AND v.n = g.n AND v.a = g.a WHERE v.place > g.first
+         UNION SELECT greatest(v.place, c.place) FROM v JOIN c ON v.rest = c.w),
+r AS (SELECT doc_id, count(*) AS n, string_agg(cast(line_no AS varchar), ',' ORDER BY line_no) AS removed FROM k
+      WHERE place NOT IN (SELECT place FROM a) OR place IN (SELECT place FROM gone) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed
+FROM documents d LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op2_line_dedup_every_line", _EVERY_LINE_SQL)
+def op2_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies of every line that is not blank; edits from five words on."""
+    return line_report(table(spark, sf_dir, "documents"), exact_words=1)
+
+
 @query("op4_ngram_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -181,6 +182,26 @@ def test_line_dedup(spark):
     assert sorted((r["doc_id"], r["text"]) for r in cleaned.collect()) == [(w[0], w[4]) for w in want]
 
 
+def test_line_dedup_settles_short_copies(spark):
+    rng = random.Random(8)
+    pool = ["six", "  six ", "All rights reserved.", "All rights  reserved.", "All rights kept.", "a b c d", "a b c d e", "a b c d f", "a b c", "", "  "] + [sentence(rng, n) for n in (1, 2, 3, 4, 5, 9)]
+    rows = [(k, "\n".join(["page end"] + [rng.choice(pool) for _ in range(rng.randrange(1, 7))])) for k in range(40)]
+    seen, want, cleaned = [], [], []
+    for doc, text in rows:
+        lines, gone = text.split("\n"), []
+        for k, line in enumerate(lines):
+            words = line.split()
+            if words and any(w == words or min(len(w), len(words)) >= 5 and word_edits(w, words) <= 1 for w in seen):
+                gone.append(k)
+            seen.append(words)
+        want.append((doc, len(lines), len(gone), ",".join(map(str, gone))))
+        cleaned.append((doc, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    docs = frame(spark, [t for _, t in rows]).repartition(3)
+    assert sorted(map(tuple, line_report(docs, exact_words=1).collect())) == want
+    assert sorted((r["doc_id"], r["text"]) for r in without_repeated_lines(docs, exact_words=1).collect()) == cleaned
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()) == cleaned
+
+
 def test_line_dedup_odd_rows(spark):
     t = "one two three four five\nsix"
     docs = frame(spark, [t, t, t, t], [None, 2, 2, 1])
