@@ -31,9 +31,10 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 _KNOWN = re.compile(r"""[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}   # UUID
     | [0-9][0-9.,/+_=-]*                                                     # number, date, version
-    | [A-Za-z_=.+/-]+                                                        # no digit at all: words, names, rules
-    | ([A-Za-z]+[0-9]{0,4}[-_./=+]+)*[A-Za-z]+[0-9]{0,4}[-_./=+]*            # words with short numbers, joined
     """, re.VERBOSE)
+# words in lower, upper, capitalised or camel case with a short number; letters in irregular case are left to the ratio
+_WORD = re.compile(r"([a-z]+|[A-Z]+|[A-Z][a-z]+|[A-Za-z][a-z]{2,}([A-Z][a-z]{2,})+)[0-9]{0,4}")
+_BETWEEN = re.compile(r"[-_./=+]+")
 
 
 @lru_cache(maxsize=2)
@@ -55,7 +56,7 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 def is_known(run: str) -> bool:
     """Digests and identifiers."""
-    return bool(_KNOWN.fullmatch(run)) or len(run.rstrip("=")) in DIGEST_LENGTHS and bool(_HEX_RUN.fullmatch(run))
+    return bool(_KNOWN.fullmatch(run)) or all(_WORD.fullmatch(p) for p in _BETWEEN.split(run) if p) or len(run.rstrip("=")) in DIGEST_LENGTHS and bool(_HEX_RUN.fullmatch(run))
 
 
 def ratio(run: str, encoding) -> float:

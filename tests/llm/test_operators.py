@@ -239,6 +239,25 @@ def test_secrets(spark):
     assert secrets.scan_secrets(frame(spark, []), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def random_keys(rng, letters, digits=0, n=300, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
+    return ["".join(rng.choice(alphabet) for _ in range(letters)) + "".join(rng.choice("0123456789") for _ in range(digits)) for _ in range(n)]
+
+
+def test_secrets_in_irregular_case_but_no_words(spark):
+    rng = random.Random(6)
+    encoding = secrets._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+    def dense(t):
+        return [s for s in secrets.find_spans(t, encoding) if s[0] == "dense"]
+    for letters, digits in ((20, 0), (32, 0), (20, 4)):
+        keys = random_keys(rng, letters, digits)
+        assert sum(dense(f"key {k} end") == [("dense", 4, 4 + len(k))] for k in keys) >= 0.98 * len(keys)
+    words = {w for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL").select("text").collect() for w in re.findall("[A-Za-z]{16,}", r["text"])}
+    assert len(words) > 50 and not [w for w in words if dense(w)]
+    for t in ("thattionthhewherndtion", "SOME_LONG_CONSTANT_NAME", "Dieschaulichlich", "someLongIdentifierName12", "getUserName/SetOtherValue.toString", "/".join(["some/Long_path2"] * 3000)):
+        assert not dense(t)
+
+
 def test_fingerprints(spark, corpus):
     texts = corpus[:90] + [sentence(random.Random(8), 900), "a" * 40000, "ab" * 9000]
     order = sorted(range(len(texts)), reverse=True)
