@@ -1,8 +1,10 @@
 """Secret scan: patterns, and a token-efficiency test.
 
 Natural words need few tokens of a byte-pair vocabulary, random strings need many. A run of key characters that has fewer
-than ``MAX_RATIO`` characters per token is reported as ``dense``, unless it is a known digest or identifier. The
-patterns' spans are reported besides, whatever the test says.
+than ``MAX_RATIO`` characters per token is reported as ``dense``, unless it is a known digest or identifier. In a run that is not,
+as a path, URL or assignment, the parts between separators are tested, so that words do not dilute a key; neighbouring
+parts of random characters count as one, since a key may itself hold separators. The patterns' spans are reported besides,
+whatever the test says.
 
 Spans are (kind, start, end) in code points, end exclusive, leftmost and not overlapping within a kind.
 Defined cases: null and empty texts have none; equal rows get equal spans; all columns pass through, and the result replaces
@@ -25,16 +27,20 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_VALUE = 8
 #: Runs that are tested, characters per token under which one is dense, and characters encoded at once.
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-MAX_RATIO, SLICE = 2.0, 256
+MIN_RUN, MAX_RATIO, SLICE = 16, 2.0, 256
 # known digests (MD5, SHA-1, SHA-2 in hexadecimal) and identifiers (UUIDs, numbers, dates, versions, dotted and slashed names)
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 _KNOWN = re.compile(r"""[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}   # UUID
     | [0-9][0-9.,/+_=-]*                                                     # number, date, version
+    | [0-9]{8}T[0-9]{4,6}Z?                                                  # time
     """, re.VERBOSE)
 # words in lower, upper, capitalised or camel case with a short number; letters in irregular case are left to the ratio
 _WORD = re.compile(r"([a-z]+|[A-Z]+|[A-Z][a-z]+|[A-Za-z][a-z]{2,}([A-Z][a-z]{2,})+)[0-9]{0,4}")
 _BETWEEN = re.compile(r"[-_./=+]+")
+# a UUID is one part; a word or number of under so many characters says nothing
+_PART = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+SHORT_PART = 4
 
 
 @lru_cache(maxsize=2)
@@ -64,6 +70,36 @@ def ratio(run: str, encoding) -> float:
     return len(run) / sum(len(encoding.encode_ordinary(run[i:i + SLICE])) for i in range(0, len(run), SLICE))
 
 
+def is_dense(run: str, encoding) -> bool:
+    return len(run) >= MIN_RUN and not is_known(run) and ratio(run, encoding) < MAX_RATIO
+
+
+def dense_parts(run: str, encoding) -> list[tuple[int, int]]:
+    """Where a run is dense: all of it, or stretches of parts that are each random characters."""
+    if len(run) < MIN_RUN or is_known(run):
+        return []
+    if ratio(run, encoding) < MAX_RATIO:
+        return [(0, len(run))]
+    stretches, now, end = [], [], 0
+    for m in _PART.finditer(run):
+        part = m.group()
+        if not is_known(part) and ratio(part, encoding) < MAX_RATIO:
+            now.append(m.span())
+            end = len(now)
+        elif now and len(part) < SHORT_PART:
+            now.append(m.span())
+        elif now:
+            stretches.append(now[:end])
+            now, end = [], 0
+    if now:
+        stretches.append(now[:end])
+    out = []
+    for parts in stretches:
+        a, b = parts[0][0], parts[-1][1]
+        out += [(a, b)] if is_dense(run[a:b], encoding) else [(x, y) for x, y in parts if is_dense(run[x:y], encoding)]
+    return out
+
+
 def find_spans(text: str | None, encoding) -> list[tuple[str, int, int]]:
     """All spans of a text, by start, then kind."""
     if not text:
@@ -73,9 +109,7 @@ def find_spans(text: str | None, encoding) -> list[tuple[str, int, int]]:
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in RUN.finditer(text):
         start, end = trimmed(text, *m.span())
-        run = text[start:end]
-        if len(run) >= 16 and not is_known(run) and ratio(run, encoding) < MAX_RATIO:
-            out.append((start, 3, end))
+        out += [(start + a, 3, start + b) for a, b in dense_parts(text[start:end], encoding)]
     return [(KINDS[k], a, b) for a, k, b in sorted(out)]
 
 

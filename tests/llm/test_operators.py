@@ -258,6 +258,27 @@ def test_secrets_in_irregular_case_but_no_words(spark):
         assert not dense(t)
 
 
+def test_secrets_inside_longer_runs(spark):
+    rng = random.Random(7)
+    encoding = secrets._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+    def dense(t):
+        return [s[1:] for s in secrets.find_spans(t, encoding) if s[0] == "dense"]
+    for before, after in (("docs.example.com/downloads/documents/reports/session=", ""), ("downloads/documents/" * 2000, "/reports/summary/documents/index.html")):
+        keys = random_keys(rng, 24, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")[:200]
+        found = sum(dense(f"see {before}{k}{after} end") == [(4 + len(before), 28 + len(before))] for k in keys)
+        assert found >= 0.98 * len(keys)
+    # a key with separators of its own is one span, two keys are two
+    before, k1, k2 = "docs.example.com/downloads/documents/reports/information/downloads/documents/session=", "q7Zk2LxV9tBw", "Xr4mPw8sUe3Jh6Gd"
+    assert dense(before + k1 + "/" + k2) == [(len(before), len(before) + 29)]
+    two = before + k2 + "/documents/reports/downloads/information/token=" + k2[::-1]
+    assert dense(two) == [(len(before), len(before) + 16), (len(two) - 16, len(two))]
+    sha, uuid = hashlib.sha1(b"x").hexdigest(), "123e4567-e89b-12d3-a456-426614174000"
+    for t in (f"example.com/documents/commit/{sha}/reports", f"example.com/documents/item/{uuid}/reports", "example.com/documents/2024/01/02/page7/report-12.html",
+              "example.com/documents/archive/20240102T030405Z/report.html", "documents/en-US/de-DE/v1.2.3/information/page2"):
+        assert not dense(t), t
+
+
 def test_fingerprints(spark, corpus):
     texts = corpus[:90] + [sentence(random.Random(8), 900), "a" * 40000, "ab" * 9000]
     order = sorted(range(len(texts)), reverse=True)
