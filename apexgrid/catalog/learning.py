@@ -110,10 +110,16 @@ def _(v):
     return _backtest(v, [(1, "exact", 1.0)])
 
 
+# fixed values: the price sensitivities and optimizers of the sweep
+SENSITIVITIES = (0.0, 1.0, 2.0, 3.0, 5.0, 8.0, 10.0, 15.0, 20.0)
+OPTIMIZERS = ("greedy", "upgraded", "exact", "sampled")
+SWEEP = [(i, o, s) for i, (o, s) in enumerate(((o, s) for o in OPTIMIZERS for s in SENSITIVITIES), 1)]
+
+
 @query("evl09_config_comparison")
 def _(v):
-    rows = _backtest(v, [(1, "upgraded", 0.0), (2, "upgraded", 1.0), (3, "exact", 0.0), (4, "exact", 1.0)])
-    return BT.summary(rows, ["config_id"])
+    names = v.spark.createDataFrame(SWEEP, "config_id bigint, optimizer string, sensitivity double")
+    return names.join(BT.summary(_backtest(v, SWEEP), ["config_id"]), "config_id")
 
 
 # --- weekly jobs -----------------------------------------------------------
