@@ -25,4 +25,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import queries  # noqa: E402,F401  (registers)
+from . import queries, queries_words  # noqa: E402,F401  (registers)
