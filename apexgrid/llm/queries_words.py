@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import query, table
+from .personal import digest_columns, personal_spans
 from .repair import damaged, repair_conversations
 from .spelling import spelling_groups
 
@@ -36,6 +37,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 _REPAIR_SQL = rf"""
 WITH RECURSIVE {CRC_TABLE},
 k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
