@@ -143,7 +143,9 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
         if held:
             yield _compared(pa.Table.from_batches(held))
 
-    sorted_tiles = tiles(words, block).repartition(*key).sortWithinPartitions(*key)
+    # by count: tiles are small in bytes but not in work, so partitions must not be merged by their size
+    count = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_tiles = tiles(words, block).repartition(count, *key).sortWithinPartitions(*key)
     per_tile = sorted_tiles.mapInArrow(compare, "word string, n_near long, best_n long, best string")
     return per_tile.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("less"), "best")).alias("b")) \
         .select("word", "n_near", (-F.col("b.less")).alias("best_n"), "b.best")
