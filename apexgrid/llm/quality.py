@@ -39,7 +39,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 _EDGE = re.compile(r"^\W+|\W+$")
 _SYMBOLS = "*&%$#|!?.,;:<>{}[]()=+/\\_-~^@\"'"
 SHAPES = 12 + len(_SYMBOLS)
-WORDS = 300_000
+#: Words that a reader remembers, about 20 MB.
+WORDS = 75_000
 _PLAIN = (False, False, False, False, ())
 
 
@@ -193,18 +194,6 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                  .groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")).select("text", "quality", "toxic"), "sample")
 
 
-_READERS: dict[tuple, Reader] = {}
-
-
-def reader_of(models: dict[str, Model | None]) -> Reader:
-    """The worker's reader of these models' forms, kept from batch to batch."""
-    key = tuple(f for m in models.values() if m for f in m.forms)
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(key)
-    return _READERS[key]
-
-
 def _logit(p):
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))
@@ -242,16 +231,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     shared = spark.sparkContext.broadcast(fit(training_sample(docs, labels)))
 
     @F.pandas_udf("quality double, toxic double")
-    def evidence(texts: pd.Series) -> pd.DataFrame:
+    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         models = [shared.value[t] for t in TARGETS]
-        reader, rows = reader_of(shared.value), []
-        for text in texts:
-            if not text or not any(models):
-                rows.append((0.0, 0.0))
-                continue
-            s, f = reader.read(text)
-            rows.append(tuple(m.score(s, f) if m else 0.0 for m in models))
-        return pd.DataFrame(rows, columns=list(TARGETS))
+        reader = Reader(f for m in models if m for f in m.forms)  # of this task: freed at its end
+        for texts in batches:
+            rows = []
+            for text in texts:
+                if not text or not any(models):
+                    rows.append((0.0, 0.0))
+                    continue
+                s, f = reader.read(text)
+                rows.append(tuple(m.score(s, f) if m else 0.0 for m in models))
+            yield pd.DataFrame(rows, columns=list(TARGETS))
 
     has = (F.length("text") > 0) & F.lit(any(shared.value.values()))
     scored = stage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"),
