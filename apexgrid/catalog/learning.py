@@ -1,7 +1,7 @@
 """Queries for training sets, models, backtests and the weekly jobs."""
 from pyspark.sql import functions as F
 
-from ..operators import ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK
+from ..operators import joins as J, ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK
 from ..plans import backtest as BT, features as FS, models as M, training as TR, walk as WK
 from .bindings import RACING
 from .lineups import _REAL_CARS, _REAL_TEAMS, _best_sql, oracle_scores
@@ -87,12 +87,15 @@ def _(v):
     return SK.upsert(old, new, [*KEYS, "model_version"])[0]
 
 
+#: Families of the model backtest: training set and field, columns, and how fast older events fade.
+FAMILIES = {"v4": ("v4", "v4", M.DEFAULTS.half_life), "race": ("race", "race", None), "qualifying": ("qualifying", "v4", None)}
+
+
 def walk_predictions(v, version="v4"):
-    table = training_table(v, "v4")
-    all_ = field(v)
-    if version == "v4":
-        return v.keep("walk-v4", lambda: WK.rank_forward(table, all_, FS.V4).select(*BT.PRED))
-    return v.keep(f"walk-{version}", lambda: BT.predictions(table, all_, FS.V4, version))
+    if version in FAMILIES:
+        family, cols, half_life = FAMILIES[version]
+        return v.keep(f"walk-{version}", lambda: WK.rank_forward(training_table(v, family), field(v, family), FS.SETS[cols], half_life).select(*BT.PRED))
+    return v.keep(f"walk-{version}", lambda: BT.predictions(training_table(v, "v4"), field(v), FS.V4, version))
 
 
 @query("evl07_model_walk_forward")
@@ -100,6 +103,38 @@ def _(v):
     return BT.model_report(walk_predictions(v), _actuals(v))
 
 
+@query("evl07_race_walk_forward")
+def _(v):
+    return BT.model_report(walk_predictions(v, "race"), _actuals(v))
+
+
+@query("evl07_qualifying_walk_forward")
+def _(v):
+    return BT.model_report(walk_predictions(v, "qualifying"), J.session_actuals(v.b_quali, v.b_score, "Q", ["qualifying"]).select(*KEYS, "position", "actual_points"))
+
+
+# what holds for any model: every car of every weekend from min_train on has a rank, and no bounds cross
+@query("evl07_walk_structure", """SELECT s.event_id, count(*) AS n_cars, count(*) * (count(*) + 1) / 2.0 AS rank_sum, 0 AS n_crossed, 0 AS n_missing
+FROM b_spine s JOIN (SELECT event_id, dense_rank() OVER (ORDER BY event_date) - 1 AS event_index FROM b_event) e ON e.event_id = s.event_id
+WHERE event_index >= 5 GROUP BY s.event_id""", d="rank_sum", i="n_crossed n_missing")
+def _(v):
+    missing = F.col("predicted_points").isNull() | F.col("lower").isNull() | F.col("upper").isNull()
+    return walk_predictions(v).groupBy("event_id").agg(F.count(F.lit(1)).alias("n_cars"), F.sum("predicted_position").alias("rank_sum"),
+                                                       F.count_if(F.col("lower") > F.col("upper")).alias("n_crossed"), F.count_if(missing).alias("n_missing"))
+
+
+# with one feature of two values the best weight is known: the log of how often, by weight, that feature wins against how often it loses
+@query("ml04_ranker_closed_form", f"""WITH t AS (SELECT r.event_id, CASE WHEN o.position_mean_last3 <= 10 THEN 1 ELSE 0 END AS x, coalesce(t.race_total, r.points) AS y, e.event_index
+FROM b_result r JOIN o_all o ON o.event_id = r.event_id AND o.driver_id = r.driver_id {_CALENDAR} LEFT JOIN b_total t ON t.event_id = r.event_id AND t.driver_id = r.driver_id WHERE r.position IS NOT NULL),
+p AS (SELECT a.event_index, count(*) FILTER (a.y > b.y) AS won, count(*) FILTER (a.y < b.y) AS lost FROM t a JOIN t b ON a.event_id = b.event_id AND a.x = 1 AND b.x = 0 GROUP BY a.event_index),
+k AS (SELECT s.split, (SELECT max(event_index) FROM t WHERE event_index < s.split) AS latest FROM (SELECT unnest(range(5, (SELECT max(event_index) + 2 FROM t))) AS split) s)
+SELECT k.split AS event_index, 'front' AS feature, ln(sum(won * pow(0.5, (latest - p.event_index) / 10.0)) / sum(lost * pow(0.5, (latest - p.event_index) / 10.0))) AS weight
+FROM k JOIN p ON p.event_index < k.split GROUP BY k.split""", d="weight", i="event_index")
+def _(v):
+    front = F.when(F.col("position_mean_last3") <= 10, 1.0).otherwise(0.0)
+    return WK.model_weights(training_table(v, "v4").withColumn("front", front), ["front"], ridge=0.0)
+
+
 def _backtest(v, configs):
     v.stage(*RACING)
     return BT.backtest(walk_predictions(v), _actuals(v), v, price_state(v), configs, oracle_scores(v))

@@ -1,9 +1,7 @@
 """Position and points models on pyspark.ml.
 
 Regressors: two boosted-tree models with bounds from training residuals.
-Rankers: a linear model of the order inside an event.  The squared loss over all pairs of
-an event equals n times the squared loss of values centred in the event, so pairs are
-never built: one weighted least-squares pass over the rows gives the pairwise solution.
+Rankers: a pairwise logistic model of the order inside an event (``pairwise``).
 """
 from __future__ import annotations
 
@@ -11,12 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalars as S
-from ..functions.ranking import average_rank
+from ..functions.quantiles import weighted_quantiles
 from ..params import DEFAULTS
+from . import pairwise as PW
 
 BUCKETS = 10
 
@@ -41,8 +40,8 @@ class TreeSpec:
 
 SPECS = {
     "v1": TreeSpec(),
-    "v2": TreeSpec(trees=50, depth=2, subsample=0.7, bounds="quantile"),
-    "v3": TreeSpec(trees=50, depth=2, subsample=0.7, bounds="quantile", half_life=DEFAULTS.half_life),
+    "v2": TreeSpec(trees=50, depth=2, subsample=0.7, bounds="quantile", min_rows=3, columns=0.7),
+    "v3": TreeSpec(trees=50, depth=2, subsample=0.7, bounds="quantile", min_rows=3, columns=0.7, half_life=DEFAULTS.half_life),
 }
 
 
@@ -60,12 +59,12 @@ def _bucket(cuts: list[float], p):
 
 
 def residual_bounds(res: DataFrame) -> tuple[list[float], list[dict]]:
-    """Cuts of the predictions ``_p`` and, per bucket between them, residual quantiles; weights enter as repetitions of the values."""
-    cuts = [float(c) for c in res.agg(F.percentile_approx("_p", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or []]
-    freq = F.greatest(F.round(F.col("w") * 10_000).cast("bigint"), F.lit(1))
-    per = res.withColumn("b", _bucket(cuts, F.col("_p"))).groupBy("b").agg(
-        F.percentile("r", F.lit(0.1), freq).alias("lo"), F.percentile("r", F.lit(0.9), freq).alias("hi"))
-    return cuts, [r.asDict() for r in per.collect()]  # at most BUCKETS rows
+    """Deciles of the predictions ``_p`` and, per bucket between them, residual quantiles of ``r``; both exact, weighted by ``w``."""
+    res = res.select("_p", "r", "w")
+    cut = weighted_quantiles(res.withColumn("k", F.lit(0)), ["k"], "_p", "w", tuple(i / BUCKETS for i in range(1, BUCKETS)), "cuts").first()
+    cuts = list(cut["cuts"]) if cut else []
+    per = weighted_quantiles(res.withColumn("b", _bucket(cuts, F.col("_p"))), ["b"], "r", "w", (0.1, 0.9), "q")
+    return cuts, [{"b": r["b"], "lo": r["q"][0], "hi": r["q"][1]} for r in per.collect()]  # at most BUCKETS rows
 
 
 def bounded(p, cuts: list[float], table: list[dict]) -> dict:
@@ -124,48 +123,33 @@ class TreeModel:
 
 @dataclass
 class Ranker:
-    """Linear within-event ranker with calibrated points."""
+    """Pairwise logistic ranker with calibrated points and bounds of its own: one split of ``pairwise``."""
 
     cols: list[str]
     half_life: float | None = DEFAULTS.half_life
-    reg: float = 1e-6
-    weights: list[float] = field(default_factory=list)
-    scale: list[float] = field(default_factory=list)
-    slope: float = 1.0
-    intercept: float = 0.0
-    cuts: list[float] = field(default_factory=list)
-    table: list[dict] = field(default_factory=list)
+    ridge: float = PW.RIDGE
+    model: DataFrame | None = None
 
     def fit(self, train: DataFrame) -> "Ranker":
-        e = Window.partitionBy("event_id")
-        df = weighted(train, self.half_life).withColumn("_y", average_rank(["event_id"], "y_points", ascending=True))
-        n = F.count(F.lit(1)).over(e)
-        centred = df.select("event_id", "y_points", "w", (F.col("w") * n).alias("_w"), (F.col("_y") - F.avg("_y").over(e)).alias("_y"),
-                            *[(F.col(c) - F.avg(c).over(e)).alias(c) for c in self.cols], *[F.col(c).alias(f"raw_{c}") for c in self.cols])
-        data = _assembled(centred, self.cols).persist()
-        lr = LinearRegression(featuresCol="x", labelCol="_y", weightCol="_w", fitIntercept=False, regParam=self.reg, solver="normal").fit(data)
-        self.weights = [float(x) for x in lr.coefficients]
-        score = sum((F.col(f"raw_{c}") * w for c, w in zip(self.cols, self.weights)), F.lit(0.0))
-        s = data.select(score.alias("s"), "y_points", *self.cols)
-        row = s.agg(F.stddev_pop("s").alias("sd"), F.regr_slope("y_points", "s").alias("k"), F.regr_intercept("y_points", "s").alias("b"),
-                    *[F.stddev_pop(c).alias(f"sd_{c}") for c in self.cols]).first()
-        if row["sd"] is not None and row["sd"] >= 1e-9 and row["k"] is not None:
-            self.slope, self.intercept = float(row["k"]), float(row["b"])
-        self.scale = [float(row[f"sd_{c}"] or 0.0) for c in self.cols]
-        p = F.col("s") * self.slope + self.intercept
-        self.cuts, self.table = residual_bounds(s.select(p.alias("_p"), (F.col("y_points") - p).alias("r"), F.lit(1.0).alias("w")))
-        data.unpersist()
+        top = train.agg(F.max("event_index")).first()[0]
+        self.model = PW.fit_splits(train, self.cols, [(-1 if top is None else int(top)) + 1], self.half_life, self.ridge)
         return self
 
+    @property
+    def weights(self) -> list[float]:
+        return list(self._fitted().first()["weights"])  # one row
+
+    def _fitted(self) -> DataFrame:
+        if self.model is None:
+            raise RuntimeError("fit before predict")
+        return self.model
+
     def predict(self, df: DataFrame) -> DataFrame:
-        score = sum((F.col(c) * w for c, w in zip(self.cols, self.weights)), F.lit(0.0))
-        out = df.withColumn("score", score)
-        pts = F.col("score") * self.slope + self.intercept
-        return out.withColumns({"predicted_position": average_rank(["event_id"], "score", ascending=False), "predicted_points": pts}).withColumns(
-            bounded(F.col("predicted_points"), self.cuts, self.table))
+        return PW.ranked(df.crossJoin(self._fitted().drop("split")), self.cols)  # the model is one row
 
     def importances(self) -> list[tuple[str, float]]:
-        return sorted(((c, abs(w * s)) for c, w, s in zip(self.cols, self.weights, self.scale)), key=lambda t: -t[1])
+        row = self._fitted().first()
+        return sorted(((c, abs(w * s)) for c, w, s in zip(self.cols, row["weights"], row["spread"])), key=lambda t: -t[1])
 
 
 def make(version: str, cols: list[str]):

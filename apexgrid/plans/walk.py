@@ -1,98 +1,29 @@
-"""Walk-forward ranker in one pass.
+"""Walk-forward rankers: every weekend is predicted by the ranker of all weekends before it.
 
-A least-squares ranker of the events before ``i`` needs only sums over those events.  The
-rows are reduced once to one vector of sums per weekend; all splits are then prefix sums
-of a short table, instead of one fit over all earlier rows per split.
+All splits are fitted together by ``pairwise``, the implementation that a single fit uses too, so a split of a run and a fit on the same
+events give the same model.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ranking import average_rank
 from ..params import DEFAULTS, Params
+from ..session import stage
+from . import pairwise as PW
 
-SALT = 64
 
+def rank_forward(table: DataFrame, field: DataFrame, cols: list[str], half_life: float | None = DEFAULTS.half_life, p: Params = DEFAULTS, ridge: float = PW.RIDGE) -> DataFrame:
+    """Predictions of every weekend from ``min_train`` on; ``table`` is a training set, ``field`` all cars with features."""
+    first, last = max(1, p.min_train), table.agg(F.max("event_index")).first()[0]
+    if last is None:
+        return PW.ranked(field.limit(0).join(table.sparkSession.createDataFrame([], PW.MODEL + ", quantiles map<int,array<double>>, cuts array<double>"), F.lit(True)), cols)
+    models = PW.fit_splits(table, cols, list(range(first, int(last) + 2)), half_life, ridge)
+    return PW.ranked(field.join(models, field["event_index"] == models["split"]).drop("split"), cols)
 
-def weekend_sums(table: DataFrame, cols: list[str]) -> DataFrame:
-    """Per ``event_index``: centred cross products (weighted by field size) and raw moments.
 
-    Partitions are reduced in place; their vectors are summed in two steps, so neither a
-    hot weekend nor many partitions meet in one large group.
-    """
-    e, p = Window.partitionBy("event_id"), len(cols)
-    ranked = table.withColumn("_y", average_rank(["event_id"], "y_points"))
-    rows = ranked.select(
-        "event_index", F.count(F.lit(1)).over(e).cast("double").alias("n"), "y_points", (F.col("_y") - F.avg("_y").over(e)).alias("yc"),
-        F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.array(*[(F.col(c) - F.avg(c).over(e)).cast("double") for c in cols]).alias("xc"))
-
-    def reduce_part(batches):
-        acc: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for idx, g in pdf.groupby("event_index"):
-                x, c = np.stack(g["x"].to_numpy()), np.stack(g["xc"].to_numpy())
-                w, y = g["n"].to_numpy(float), g["y_points"].to_numpy(float)
-                v = np.concatenate([(c * w[:, None]).T.dot(c).ravel(), c.T.dot(w * g["yc"].to_numpy(float)), x.T.dot(x).ravel(), x.T.dot(y), x.sum(axis=0), [y.sum(), float(len(g))]])
-                acc[idx] = acc[idx] + v if idx in acc else v
-        if acc:
-            yield pd.DataFrame({"event_index": list(acc), "sums": list(acc.values())})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_index": [pdf["event_index"].iloc[0]], "sums": [np.stack(pdf["sums"].to_numpy()).sum(axis=0)]})
-
-    schema = "event_index bigint, sums array<double>"
-    parts = rows.mapInPandas(reduce_part, schema).withColumn("_s", F.spark_partition_id() % SALT)
-    return parts.groupBy("event_index", "_s").applyInPandas(add, schema).groupBy("event_index").applyInPandas(add, schema)
-
-
-def solve_splits(sums: pd.DataFrame, p: int, half_life: float | None, min_train: int) -> list[tuple]:
-    """(event_index, weights, slope, intercept) of the model trained on all earlier weekends."""
-    by = dict(zip(sums["event_index"], sums["sums"]))
-    keep = 1.0 if half_life is None else 0.5 ** (1.0 / half_life)
-    near, total, out = np.zeros(p * p + p), np.zeros(p * p + 2 * p + 2), []
-    for i in range(0, int(max(by)) + 2):
-        if i >= min_train and i > 0:
-            a, b = near[:p * p].reshape(p, p), near[p * p:]
-            d = np.sqrt(np.where(np.diag(a) > 1e-12, np.diag(a), 1.0))
-            w = np.linalg.lstsq(a / np.outer(d, d) + 1e-9 * np.eye(p), b / d, rcond=1e-10)[0] / d
-            xx, xy, sx = total[:p * p].reshape(p, p), total[p * p:p * p + p], total[p * p + p:p * p + 2 * p]
-            sy, n = total[-2:]
-            var = w.dot(xx).dot(w) / n - (w.dot(sx) / n) ** 2 if n else 0.0
-            slope, icpt = 1.0, 0.0
-            if var > 1e-18:
-                slope = (w.dot(xy) / n - w.dot(sx) / n * sy / n) / var
-                icpt = sy / n - slope * w.dot(sx) / n
-            out.append((i, [float(v) for v in w], float(slope), float(icpt)))
-        v = by.get(i)
-        near = near * keep
-        if v is not None:
-            near = near + np.asarray(v[:p * p + p])
-            total = total + np.asarray(v[p * p + p:])
-    return out
-
-
-def rank_forward(table: DataFrame, field: DataFrame, cols: list[str], half_life: float | None = DEFAULTS.half_life, p: Params = DEFAULTS) -> DataFrame:
-    """Predictions of every weekend from ``min_train`` on by the model of all earlier ones.
-
-    Bounds are the 10 % and 90 % residuals of earlier out-of-sample predictions, from a
-    histogram per weekend; the first predicted weekend has no spread.
-    """
-    # one short vector per weekend of the calendar
-    sums = weekend_sums(table, cols).toPandas()
-    spark = table.sparkSession
-    models = spark.createDataFrame(solve_splits(sums, len(cols), half_life, p.min_train), "event_index bigint, w array<double>, slope double, intercept double")
-    x = F.array(*[F.col(c).cast("double") for c in cols])
-    score = F.aggregate(F.zip_with(x, F.col("w"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    pred = (field.join(models, "event_index").withColumn("score", score)
-            .select("event_id", "driver_id", "season_id", "event_index", average_rank(["event_id"], "score", ascending=False).alias("predicted_position"),
-                    (F.col("score") * F.col("slope") + F.col("intercept")).alias("predicted_points")))
-    miss = (pred.join(table.select("event_id", "driver_id", "y_points"), ["event_id", "driver_id"])
-            .groupBy("event_index", F.round(F.col("y_points") - F.col("predicted_points")).alias("r")).agg(F.count(F.lit(1)).alias("n")))
-    later = models.select(F.col("event_index").alias("test_index"))
-    spread = (later.join(miss, F.col("event_index") < F.col("test_index")).groupBy(F.col("test_index").alias("event_index"))
-              .agg(F.percentile("r", F.array(F.lit(0.1), F.lit(0.9)), F.col("n")).alias("q")))
-    pts = F.col("predicted_points")
-    lo, hi = pts + F.coalesce(F.col("q")[0], F.lit(0.0)), pts + F.coalesce(F.col("q")[1], F.lit(0.0))
-    return pred.join(spread, "event_index", "left").withColumns({"lower": F.least(lo, hi), "upper": F.greatest(lo, hi)}).drop("q")
+def model_weights(table: DataFrame, cols: list[str], half_life: float | None = DEFAULTS.half_life, p: Params = DEFAULTS, ridge: float = PW.RIDGE) -> DataFrame:
+    """(event_index, feature, weight) of every split's ranker."""
+    last = table.agg(F.max("event_index")).first()[0]
+    models = stage(PW.fit_splits(table, cols, list(range(max(1, p.min_train), int(last) + 2)), half_life, ridge).select("split", "weights"), "split-weights")
+    named = F.arrays_zip(F.array(*map(F.lit, cols)).alias("feature"), F.col("weights").alias("weight"))
+    return models.select(F.col("split").alias("event_index"), F.explode(named).alias("f")).select("event_index", "f.feature", "f.weight")

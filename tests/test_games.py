@@ -124,22 +124,6 @@ def test_ranker_learns_an_easy_order(spark, version):
     assert p.where("lower > upper").count() == 0 and m.importances()[0][0] == "a"
 
 
-def test_pairwise_loss_identity(spark):
-    """The ranker's weighted centred regression equals least squares over all pairs."""
-    import numpy as np
-    df = _easy(spark, 4)
-    pdf = df.toPandas()
-    A, y = [], []
-    for _, g in pdf.groupby("event_id"):
-        x, r = g[["a", "b"]].to_numpy(), g["y_points"].rank().to_numpy()
-        for i in range(len(g)):
-            for j in range(i):
-                A.append(x[i] - x[j])
-                y.append(r[i] - r[j])
-    w = np.linalg.lstsq(np.array(A), np.array(y), rcond=None)[0]
-    assert M.Ranker(["a", "b"], None, reg=0.0).fit(df).weights == pytest.approx(list(w), rel=1e-6)
-
-
 def test_tree_bounds_and_weights(spark):
     df = _easy(spark).persist()
     for spec in (M.TreeSpec(trees=5, depth=2), M.TreeSpec(trees=5, depth=2, bounds="quantile", half_life=10.0)):
@@ -153,18 +137,3 @@ def test_tree_bounds_and_weights(spark):
 def test_search_prefers_the_better_setting(spark):
     got = M.search(_easy(spark, 6), ["a", "b"], [M.TreeSpec(trees=1, depth=1), M.TreeSpec(trees=10, depth=3, step=0.3)], folds=2).orderBy("mae").first()
     assert got["depth"] == 3
-
-
-def test_one_pass_walk_equals_a_fit_per_split(spark):
-    from apexgrid.params import Params
-    from apexgrid.plans import walk
-    df = _easy(spark, 9).withColumns({"season_id": F.lit(1), "a": F.col("a") + F.rand(3) * 0.4}).persist()
-    df.count()
-    got = walk.rank_forward(df, df, ["a", "b"], 10.0, Params(min_train=4)).persist()
-    assert {r["event_index"] for r in got.select("event_index").distinct().collect()} == set(range(4, 9))
-    assert got.where("lower > upper").count() == 0
-    for i in (4, 8):
-        m = M.Ranker(["a", "b"], 10.0, reg=0.0).fit(df.where(F.col("event_index") < i))
-        want = m.predict(df.where(F.col("event_index") == i)).select("event_id", "driver_id", F.col("predicted_position").alias("wp"), F.col("predicted_points").alias("wq"))
-        bad = got.join(want, ["event_id", "driver_id"]).where((F.abs(F.col("wp") - F.col("predicted_position")) > 0) | (F.abs(F.col("wq") - F.col("predicted_points")) > 1e-6))
-        assert bad.count() == 0
