@@ -1,7 +1,8 @@
 """Queries for line-up selection."""
 from pyspark.sql import Window, functions as F
 
-from ..operators import lineup as LN
+from ..operators import draws as D, lineup as LN
+from ..params import DEFAULTS
 from .registry import query
 from .scores_prices import nested_lineups
 from .bindings import RACING
@@ -117,6 +118,37 @@ def _(v):
     return LN.solve(_grid(v), ["event_id"], "sampled").select(*_KEEP, "driver_ids", "team_ids", "n_candidates")
 
 
+# every draw is a hash of (event, car, scenario), so both engines get the same 500 values
+_HASH = "xor({0} >> 16, {0}) * 73244475 & 4294967295"
+
+
+def _mixed(source: str, out: str, x: str, rest: str, name: str) -> str:
+    """Two steps of the hash and its last shift, as three subqueries."""
+    return f"""{name}1 AS (SELECT {rest}, {_HASH.format(x)} AS x FROM {source}), {name}2 AS (SELECT {rest}, {_HASH.format("x")} AS x FROM {name}1),
+{out} AS (SELECT {rest}, xor(x >> 16, x) AS h FROM {name}2)"""
+
+
+@query("ln05_scenario_values", f"""WITH p AS (SELECT event_id, driver_id, lower AS lo, upper AS hi, least(greatest(predicted_points, lower), upper) AS mo, event_id % 4294967296 AS x FROM b_pred),
+{_mixed("p", "e", "x", "event_id, driver_id, lo, hi, mo", "ea")},
+e0 AS (SELECT *, xor(h, (2 * driver_id) % 4294967296) AS x FROM e), {_mixed("e0", "d", "x", "event_id, driver_id, lo, hi, mo", "da")},
+d0 AS (SELECT *, xor(h, s) AS x, s FROM d, range(500) r(s)), {_mixed("d0", "s", "x", "event_id, driver_id, lo, hi, mo, s", "sa")},
+s0 AS (SELECT *, h AS x FROM s), {_mixed("s0", "z", "x", "event_id, driver_id, lo, hi, mo, s", "za")},
+u AS (SELECT *, (h + 0.5::double) / 4294967296 AS u, hi - lo AS w FROM z),
+v AS (SELECT event_id, driver_id, CASE WHEN w > 0 THEN CASE WHEN u < (mo - lo) / w THEN lo + sqrt(u * w * (mo - lo)) ELSE hi - sqrt((1 - u) * w * (hi - mo)) END ELSE lo END AS value FROM u)
+SELECT event_id, driver_id, count(*) AS scenarios, min(value) AS lowest, avg(value) AS middle, max(value) AS highest FROM v GROUP BY 1, 2""", d="lowest middle highest")
+def _(v):
+    values = D.scenario_values(v.b_pred, DEFAULTS.n_scenarios)
+    return values.groupBy("event_id", "driver_id").agg(F.count(F.lit(1)).alias("scenarios"), F.min("value").alias("lowest"), F.avg("value").alias("middle"), F.max("value").alias("highest"))
+
+
+@query("ln05_within_exact", f"SELECT event_id, best, true AS within FROM ({_best_sql(_PRED_CARS, _PRED_TEAMS)}) x", d="best")
+def _(v):
+    """No sampled line-up has more predicted points than the exact one."""
+    g = _grid(v)
+    best = LN.solve(g, ["event_id"], "exact").where("feasible").select("event_id", F.col("predicted_points").alias("best"))
+    return best.join(LN.solve(g, ["event_id"], "sampled").select("event_id", "predicted_points"), "event_id").select("event_id", "best", (F.col("predicted_points") <= F.col("best") + 1e-9).alias("within"))
+
+
 @query("ln06_fallback_without_bounds", _best_sql(_PRED_CARS, _PRED_TEAMS), d="best")
 def _(v):
     # no spread between the bounds: the sampled method falls back to the exact one

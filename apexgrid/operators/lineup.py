@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..params import DEFAULTS, Params
-from . import joins as J, picks as X
+from . import draws as D, joins as J, picks as X
 
 OUT = "driver_ids array<bigint>, team_ids array<bigint>, boost_id bigint, total_cost double, predicted_points double, feasible boolean, n_candidates bigint"
 
@@ -67,8 +67,8 @@ def choose(r, method: str, budget: int, p: Params, prev=None, free: int = 2):
     if method == "sampled":
         lo, hi = np.asarray(r.d_lo, float), np.asarray(r.d_hi, float)
         if not (lo == hi).all():
-            seed = (int(r.event_id) * 1_000_003 + 12_345) % 2**32  # by event, so partitioning does not matter
-            d, t, n = X.best_of_scenarios((lo, dp, hi), (np.asarray(r.t_lo, float), tp, np.asarray(r.t_hi, float)), dx, tx, budget, seed, p.n_scenarios)
+            draws = [D.uniforms(r.event_id, kind, ids, p.n_scenarios) for kind, ids in ((D.DRIVER, r.d_id), (D.TEAM, r.t_id))]
+            d, t, n = X.best_of_scenarios((lo, dp, hi), (np.asarray(r.t_lo, float), tp, np.asarray(r.t_hi, float)), dx, tx, budget, *draws)
             out = _row(d, t, r, n, p)
             return out if prev is None or not out[5] else _toward(r, out, prev, free, budget, p)
         method = "exact"

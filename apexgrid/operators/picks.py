@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .draws import triangular
+
 
 def greedy(points: np.ndarray, price: np.ndarray, k: int, budget: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best value first; take a car only if the cheapest later cars can fill the rest."""
@@ -139,25 +141,12 @@ def limit_transfers(ideal, current, pts: tuple[dict, dict], price: tuple[dict, d
     return [[to[k].get(int(x), int(x)) for x in current[k]] for k in (0, 1)], int(costs[made])
 
 
-def sampled(lower, mode, upper, rng, n: int) -> np.ndarray:
-    """Triangular draws [n, items]; an item without spread keeps its lower value."""
-    mode = np.clip(mode, lower, upper)
-    width = upper - lower
-    safe = np.where(width > 0, width, 1.0)
-    cut = (mode - lower) / safe
-    u = rng.random((n, len(lower)))
-    left = lower + np.sqrt(u * safe * (mode - lower))
-    right = upper - np.sqrt((1 - u) * safe * (upper - mode))
-    return np.where(width > 0, np.where(u < cut, left, right), lower)
-
-
-def best_of_scenarios(d, t, dx, tx, budget: int, seed: int, n: int):
-    """Candidate line-ups from ``n`` scenarios; the one with the best mean over all of them.
+def best_of_scenarios(d, t, dx, tx, budget: int, du: np.ndarray, tu: np.ndarray):
+    """Candidate line-ups from the scenarios; the one with the best mean over all of them.
 
-    ``d`` and ``t`` are (lower, points, upper); the boost follows the best car of each scenario.
+    ``d`` and ``t`` are (lower, points, upper), ``du`` and ``tu`` the draws [scenario, item]; the boost follows the best car of each scenario.
     """
-    rng = np.random.default_rng(seed)
-    dp, tp = sampled(*d, rng, n), sampled(*t, rng, n)
+    dp, tp = triangular(du, *d), triangular(tu, *t)
     cars, teams = value_lineup(dp, dx, tp, tx, budget, improve=True)
     uniq = np.unique(np.concatenate([cars, teams], axis=1), axis=0)
     c, q = uniq[:, :len(dx)], uniq[:, len(dx):]

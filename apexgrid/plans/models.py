@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import scalars as S
 from ..functions.quantiles import weighted_quantiles
 from ..params import DEFAULTS
-from . import pairwise as PW
+from . import forest as FO, pairwise as PW
 
 BUCKETS = 10
 
@@ -174,21 +174,17 @@ def draw_specs(n: int = SEARCH_DRAWS, grid: dict = GRID, seed: int = 42) -> list
 
 
 def search(train: DataFrame, cols: list[str], specs: list[TreeSpec], folds: int = 4) -> DataFrame:
-    """Mean absolute position error per setting over expanding folds of whole events, and what it gains on the first setting."""
+    """Mean absolute position error per setting over expanding folds of whole events, and what it gains on the first setting.
+
+    All (setting, fold) models grow side by side (``forest``).
+    """
     last = train.agg(F.max("event_index")).first()[0]
-    cuts = [round((last + 1) * (i + 1) / (folds + 1)) for i in range(folds + 1)]
-    data = _assembled(train, cols).select("x", "event_index", "y_position").persist()
-
-    def one(task):
-        i, s, f = task
-        m = s.regressor("y_position").fit(data.where(F.col("event_index") < cuts[f]))
-        test = data.where((F.col("event_index") >= cuts[f]) & (F.col("event_index") < cuts[f + 1]))
-        return i, s.trees, s.depth, s.step, s.min_rows, s.subsample, s.columns, f, m.transform(test).agg(F.avg(F.abs(F.col("_p") - F.col("y_position")))).first()[0]
-
-    with ThreadPoolExecutor(4) as pool:
-        rows = list(pool.map(one, [(i, s, f) for i, s in enumerate(specs) for f in range(folds)]))
-    data.unpersist()
+    cuts = [round(((-1 if last is None else last) + 1) * (i + 1) / (folds + 1)) for i in range(folds + 1)]
+    keys = [(i, f) for i in range(len(specs)) for f in range(folds)]
+    models = [FO.Grown(s.trees, s.depth, s.step, s.min_rows, s.subsample, s.columns, cuts[f], cuts[f + 1]) for i, f in keys for s in [specs[i]]]
+    maes = FO.fold_errors(train, cols, "y_position", models)
+    rows = [(i, s.trees, s.depth, s.step, s.min_rows, s.subsample, s.columns, f, mae) for (i, f), mae in zip(keys, maes) for s in [specs[i]]]
     out = train.sparkSession.createDataFrame(rows, "spec_id int, trees int, depth int, step double, min_rows int, subsample double, columns double, fold int, mae double")
     mean = out.groupBy("spec_id", "trees", "depth", "step", "min_rows", "subsample", "columns").agg(F.avg("mae").alias("mae"))
-    first = F.max(F.when(F.col("spec_id") == 0, F.col("mae"))).over(Window.partitionBy(F.lit(1)))  # one row per setting
-    return mean.withColumn("gain", first - F.col("mae"))
+    first = mean.where("spec_id = 0").agg(F.max("mae").alias("first"))
+    return mean.join(first, F.lit(True)).withColumn("gain", F.col("first") - F.col("mae")).drop("first")

@@ -155,3 +155,21 @@ def test_season_walk_counts_transfers_and_restarts(spark, views):
         elif prev and r["feasible"]:
             assert r["n_transfers"] == len(set(r["driver_ids"]) - set(prev[0])) + len(set(r["team_ids"]) - set(prev[1]))
         prev = (r["driver_ids"], r["team_ids"]) if r["feasible"] else prev
+
+
+def test_draws_are_equal_in_columns_and_arrays(spark):
+    import numpy as np
+    from apexgrid.operators import draws as D
+    rows = [(e, d, float(d % 7), float(d % 7 + d % 3), float(d % 7 + 5 * (d % 4))) for e in (19971, 2**40 + 3) for d in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, driver_id long, lower double, predicted_points double, upper double")
+    got = {(r["event_id"], r["driver_id"], r["scenario"]): r["value"] for r in D.scenario_values(df, 40).collect()}
+    for e in (19971, 2**40 + 3):
+        own = [r for r in rows if r[0] == e]
+        lo, mo, hi = (np.array([r[k] for r in own]) for k in (2, 3, 4))
+        want = D.triangular(D.uniforms(e, D.DRIVER, np.array([r[1] for r in own]), 40), lo, mo, hi)
+        assert all(abs(got[e, own[i][1], s] - want[s, i]) < 1e-12 for s in range(40) for i in range(60))
+        assert ((want >= lo) & (want <= hi)).all()
+    u = np.concatenate([D.uniforms(e, k, np.arange(50), 500).ravel() for e in range(4) for k in (D.DRIVER, D.TEAM)])
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.003 and abs(u.std() - 12 ** -0.5) < 0.003
+    a, b = D.uniforms(1, D.DRIVER, np.arange(200), 500), D.uniforms(2, D.DRIVER, np.arange(200), 500)
+    assert abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.01 and abs(np.corrcoef(a[:, 0], a[:, 1])[0, 1]) < 0.2
