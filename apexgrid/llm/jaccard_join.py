@@ -39,7 +39,7 @@ MAX_LIGHT = 12
 #: The most frequent shingles that are moved to the end of the token order. Any order gives the same result.
 FREQUENT = 1 << 17
 #: Shingles of a counting chunk (64 MB), and the count from which a chunk reports one.
-CHUNK, REPORT = 1 << 23, 2
+CHUNK, REPORT = 1 << 20, 2
 #: Lists up to this length are paired by a join; blocks hold about this many shingles.
 SHORT_LIST, BLOCK = 32, 1 << 19
 #: A sketch has at least this many bits, and at least twice as many as its set has shingles.

@@ -134,12 +134,12 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int |
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``. Rows keep their other columns, also when no line is left."""
     kept, least = repeated_lines(docs, min_words, exact_words), _least(min_words, exact_words)
-    right = kept.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("kept").alias("_kept"))
     none = F.array().cast("array<int>")
-    lines = F.split("text", "\n")
-    joined = docs.join(right, (docs["doc_id"] == right["_id"]) & (F.xxhash64(docs["text"]) == right["_row"]), "left").withColumn("_lines", lines)
-    stay = F.array_sort(F.array_union(F.coalesce("_kept", none), F.filter(F.expr("sequence(0, size(_lines) - 1)"),
-                                                                           lambda i: F.size(words_of(F.element_at("_lines", i + 1))) < least)))
-    cleaned = F.when(F.col("text").isNull() | F.col("doc_id").isNull(), F.col("text")) \
-        .otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n"))
-    return joined.withColumn("text", cleaned).select(*docs.columns)
+    # the row travels as one value, so its column names meet no others
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.col("doc_id").alias("own"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(kept, (F.col("own") == F.col("doc_id")) & (F.col("hash") == F.col("row")), "left").withColumn("lines", F.split("whole.text", "\n"))
+    stay = F.array_sort(F.array_union(F.coalesce("kept", none), F.filter(F.expr("sequence(0, size(lines) - 1)"),
+                                                                          lambda i: F.size(words_of(F.element_at("lines", i + 1))) < least)))
+    cleaned = F.when(F.col("whole.text").isNull() | F.col("own").isNull(), F.col("whole.text")) \
+        .otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n"))
+    return joined.select(*[cleaned.alias(c) if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns])

@@ -262,6 +262,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """``docs`` with ``p_quality``, ``p_toxic`` and ``keep``. Rows that repeat id and text get the strictest of their scores."""
     per = quality_scores(docs, labels, host, path).groupBy("doc_id", "text_hash").agg(
-        F.min("p_quality").alias("p_quality"), F.max("p_toxic").alias("p_toxic"), F.min("keep").alias("keep")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    docs = docs.select(*[c for c in docs.columns if c not in ("p_quality", "p_toxic", "keep")])
-    return docs.join(per, docs["doc_id"].eqNullSafe(per["_id"]) & (F.xxhash64(docs["text"]) == per["_hash"])).drop("_id", "_hash")
+        F.min("p_quality").alias("p_quality"), F.max("p_toxic").alias("p_toxic"), F.min("keep").alias("keep"))
+    # the row travels as one value, so its column names meet no others
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.col("doc_id").alias("own"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(per, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    return joined.select(*[F.col("whole")[c].alias(c) for c in docs.columns if c not in ("p_quality", "p_toxic", "keep")], "p_quality", "p_toxic", "keep")

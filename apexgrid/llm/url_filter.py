@@ -135,5 +135,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], blocked:
                              "verdict": [verdicts[k] if k >= 0 else "block" if b else "allow" for k, b in zip(first, bad)]}, dtype=object)
 
     host, path = canonical_parts(F.col(url))
-    return pages.withColumns({"host": host, "path": path}).withColumn("_judged", judge(F.concat("host", "path"))) \
-        .withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    own = ("host", "path", "rule", "verdict")
+    # the row travels as one value, so its column names meet no others
+    judged = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("whole"), host.alias("host"), path.alias("path")) \
+        .withColumn("judged", judge(F.concat("host", "path")))
+    return judged.select(*[F.col("whole")[c].alias(c) for c in pages.columns if c not in own], "host", "path", "judged.rule", "judged.verdict")

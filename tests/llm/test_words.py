@@ -317,3 +317,20 @@ def test_conversation_without_rows(spark):
     df = spark.createDataFrame([(gone, 1, "user", "Hi.")], "conv_id long, turn long, role string, text string")
     assert repair.repair_conversations(repair.damaged(df)).collect() == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
     assert repair.repair_conversations(repair.damaged(df.filter("conv_id < 0"))).count() == 0
+
+
+# --- names of further columns ------------------------------------------------------------------------------------------
+def test_further_columns_may_have_any_name(spark):
+    from apexgrid.llm import line_dedup, quality, url_filter
+    names = ["whole", "own", "hash", "lines", "kept", "row", "_id", "_row", "_kept", "_lines", "_hash", "judged", "_judged", "rest"]
+    extra = ", ".join(f"`{c}` string" for c in names)
+    texts = ["one two three four five\nalpha beta", "one two three four five\nrest stays here", None]
+    docs = spark.createDataFrame([(k, t, "s", "en", *names) for k, t in enumerate(texts)], f"doc_id long, text string, source string, lang string, {extra}")
+    out = line_dedup.without_repeated_lines(docs).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == [texts[0], "rest stays here", None] and all([r[c] for c in names] == names for r in out)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == 3 and all(r["keep"] and [r[c] for c in names] == names for r in out)
+    pages = spark.createDataFrame([(1, "http://a.org/x", *names), (2, None, *names)], f"page_id long, url string, {extra}")
+    out = url_filter.judge_urls(pages, [("allow", "org", "/")], []).orderBy("page_id").collect()
+    assert [(r["host"], r["rule"]) for r in out] == [("a.org", "org/"), ("", None)] and all([r[c] for c in names] == names for r in out)
