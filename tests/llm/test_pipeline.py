@@ -70,3 +70,11 @@ def test_empty_corpus(spark, folder, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_that_share_an_id_stay(spark, folder):
+    rng = random.Random(3)
+    a, b = sentence(rng, 40), " ".join(f"z{k}" for k in range(40))
+    docs = frame(spark, [a, b, a, None, None], [5, 5, 5, 6, None])
+    out = corpus_pipeline.ngram_jaccard_join(spark, docs, folder[0])
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == sorted([(5, a), (5, b), (6, ""), (-1, "")]) and out.columns == COLUMNS
