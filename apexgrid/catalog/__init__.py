@@ -3,7 +3,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_PARTS = ("scalar", "feature_sets", "scores_prices", "tables", "lineups", "learning", "landing")
+_PARTS = ("scalar", "feature_sets", "scores_prices", "tables", "lineups", "learning", "landing", "files")
 
 
 def load():

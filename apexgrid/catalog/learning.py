@@ -1,4 +1,6 @@
 """Queries for training sets, models, backtests and the weekly jobs."""
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import joins as J, ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK
@@ -10,21 +12,24 @@ from .scores_prices import _LINEUP_PTS, _TEAM_PTS, nested_lineups, price_state
 from .tables import _actuals
 
 KEYS = FS.KEYS
+# fixed values: feature stores and predictors of the comparison
+STORES, PREDICTORS = ("v1", "v2", "v3", "v4"), ("v1", "v2", "v3", "v4")
 _Y = "r.position AS y_position, coalesce(t.race_total, r.points) AS y_points, e.event_index"
 _CALENDAR = "JOIN (SELECT event_id, dense_rank() OVER (ORDER BY event_date) - 1 AS event_index FROM b_event) e ON e.event_id = r.event_id"
 
 
 def feature_table(v, version: str):
-    """Feature set as a written table."""
+    """Feature set as a written table; ``all`` has the columns of every store."""
     v.stage(*RACING)
-    return v.keep(f"features-{version}", lambda: FS.features(FS.Tables.of(v), version))
+    every = list(dict.fromkeys(c for s in STORES for c in FS.SETS[s]))
+    return v.keep(f"features-{version}", lambda: FS.features(FS.Tables.of(v), wanted=every) if version == "all" else FS.features(FS.Tables.of(v), version))
 
 
 def training_table(v, family: str):
     def make():
         if family == "qualifying":
             return TR.quali_training_set(feature_table(v, "v4"), v.b_quali, v.b_score, v.b_event)
-        return TR.race_training_set(feature_table(v, "race" if family == "race" else "v4"), v.b_result, v.b_total, v.b_event)
+        return TR.race_training_set(feature_table(v, family if family in ("race", "all") else "v4"), v.b_result, v.b_total, v.b_event)
 
     return v.keep(f"training-{family}", make)
 
@@ -44,7 +49,7 @@ def _(v):
 
 def field(v, family="v4"):
     """All season drivers with features, numbered by the calendar."""
-    name = "race" if family == "race" else "v4"
+    name = family if family in ("race", "all") else "v4"
     return v.keep(f"field-{name}", lambda: TR.numbered(feature_table(v, name), v.b_event))
 
 
@@ -92,10 +97,23 @@ FAMILIES = {"v4": ("v4", "v4", M.DEFAULTS.half_life), "race": ("race", "race", N
 
 
 def walk_predictions(v, version="v4"):
-    if version in FAMILIES:
-        family, cols, half_life = FAMILIES[version]
-        return v.keep(f"walk-{version}", lambda: WK.rank_forward(training_table(v, family), field(v, family), FS.SETS[cols], half_life).select(*BT.PRED))
-    return v.keep(f"walk-{version}", lambda: BT.predictions(training_table(v, "v4"), field(v), FS.V4, version))
+    family, cols, half_life = FAMILIES[version]
+    return v.keep(f"walk-{version}", lambda: WK.rank_forward(training_table(v, family), field(v, family), FS.SETS[cols], half_life).select(*BT.PRED))
+
+
+def store_predictions(v):
+    """The ranker on the columns of each feature store, from one table with the columns of all."""
+    def of(store):
+        return v.keep(f"walk-store-{store}", lambda: WK.rank_forward(training_table(v, "all"), field(v, "all"), FS.SETS[store]).select(*BT.PRED)).withColumn("predictor", F.lit(f"v4:{store}"))
+
+    rows = [of(store) for store in STORES[:-1]] + [walk_predictions(v).withColumn("predictor", F.lit(f"v4:{STORES[-1]}"))]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def predictor_predictions(v):
+    """The tree predictors, which grow side by side, and the ranker, on the widest store."""
+    trees = v.keep("walk-trees", lambda: BT.predictions(training_table(v, "v4"), field(v), {name: FS.V4 for name in ("v1", "v2", "v3")}))
+    return trees.unionByName(walk_predictions(v).withColumn("predictor", F.lit("v4")))
 
 
 @query("evl07_model_walk_forward")
@@ -151,6 +169,32 @@ OPTIMIZERS = ("greedy", "upgraded", "exact", "sampled")
 SWEEP = [(i, o, s) for i, (o, s) in enumerate(((o, s) for o in OPTIMIZERS for s in SENSITIVITIES), 1)]
 
 
+def _compared(v, pred, names):
+    """Every (predictor, optimizer): totals over the races that all of them cover."""
+    configs = [(i, o, 1.0, name) for i, (name, o) in enumerate(((n, o) for n in names for o in OPTIMIZERS), 1)]
+    v.stage(*RACING)
+    rows = BT.backtest(pred, _actuals(v), v, price_state(v), configs, oracle_scores(v))
+    told = v.spark.createDataFrame([(c[0], c[3], c[1]) for c in configs], "config_id bigint, predictor string, optimizer string")
+    return told.join(BT.summary(rows, ["config_id"]), "config_id")
+
+
+@query("evl09_store_comparison")
+def _(v):
+    return _compared(v, store_predictions(v), [f"v4:{s}" for s in STORES])
+
+
+@query("evl09_predictor_comparison")
+def _(v):
+    return _compared(v, predictor_predictions(v), PREDICTORS)
+
+
+# all configurations cover the same races
+@query("evl09_race_counts", """SELECT c.predictor, count(*) AS races FROM (VALUES ('v4:v1'), ('v4:v2'), ('v4:v3'), ('v4:v4')) c(predictor)
+CROSS JOIN (SELECT DISTINCT s.event_id FROM b_spine s JOIN (SELECT event_id, dense_rank() OVER (ORDER BY event_date) - 1 AS event_index FROM b_event) e ON e.event_id = s.event_id WHERE event_index >= 5) x GROUP BY 1""")
+def _(v):
+    return store_predictions(v).groupBy("predictor").agg(F.countDistinct("event_id").alias("races"))
+
+
 @query("evl09_config_comparison")
 def _(v):
     names = v.spark.createDataFrame(SWEEP, "config_id bigint, optimizer string, sensitivity double")

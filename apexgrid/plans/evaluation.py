@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 KEY = ["event_id"]
 
 
-def pairs(pred: DataFrame, actual: DataFrame) -> DataFrame:
-    """Every driver with an actual position and points, with the prediction where there is one."""
+def pairs(pred: DataFrame, actual: DataFrame, also: list[str] = []) -> DataFrame:
+    """Every driver with an actual position and points, with the prediction where there is one; ``also`` names further keys of both."""
     a = actual.where(F.col("position").isNotNull() & F.col("actual_points").isNotNull()).select(
-        "event_id", "driver_id", F.col("position").cast("double").alias("actual_position"), F.col("actual_points").cast("double").alias("actual_points"))
-    return a.join(pred, ["event_id", "driver_id"], "left")
+        *also, "event_id", "driver_id", F.col("position").cast("double").alias("actual_position"), F.col("actual_points").cast("double").alias("actual_points"))
+    return a.join(pred, [*also, "event_id", "driver_id"], "left")
 
 
 def mae(df: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -342,14 +342,14 @@ def session_availability(session: DataFrame) -> DataFrame:
 
 
 # --- feature sets ----------------------------------------------------------
-def features(t: Tables, version: str = "v4", p: Params = DEFAULTS, trend: str = "latest") -> DataFrame:
-    """Feature set ``version`` for every (event, driver); restrict with ``where`` afterwards."""
+def features(t: Tables, version: str = "v4", p: Params = DEFAULTS, trend: str = "latest", wanted: list[str] | None = None) -> DataFrame:
+    """Feature set ``version`` (or the columns ``wanted`` of several) for every (event, driver); restrict with ``where`` afterwards."""
     ids = ["season_id", "weekend_id", "event_date", "season_year"]
     base = t.spine.select(*KEYS, "team_id", "team_code", "code", *ids, "round_no", "circuit_length", "total_corners", "event_format")
     base = base.withColumns({**S.event_context(), "circuit_corner_density": S.corner_density(F.col("total_corners"), F.col("circuit_length"))})
     drivers = field_columns(t, driver_columns(driver_history(t), p, trend)).drop("code", "team_id", "team_code", "season_year", "series", "circuit_id", "day")
     df = base.join(drivers, KEYS).join(team_frame(t), ["event_id", "team_id"]).join(practice_frame(t), KEYS)
-    wanted = SETS[version]
+    wanted = SETS[version] if wanted is None else wanted
     if "team_low_df_avg_pos" in wanted:
         df = J.with_default(df, downforce(t), ["event_id", "team_code"], {"team_low_df_avg_pos": 10.0, "team_high_df_avg_pos": 10.0})
     if "weather_track_temp_mean" in wanted:

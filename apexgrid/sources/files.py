@@ -14,19 +14,29 @@ KINDS = {"driver_price": "*-drivers.csv", "constructor_price": "*-constructors.c
          "driver_score": "*-all-drivers-performance.csv", "constructor_score": "*-all-constructors-performance.csv"}
 
 
+#: Most columns of a file; the widest known export has eleven.
+WIDTH = 64
+_SCHEMA = ", ".join(f"f{i} string" for i in range(WIDTH))
+
+
 def csv_fields(line) -> Column:
-    """Fields of one CSV line of any width: quoted fields may hold commas and doubled quotes."""
-    line = F.regexp_replace(line, "[\ufeff\r]", "")
-    found = F.regexp_extract_all(line, F.lit(r'(?:^|,)(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
-    return F.transform(found, lambda x: F.when(F.trim(x).startswith('"') & F.trim(x).endswith('"') & (F.length(F.trim(x)) > 1),
-                                               F.replace(F.substr(F.trim(x), F.lit(2), F.length(F.trim(x)) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    """Fields of one CSV line by the engine's own reader: quoted fields may hold commas and doubled quotes. Fields that are empty or not there are null."""
+    parsed = F.from_csv(F.regexp_replace(line, "[\ufeff\r]", ""), _SCHEMA, {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    return F.array(*[parsed[f"f{i}"] for i in range(WIDTH)])
+
+
+def export_name(path: Column) -> Column:
+    """Name of the file, or of the folder of parts (``file=...``) that stands for one."""
+    folder = F.regexp_extract(path, r"/file=([^/]+)/part-[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1))
 
 
 def csv_lines(reader, root: str, kind: str) -> DataFrame:
     """Lines of all files of one kind with the file they come from; ``reader`` is ``spark.read`` or ``spark.readStream``."""
-    lines = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", KINDS[kind]).format("text").load(root)
-             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
+    lines = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{KINDS[kind]},part-*.csv}}").format("text").load(root)
+             .select("value", F.col("_metadata.file_path").alias("path"), export_name(F.col("_metadata.file_path")).alias("file_name"),
                      F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("delivered_at")))
+    lines = lines.where(F.col("file_name").endswith(KINDS[kind][1:]))
     return lines.where(~F.col("file_name").contains("performance")) if kind.endswith("price") else lines
 
 
@@ -55,7 +65,7 @@ def _csv_by_name(spark: SparkSession, root: str, kind: str, columns: list[str])
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """All CSV files below ``root`` with their kind; null kind = not recognised."""
     names = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(root)
-             .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name")))
+             .select("path", export_name(F.col("path")).alias("file_name")))
     n = F.col("file_name")
     perf = n.contains("performance")
     return names.withColumn("kind", F.when(n.endswith("-drivers.csv") & ~perf, "driver_price").when(n.endswith("-constructors.csv") & ~perf, "constructor_price")
