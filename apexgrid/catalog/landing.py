@@ -1,11 +1,13 @@
 """Queries for raw-frame mappers, merge sinks and reports."""
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import scoring as SC, sinks_logic as SK
 from ..plans import reports as RP
-from ..sources import mappers as MP
+from ..session import shared_folder
+from ..sources import mappers as MP, sinks as SI
 from .bindings import RACING
 from .lineups import oracle_scores
 from .registry import query
@@ -139,23 +141,75 @@ def _(v):
     return SK.upsert_with_rename(old, new).select("team_id", "name", "code", "action")
 
 
-@query("snk07_run_rows", """SELECT cast(config_id AS bigint) AS run_id, count(*) AS races, avg(mae_position) AS mae_position, sum(lineup_actual) AS lineup_actual FROM b_run_race GROUP BY 1""", d="mae_position lineup_actual")
+_RUN_SQL = "SELECT cast(config_id AS bigint) AS run_id, {} FROM b_run_race"
+
+
+def _runs(v):
+    """Three runs through the sink: the first has a crashed attempt before it, the second is done twice, the third comes empty first."""
+    root = f"{shared_folder(v.spark)}/runs-{uuid.uuid4().hex}"
+    rows = run_races(v)
+    of = lambda c: rows.where(F.col("config_id") == c).select("event_id", "mae_position", "mae_points", "lineup_actual", "optimal_actual")
+    SI.write_run(v.spark, root, 1, of(1).limit(5), optimizer="crashed")  # never published
+    assert not SI.append_run(v.spark, root, 3, of(3).limit(0))
+    for c, optimizer in ((2, "first"), (1, "greedy"), (2, "exact"), (3, "sampled")):
+        SI.append_run(v.spark, root, c, of(c), optimizer=optimizer)
+    return SI.read_runs(v.spark, root)
+
+
+@query("snk07_run_rows", _RUN_SQL.format("max(optimizer) AS optimizer, count(*) AS races, avg(mae_position) AS mae_position, avg(mae_points) AS mae_points, sum(lineup_actual) AS lineup_actual, sum(optimal_actual) AS optimal_actual")
+       + " GROUP BY 1", d="mae_position mae_points lineup_actual optimal_actual")
+def _(v):
+    return _runs(v)[0].select("run_id", "optimizer", "races", "mae_position", "mae_points", "lineup_actual", "optimal_actual")
+
+
+@query("snk07_race_rows", _RUN_SQL.format("event_id, mae_position, mae_points, lineup_actual, optimal_actual"), d="mae_position mae_points lineup_actual optimal_actual")
 def _(v):
-    return run_races(v).groupBy(F.col("config_id").alias("run_id")).agg(F.count(F.lit(1)).alias("races"), F.avg("mae_position").alias("mae_position"), F.sum("lineup_actual").alias("lineup_actual"))
+    return _runs(v)[1].select("run_id", "event_id", "mae_position", "mae_points", "lineup_actual", "optimal_actual")
+
 
+_SKIPPED = """LEFT JOIN (SELECT session_id, string_agg(c, ', ' ORDER BY c) AS skipped FROM (SELECT DISTINCT year(l_shipdate) * 10 + quarter(l_shipdate) AS session_id, concat('D', cast(l_suppkey AS string)) AS c FROM lineitem WHERE l_suppkey % 7 = 0) x GROUP BY 1) k
+ON k.session_id = l.session_id"""
 
-@query("snk08_ingest_audit", """
+
+@query("snk08_ingest_audit", f"""
 SELECT l.session_id, 'completed' AS status, l.n AS lap_count, coalesce(w.n, 0) AS weather_sample_count, k.skipped FROM
 (SELECT year(l_shipdate) * 10 + quarter(l_shipdate) AS session_id, count(CASE WHEN l_suppkey % 7 <> 0 THEN 1 END) AS n FROM lineitem GROUP BY 1) l
-LEFT JOIN (SELECT weekend_id, count(*) AS n FROM b_weather GROUP BY 1) w ON w.weekend_id = l.session_id
-LEFT JOIN (SELECT session_id, string_agg(c, ', ' ORDER BY c) AS skipped FROM (SELECT DISTINCT year(l_shipdate) * 10 + quarter(l_shipdate) AS session_id, concat('D', cast(l_suppkey AS string)) AS c FROM lineitem WHERE l_suppkey % 7 = 0) x GROUP BY 1) k
-ON k.session_id = l.session_id""", i="session_id")
+LEFT JOIN (SELECT weekend_id, count(*) AS n FROM b_weather GROUP BY 1) w ON w.weekend_id = l.session_id {_SKIPPED}""", i="session_id")
 def _(v):
     rows, skipped = MP.laps(_raw_laps(v), _entry_list(v))
     results = v.b_result.select(F.col("weekend_id").alias("session_id"))
     return MP.audit(rows, results, v.b_weather.select(F.col("weekend_id").alias("session_id")), skipped).select("session_id", "status", "lap_count", "weather_sample_count", "skipped")
 
 
+# every third session has lap records that are cut off, and has failed before as often as its quarter says
+_AUDIT = f"""SELECT l.session_id, CASE WHEN l.broken > 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN l.broken > 0 THEN 0 ELSE l.n END AS lap_count,
+CASE WHEN l.broken > 0 THEN 0 ELSE coalesce(w.n, 0) END AS weather_sample_count, CASE WHEN l.broken > 0 THEN '' ELSE k.skipped END AS skipped, l.session_id % 10 + CASE WHEN l.broken > 0 THEN 1 ELSE 0 END AS retry_count,
+CASE WHEN l.broken > 0 THEN concat(l.broken, ' unusable lap records') ELSE '' END AS error_message FROM
+(SELECT year(l_shipdate) * 10 + quarter(l_shipdate) AS session_id, count(CASE WHEN l_suppkey % 7 <> 0 THEN 1 END) AS n,
+  count(CASE WHEN (year(l_shipdate) * 10 + quarter(l_shipdate)) % 3 = 0 AND l_linenumber IN (3, 4) THEN 1 END) AS broken FROM lineitem GROUP BY 1) l
+LEFT JOIN (SELECT weekend_id, count(*) AS n FROM b_weather GROUP BY 1) w ON w.weekend_id = l.session_id {_SKIPPED}"""
+
+
+def _audited(v):
+    raw, cut = _raw_laps(v), F.col("session_id") % 3 == 0
+    raw = raw.withColumns({"LapNumber": F.when(~(cut & (F.col("Stint") == 3)), F.col("LapNumber").cast("double")), "Driver": F.when(~(cut & (F.col("Stint") == 4)), F.col("Driver"))})
+    rows, skipped = MP.laps(raw, _entry_list(v))
+    session = lambda df: df.select(F.col("weekend_id").alias("session_id"))
+    earlier = raw.select("session_id", (F.col("session_id") % 10).cast("int").alias("retry_count")).distinct()
+    return MP.audit(rows, session(v.b_result), session(v.b_weather), skipped, MP.failures(raw), earlier)
+
+
+@query("snk08_failed_sessions", _AUDIT, i="session_id retry_count lap_count weather_sample_count")
+def _(v):
+    return _audited(v).select("session_id", "status", "lap_count", "weather_sample_count", "skipped", "retry_count", "error_message")
+
+
+@query("snk08_run_totals", f"""SELECT count(CASE WHEN status = 'completed' THEN 1 END) AS sessions_processed, count(CASE WHEN status = 'failed' THEN 1 END) AS sessions_skipped, sum(lap_count) AS lap_count,
+sum(retry_count) AS retry_count FROM ({_AUDIT}) a""", i="lap_count retry_count")
+def _(v):
+    return MP.run_totals(_audited(v))
+
+
 # --- reports ---------------------------------------------------------------
 def _dashboard(v):
     v.stage(*RACING)

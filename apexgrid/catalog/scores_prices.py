@@ -142,6 +142,13 @@ def _(v):
     return PR.starting_prices(v.b_driver.select("driver_id"), listed, carried, "driver_id", 10.0)
 
 
+# a list of prices for all seasons meets the entry list of one: codes that are not in it are reported
+@query("pr02_unknown_codes", """SELECT DISTINCT p.code FROM b_price p WHERE p.round_no = 1 AND p.code % 3 = 1""")
+def _(v):
+    entered = v.b_driver.where("code % 3 <> 1").select("code").distinct()
+    return PR.unknown_codes(v.b_price.where("round_no = 1").select("code", "price"), entered, "code")
+
+
 _STATE = """(SELECT s.event_id, s.driver_id, list(h.race_total / cast(h.price AS double) ORDER BY h.event_date) FILTER (WHERE h.rn <= 3) AS seen, count(CASE WHEN h.rn <= 3 THEN 1 END) AS n
 FROM b_spine s LEFT JOIN (SELECT s.event_id, s.driver_id, t.race_total, p.price, t.event_date, row_number() OVER (PARTITION BY s.event_id, s.driver_id ORDER BY t.event_date DESC) AS rn
   FROM b_spine s JOIN b_total t ON t.driver_id = s.driver_id AND t.event_date < s.event_date JOIN b_price p ON p.event_id = t.event_id AND p.driver_id = t.driver_id) h

@@ -48,6 +48,11 @@ def starting_prices(entities: DataFrame, listed: DataFrame, carried: DataFrame,
                     F.when(F.col("_l").isNotNull(), "listed").when(F.col("_c").isNotNull(), "carried").otherwise("default").alias("source"))
 
 
+def unknown_codes(listed: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """Listed prices of nobody in the entry list: their sorted keys are reported, their prices not used."""
+    return listed.join(entities.select(key), key, "left_anti").select(key).distinct()
+
+
 def carry_over(prices: DataFrame, entity: str, season: str = "season_year") -> DataFrame:
     """Price at the last round of each season, clamped, as the next season's start."""
     last = prices.groupBy(entity, season).agg(F.max_by("price", "round_no").alias("price"), F.max("round_no").alias("_r"))

@@ -28,7 +28,7 @@ def predictions(table: DataFrame, field: DataFrame, versions: dict[str, list[str
     for name, k, label in names:
         s, own = M.SPECS[name.split(":")[0]], tuple(cols.index(c) for c in versions[name])
         models.append(FO.Grown(s.trees, s.depth, s.step, s.min_rows, s.subsample, s.columns, k, k + 1, label, s.half_life, own))
-    labelled = field.join(table.select("event_id", "driver_id", "y_position", "y_points"), ["event_id", "driver_id"], "left")
+    labelled = field.drop("y_position", "y_points").join(table.select("event_id", "driver_id", "y_position", "y_points"), ["event_id", "driver_id"], "left")
     rows = FO.predicted(labelled, cols, ["y_position", "y_points"], models, ["event_id", "driver_id", "season_id"])
     about = table.sparkSession.createDataFrame([(i, n, k, label, M.SPECS[n.split(":")[0]].bounds, M.SPECS[n.split(":")[0]].half_life) for i, (n, k, label) in enumerate(names)],
                                                "model int, predictor string, split bigint, label int, bounds string, half_life double")

@@ -57,10 +57,31 @@ def schedule(raw: DataFrame, keys: list[str]) -> DataFrame:
     return long.select(*keys, F.try_element_at(codes, F.col("s.label")).alias("session_type"), F.col("s.date").alias("date")).where(F.col("session_type").isNotNull())
 
 
-def audit(laps_df: DataFrame, results_df: DataFrame, weather_df: DataFrame, skipped: DataFrame) -> DataFrame:
-    """One status row per session: row counts and the skipped names as text."""
+def failures(raw: DataFrame) -> DataFrame:
+    """Sessions with lap records that name no driver or no lap: nothing of such a session is stored."""
+    broken = F.col("Driver").isNull() | S.null_if_nan(F.col("LapNumber").cast("double")).isNull()
+    return raw.groupBy("session_id").agg(F.count_if(broken).alias("broken")).where("broken > 0") \
+        .select("session_id", F.concat(F.col("broken").cast("string"), F.lit(" unusable lap records")).alias("error_message"))
+
+
+def audit(laps_df: DataFrame, results_df: DataFrame, weather_df: DataFrame, skipped: DataFrame, failed: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """One status row per session: row counts and the skipped names as text; ``failed(session_id, error_message)`` stored nothing.
+
+    ``earlier(session_id, retry_count)`` is the status before; each failure adds one to its count.
+    """
     n = lambda df, c: df.groupBy("session_id").agg(F.count(F.lit(1)).alias(c))
+    counts = ["lap_count", "result_count", "weather_sample_count"]
     df = n(laps_df, "lap_count").join(n(results_df, "result_count"), "session_id", "full").join(n(weather_df, "weather_sample_count"), "session_id", "full")
-    df = df.join(skipped, "session_id", "left").fillna(0, ["lap_count", "result_count", "weather_sample_count"])
-    return df.select("session_id", F.lit("completed").alias("status"), "lap_count", "result_count", "weather_sample_count",
-                     F.coalesce(F.concat_ws(", ", "skipped"), F.lit("")).alias("skipped"), F.lit(0).alias("retry_count"))
+    df = df.join(skipped, "session_id", "left")
+    df = df.join(failed, "session_id", "full") if failed is not None else df.withColumn("error_message", F.lit(None).cast("string"))
+    df = df.join(earlier.select("session_id", F.col("retry_count").alias("before")), "session_id", "left") if earlier is not None else df.withColumn("before", F.lit(0))
+    bad = F.col("error_message").isNotNull()
+    names = F.when(~bad, F.concat_ws(", ", "skipped"))
+    return df.select("session_id", F.when(bad, "failed").otherwise("completed").alias("status"), *[F.when(bad, 0).otherwise(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in counts],
+                     F.coalesce(names, F.lit("")).alias("skipped"), (F.coalesce("before", F.lit(0)) + bad.cast("int")).alias("retry_count"), F.coalesce("error_message", F.lit("")).alias("error_message"))
+
+
+def run_totals(audited: DataFrame) -> DataFrame:
+    """What a collection run reports: sessions stored and failed, and the rows they brought."""
+    done = F.col("status") == "completed"
+    return audited.agg(F.count_if(done).alias("sessions_processed"), F.count_if(~done).alias("sessions_skipped"), F.sum("lap_count").alias("lap_count"), F.sum("retry_count").alias("retry_count"))

@@ -103,11 +103,28 @@ def test_rename_keeps_id_and_code(spark):
     assert got == {10: ("Cad F1 Team", "cad", "renamed"), 11: ("Haas", "haas", "updated"), 92: ("New", "n", "created")}
 
 
-def test_empty_run_is_not_written(spark, tmp_path):
-    races = spark.createDataFrame([(1, 1.0, 2.0, 3.0, None)], "event_id int, mae_position double, mae_points double, lineup_actual double, optimal_actual double")
-    assert sinks.append_run(spark, str(tmp_path), 1, races.limit(0)) is False and not os.path.exists(str(tmp_path / "backtest_run"))
-    assert sinks.append_run(spark, str(tmp_path), 2, races, optimizer="exact") is True
-    assert spark.read.parquet(str(tmp_path / "backtest_run")).first()["lineup_actual"] == 3.0
+def test_runs_are_published_whole(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    races = spark.createDataFrame([(1, 1.0, 2.0, 3.0, None), (2, 3.0, 2.0, 5.0, 9.0)], "event_id int, mae_position double, mae_points double, lineup_actual double, optimal_actual double")
+    assert sinks.append_run(spark, root, 1, races.limit(0)) is False and not os.path.exists(f"{root}/manifest")
+    assert sinks.append_run(spark, root, 2, races, optimizer="exact") is True
+    sinks.write_run(spark, root, 3, races, optimizer="greedy")  # a crash before the manifest
+    runs, rows = sinks.read_runs(spark, root)
+    assert [(r["run_id"], r["races"], r["lineup_actual"], r["optimizer"]) for r in runs.collect()] == [(2, 2, 8.0, "exact")] and rows.count() == 2
+    assert sinks.append_run(spark, root, 2, races.where("event_id = 2"), optimizer="exact") and sinks.append_run(spark, root, 3, races, optimizer="greedy")
+    runs, rows = sinks.read_runs(spark, root)
+    assert {r["run_id"]: r["races"] for r in runs.collect()} == {2: 1, 3: 2} and rows.count() == 3
+
+
+def test_failed_sessions_are_audited(spark):
+    raw = spark.createDataFrame([(1, "AAA", 1.0), (2, None, 1.0), (2, "AAA", float("nan")), (2, "AAA", 2.0)], "session_id int, Driver string, LapNumber double")
+    failed = mappers.failures(raw)
+    assert [tuple(r) for r in failed.collect()] == [(2, "2 unusable lap records")]
+    one = raw.select("session_id")
+    got = mappers.audit(one, one, one, spark.createDataFrame([(1, ["ZZZ"]), (2, ["YYY"])], "session_id int, skipped array<string>"), failed,
+                        spark.createDataFrame([(1, 4), (2, 1)], "session_id int, retry_count int"))
+    assert {r["session_id"]: (r["status"], r["lap_count"], r["skipped"], r["retry_count"]) for r in got.collect()} == {1: ("completed", 1, "ZZZ", 4), 2: ("failed", 0, "", 2)}
+    assert tuple(mappers.run_totals(got).first()) == (1, 1, 1, 6)
 
 
 def test_lap_mapper_reports_unknown_codes(spark):
