@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J, ledger as G, lineup as LN, nested as N, scoring as SC, sinks_logic as SK
 from ..plans import backtest as BT, features as FS, models as M, training as TR, walk as WK
 from .bindings import RACING
-from .lineups import _REAL_CARS, _REAL_TEAMS, _best_sql, oracle_scores
+from .lineups import _LN02, _REAL_CARS, _REAL_TEAMS, _best_sql, oracle_scores
 from .registry import query
 from .scores_prices import _LINEUP_PTS, _TEAM_PTS, nested_lineups, price_state
 from .tables import _actuals
@@ -209,7 +209,8 @@ def recommendations(v):
     return LN.solve(g, ["event_id"], "upgraded").where("feasible").withColumns({"strategy": F.lit("upgraded"), "model_version": F.lit("v1")})
 
 
-@query("ln11_recommendation_job")
+@query("ln11_recommendation_job", f"SELECT event_id, 'upgraded' AS strategy, 'v1' AS model_version, driver_ids, team_ids, boost_id, total_cost, predicted_points FROM ({_LN02}) z WHERE feasible",
+       d="total_cost predicted_points", i="boost_id")
 def _(v):
     return recommendations(v).select("event_id", "strategy", "model_version", "driver_ids", "team_ids", "boost_id", "total_cost", "predicted_points")
 

@@ -52,12 +52,6 @@ def oracle_scores(v, method: str = "exact"):
     return LN.solve(LN.actual_grid(v.b_total, v.b_ctotal, v.b_price, v.b_cprice), ["event_id"], method)
 
 
-@query("ln07_oracle_score_greedy")
-def _(v):
-    _stage(v)
-    return LN.solve(LN.actual_grid(v.b_total, v.b_ctotal, v.b_price, v.b_cprice, prune=False), ["event_id"], "upgraded").select(*_KEEP)
-
-
 def _greedy_sql(src: str, k: int, budget: str) -> str:
     """Greedy fill as a recursion over the candidates in value order.
 
@@ -77,13 +71,35 @@ run AS (
 SELECT o.event_id, o.id, o.x, o.p FROM run r JOIN o ON o.event_id = r.event_id AND o.id = r.id WHERE r.took = 1"""
 
 
-_LN01 = f"""
-WITH d AS (SELECT event_id, driver_id AS id, cast(round(price * 10) AS bigint) AS x, cast(pts AS bigint) AS p FROM {_PRED_CARS}),
-t AS (SELECT event_id, team_id AS id, cast(round(price * 10) AS bigint) AS x, cast(pts AS bigint) AS p FROM {_PRED_TEAMS}),
+def _upgrade_sql(src: str, picked: str, budget: str) -> str:
+    """The swap fixpoint as a recursion: the first pick in value order for which a better affordable candidate exists goes, the best of those comes."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY p / cast(x AS double) DESC, id) AS i FROM {src}),
+up AS (
+  SELECT k.event_id, 0 AS n, list(k.id) AS ids, cast(sum(k.x) AS bigint) AS cost, cast(min(m.b) AS bigint) AS money FROM {picked} k JOIN {budget} m ON m.event_id = k.event_id GROUP BY 1
+  UNION ALL
+  SELECT event_id, n + 1, ids, cost, money FROM (
+    SELECT s.event_id, s.n, list_append(list_filter(s.ids, lambda z: z <> c.id), q.id) AS ids, s.cost - c.x + q.x AS cost, s.money,
+      row_number() OVER (PARTITION BY s.event_id ORDER BY c.i, q.p DESC, q.id) AS rn
+    FROM up s JOIN o c ON c.event_id = s.event_id AND list_contains(s.ids, c.id)
+    JOIN o q ON q.event_id = s.event_id AND NOT list_contains(s.ids, q.id) AND q.p > c.p AND q.x <= s.money - s.cost + c.x) w WHERE rn = 1),
+fixed AS (SELECT event_id, arg_max(ids, n) AS ids FROM up GROUP BY 1)
+SELECT o.event_id, o.id, o.x, o.p FROM fixed JOIN o ON o.event_id = fixed.event_id AND list_contains(fixed.ids, o.id)"""
+
+
+def _lineup_sql(cars: str, teams: str, improve: bool) -> str:
+    """Line-ups by value, with or without the swaps: cars first, with the two cheapest teams set aside, then teams."""
+    def side(out: str, src: str, k: int, budget: str) -> str:
+        if not improve:
+            return f"{out} AS (WITH RECURSIVE {_greedy_sql(src, k, budget)})"
+        return f"{out}_first AS (WITH RECURSIVE {_greedy_sql(src, k, budget)}), {out} AS (WITH RECURSIVE {_upgrade_sql(src, f'{out}_first', budget)})"
+
+    return f"""
+WITH d AS (SELECT event_id, driver_id AS id, cast(round(price * 10) AS bigint) AS x, cast(pts AS bigint) AS p FROM {cars}),
+t AS (SELECT event_id, team_id AS id, cast(round(price * 10) AS bigint) AS x, cast(pts AS bigint) AS p FROM {teams}),
 reserve AS (SELECT event_id, 1000 - sum(x) AS b FROM (SELECT event_id, x, row_number() OVER (PARTITION BY event_id ORDER BY x) AS rn FROM t) z WHERE rn <= 2 GROUP BY 1),
-cars AS (WITH RECURSIVE {_greedy_sql('d', 5, 'reserve')}),
+{side('cars', 'd', 5, 'reserve')},
 rest AS (SELECT r.event_id, 1000 - coalesce(sum(c.x), 0) AS b FROM reserve r LEFT JOIN cars c ON c.event_id = r.event_id GROUP BY 1),
-teams AS (WITH RECURSIVE {_greedy_sql('t', 2, 'rest')}),
+{side('teams', 't', 2, 'rest')},
 c AS (SELECT event_id, count(*) AS n, sum(x) AS x, sum(p) + max(p) AS p, arg_max(id, p * 1000000000 - id) AS boost_id, string_agg(cast(id AS varchar), ',' ORDER BY id) AS ids FROM cars GROUP BY 1),
 q AS (SELECT event_id, count(*) AS n, sum(x) AS x, sum(p) AS p, string_agg(cast(id AS varchar), ',' ORDER BY id) AS ids FROM teams GROUP BY 1)
 SELECT r.event_id, CASE WHEN c.n = 5 AND q.n = 2 THEN (c.x + q.x) / 10.0 END AS total_cost, CASE WHEN c.n = 5 AND q.n = 2 THEN c.p + q.p END AS predicted_points,
@@ -91,16 +107,27 @@ SELECT r.event_id, CASE WHEN c.n = 5 AND q.n = 2 THEN (c.x + q.x) / 10.0 END AS
 FROM reserve r LEFT JOIN c ON c.event_id = r.event_id LEFT JOIN q ON q.event_id = r.event_id"""
 
 
+_LN01 = _lineup_sql(_PRED_CARS, _PRED_TEAMS, False)
+_LN02 = _lineup_sql(_PRED_CARS, _PRED_TEAMS, True)
+_LN07 = _lineup_sql(_REAL_CARS, _REAL_TEAMS, True)
+
+
 @query("ln01_greedy_lineup", _LN01, d="total_cost predicted_points", i="boost_id")
 def _(v):
     return LN.solve(_grid(v), ["event_id"], "greedy").select(*_KEEP, "driver_ids", "team_ids")
 
 
-@query("ln02_upgraded_lineup")
+@query("ln02_upgraded_lineup", _LN02, d="total_cost predicted_points", i="boost_id")
 def _(v):
     return LN.solve(_grid(v), ["event_id"], "upgraded").select(*_KEEP, "driver_ids", "team_ids")
 
 
+@query("ln07_oracle_score_greedy", f"SELECT event_id, total_cost, predicted_points, feasible, boost_id FROM ({_LN07}) z", d="total_cost predicted_points", i="boost_id")
+def _(v):
+    _stage(v)
+    return LN.solve(LN.actual_grid(v.b_total, v.b_ctotal, v.b_price, v.b_cprice, prune=False), ["event_id"], "upgraded").select(*_KEEP)
+
+
 @query("ln03_transfer_limited_lineup")
 def _(v):
     prev = nested_lineups(v).select("event_id", F.col("driver_ids").alias("prev_drivers"), F.col("team_ids").alias("prev_teams"))
