@@ -9,6 +9,7 @@ from ..plans import reports as RP
 from ..session import shared_folder
 from ..sources import mappers as MP, sinks as SI
 from .bindings import RACING
+from .learning import _LN02_LIST
 from .lineups import oracle_scores
 from .registry import query
 from .scores_prices import nested_lineups
@@ -247,7 +248,13 @@ def _(v):
     return RP.race_sheet(v.b_pred, v.b_price).select(*KEYS, "predicted_points", "price", "sheet_rank")
 
 
-@query("rp02_lineup_difference")
+def _difference_sql(old: str, new: str, name: str) -> str:
+    return f"""array_to_string(list_sort(list_filter({old}, lambda z: NOT list_contains({new}, z))), ',') AS {name}_dropped,
+array_to_string(list_sort(list_filter({new}, lambda z: NOT list_contains({old}, z))), ',') AS {name}_added, len(list_filter({old}, lambda z: list_contains({new}, z))) AS {name}_kept"""
+
+
+@query("rp02_lineup_difference", f"""SELECT event_id, {_difference_sql('d', 'ds', 'drivers')}, {_difference_sql('c', 'ts', 'teams')} FROM (
+SELECT l.event_id, [l.d1, l.d2, l.d3, l.d4, l.d5] AS d, [l.c1, l.c2] AS c, r.ds, r.ts FROM b_lineup l JOIN {_LN02_LIST} r ON r.event_id = l.event_id) x""", i="drivers_kept teams_kept")
 def _(v):
     from .learning import recommendations
     return RP.lineup_diff(nested_lineups(v), recommendations(v)).select("event_id", "drivers_dropped", "drivers_added", "drivers_kept", "teams_dropped", "teams_added", "teams_kept")

@@ -224,7 +224,18 @@ def _(v):
     return SC.lineup_points(lines, v.b_total, v.b_ctotal, ["event_id"]).join(best, "event_id", "left")
 
 
-@query("sc06_post_race_scoring")
+_LN02_LIST = f"""(SELECT event_id, boost_id, list_transform(string_split(driver_ids, ','), lambda z: cast(z AS bigint)) AS ds, list_transform(string_split(team_ids, ','), lambda z: cast(z AS bigint)) AS ts
+FROM ({_LN02}) z WHERE feasible)"""
+
+
+@query("sc06_post_race_scoring", f"""SELECT s.event_id, s.source, s.actual_points, o.best AS oracle_points FROM (
+  SELECT a.event_id, 'submitted' AS source, a.pts + b.pts AS actual_points FROM ({_LINEUP_PTS}) a JOIN ({_TEAM_PTS}) b ON b.event_id = a.event_id
+  UNION ALL SELECT a.event_id, 'upgraded', a.pts + b.pts FROM (
+    SELECT l.event_id, sum(coalesce(t.race_total, 0) * CASE WHEN l.id = l.boost_id THEN 2 ELSE 1 END) AS pts FROM (SELECT event_id, boost_id, unnest(ds) AS id FROM {_LN02_LIST} r) l
+    LEFT JOIN b_total t ON t.event_id = l.event_id AND t.driver_id = l.id GROUP BY 1) a JOIN (
+    SELECT l.event_id, sum(coalesce(t.race_total, 0)) AS pts FROM (SELECT event_id, unnest(ts) AS id FROM {_LN02_LIST} r) l
+    LEFT JOIN b_ctotal t ON t.event_id = l.event_id AND t.team_id = l.id GROUP BY 1) b ON b.event_id = a.event_id) s
+LEFT JOIN ({_best_sql(_REAL_CARS, _REAL_TEAMS)}) o ON o.event_id = s.event_id""", d="actual_points oracle_points")
 def _(v):
     v.stage(*RACING)
     mine = nested_lineups(v).select("event_id", "driver_ids", "team_ids", "boost_id").withColumn("source", F.lit("submitted"))
