@@ -49,6 +49,17 @@ _LI_KEYS = """l_suppkey AS code, cast((l_suppkey - l_suppkey % 20) / 20 AS bigin
     cast((l_suppkey - l_suppkey % 2) / 2 AS bigint) AS team_no,
     cast(year(l_shipdate) AS bigint) AS season_year, cast(quarter(l_shipdate) AS bigint) AS round_no"""
 
+#: Rows that the views leave out, so that defaults for absent rows have something to do; queries named ``..._whole`` run without.
+THINNED = {"result": "(3*code + season_year*4 + round_no) % 17 <> 0", "price": "(code+round_no) % 19 <> 0", "status": "hh <> 5"}
+
+
+def unthinned(text: str) -> str:
+    """A view's or oracle's text without those filters."""
+    for condition in THINNED.values():
+        text = text.replace(f"WHERE {condition}", "WHERE true")
+    return text
+
+
 VIEWS: dict[str, str] = {
     # one row per supplier and quarter: the only full scan most queries need
     "b_agg": f"""
@@ -97,7 +108,7 @@ SELECT *, cast({race_pts('position')} AS double) AS points FROM (
     CASE h WHEN 0 THEN 'Engine' WHEN 1 THEN '+1 Lap' ELSE 'Finished' END AS status,
     CASE WHEN (code+season_year) % 97 = 0 THEN 'd' ELSE cast(r_pos AS string) END AS classified_position,
     fl_pos AS fastest_lap_rank
-  FROM {{b_rank}} WHERE (3*code + season_year*4 + round_no) % 17 <> 0) x""",
+  FROM {{b_rank}} WHERE {THINNED["result"]}) x""",
     "b_quali": f"""
 SELECT *, cast({quali_pts('position')} AS double) AS points FROM (
   SELECT event_id, event_date, weekend_id, season_year, season_id, series, round_no, round_no AS circuit_id,
@@ -160,7 +171,7 @@ SELECT event_id, event_date, season_id, season_year, round_no, driver_id, code,
     cast(3.0 + ((code*31+weekend_id*17) % 310) / 10.0 AS decimal(5,1)) AS price,
     cast(((code+weekend_id) % 13 - 6) / 10.0 AS decimal(4,1)) AS price_change,
     cast((code*round_no) % 100 AS double) AS pick_percentage
-FROM {b_spine} WHERE (code+round_no) % 19 <> 0""",
+FROM {b_spine} WHERE """ + THINNED["price"],
     "b_cprice": """
 SELECT e.event_id, e.event_date, e.season_id, e.season_year, e.round_no, t.team_id, t.team_code, t.series,
     cast(8.0 + ((((t.team_id - t.season_year) / 10000)*13 + e.weekend_id*7) % 220) / 10.0 AS decimal(5,1)) AS price
@@ -252,7 +263,7 @@ FROM {b_event} e JOIN (SELECT * FROM (VALUES ('conventional', 1, 'FP1'), ('conve
     "b_status": """
 SELECT session_id, CASE WHEN hh = 0 THEN 'failed' WHEN hh = 1 THEN 'pending' ELSE 'completed' END AS status,
     cast(CASE WHEN hh = 0 THEN 2 ELSE 0 END AS bigint) AS retry_count
-FROM {b_session} WHERE hh <> 5""",
+FROM {b_session} WHERE """ + THINNED["status"],
     "b_snapshot": """
 SELECT user_id, cast(ts AS date) AS snapshot_date, cast(value AS decimal(18,2)) AS value, event_id AS row_id, event_type FROM {events}""",
     # one evaluation row per (configuration, event): three ways of scaling the stand-in predictions
@@ -304,8 +315,8 @@ RACING = ("b_agg", "b_event", "b_driver", "b_spine", "b_rank", "b_result", "b_qu
 class Bindings:
     """Lazy views over one data directory: ``v.b_result``, ``v.lineitem`` …"""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._made = spark, sf_dir.rstrip("/"), {}
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.dir, self.whole, self._made = spark, sf_dir.rstrip("/"), whole, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in TABLES and name not in VIEWS):
@@ -320,11 +331,11 @@ class Bindings:
         if name == "b_overtake":
             # same rows as the SQL text, but no window over all laps of one driver
             return overtakes(self.b_racelap)
-        return self.sql(VIEWS[name])
+        return self.sql(unthinned(VIEWS[name]) if self.whole else VIEWS[name])
 
     def keep(self, name: str, make) -> DataFrame:
         """A derived table, written once per application and data directory."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        key = (self.spark.sparkContext.applicationId, self.dir, f"{name}-whole" if self.whole else name)
         if key not in _STAGED:
             _STAGED[key] = stage(make(), name)
         return _STAGED[key]

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .bindings import Bindings, oracle_text
+from .bindings import Bindings, oracle_text, unthinned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def _typed(sql: str, d: str, i: str, s: str) -> str:
     return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql}) oracle" if casts else sql
 
 
+#: Queries that are registered once more over views without left-out rows.
+WHOLE = ("flagship_form_and_standings", "fs04_feature_set_v4", "fs05_feature_set_race", "fs07_race_training_set", "sc01_race_and_sprint_items", "sc03_constructor_items", "sc04_season_driver_scores",
+         "sc05_lineup_points", "evl06_metric_bundle", "pr01_driver_price_chain", "pr04_price_trajectory", "jn17_ln04_exact_lineup", "ln01_greedy_lineup", "ln02_upgraded_lineup", "ln07_oracle_score",
+         "rp01_season_dashboard", "rp06_session_list")
+
+
 def query(name: str, sql: str | None = None, d: str = "", i: str = "", s: str = ""):
     """Register ``fn(v: Bindings) -> DataFrame`` under ``name`` with an optional oracle body.
 
@@ -51,6 +57,9 @@ def query(name: str, sql: str | None = None, d: str = "", i: str = "", s: str =
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = _typed(oracle_text(sql), d, i, s)
+        if name in WHOLE:
+            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: presentable(fn(Bindings(spark, sf_dir, whole=True)))
+            ORACLES[f"{name}_whole"] = unthinned(ORACLES[name])
         return fn
 
     return wrap

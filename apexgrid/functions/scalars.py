@@ -148,6 +148,7 @@ def completion_percent(done: Column, total: Column) -> Column:
     return F.coalesce(F.bround(F.lit(100.0) * done / F.nullif(total, F.lit(0)), 0), F.lit(0.0)).cast("bigint")
 
 
+# The words and patterns of scoring texts and price cards.
 def scoring_event_type(text: Column) -> Column:
     t = F.lower(text)
     return (F.when(t.contains("qualifying"), "qualifying").when(t.contains("sprint"), "sprint")

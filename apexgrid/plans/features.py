@@ -19,6 +19,7 @@ from ..functions.ranking import average_rank, ordinal_rank, rank_or_last
 from ..operators import filters as FL, history as H, joins as J
 from ..params import DEFAULTS, PRACTICE, Params
 
+# The columns of each feature set, in their order.
 V1 = ["position_mean_last3", "position_mean_last5", "position_std_last5", "dnf_rate_last10",
       "positions_gained_mean_last5", "qualifying_position_mean_last3", "circuit_position_mean_last3",
       "team_position_mean_last5", "fantasy_points_mean_last3", "practice_best_lap_rank",
