@@ -76,7 +76,17 @@ def test_models_do_not_meet(spark):
     assert abs(u.mean() - 0.5) < 0.01 and 0 <= u.min() and u.max() < 1
 
 
-def test_tree_walk_covers_every_event_and_orders_bounds(spark):
+def test_blocks_do_not_matter(spark, monkeypatch):
+    df = season(spark, 8).persist()
+    spec = lambda: [FO.Grown(5, 3, 0.1, 2, 1.0, 0.7, 5, 8, half_life=h) for h in (None, 2.0)]
+    one = FO.fold_errors(df, COLS, "y_position", spec())
+    monkeypatch.setattr(FO, "BLOCK_ROWS", 30)
+    assert FO.fold_errors(df, COLS, "y_position", spec()) == pytest.approx(one) and one[0] != one[1]
+
+
+def test_tree_walk_covers_every_event_and_orders_bounds(spark, monkeypatch):
+    monkeypatch.setitem(M.SPECS, "v1", M.TreeSpec(trees=6, depth=2))
+    monkeypatch.setitem(M.SPECS, "v3", M.TreeSpec(trees=6, depth=2, subsample=0.7, columns=0.7, min_rows=3, bounds="quantile", half_life=10.0))
     df = season(spark, 8).persist()
     got = BT.predictions(df, df, {"v1": ["a", "b"], "v3:wide": COLS}, Params(min_train=5)).toPandas()
     assert {(p, e) for p, e in zip(got["predictor"], got["event_index"])} == {(p, e) for p in ("v1", "v3:wide") for e in (5, 6, 7)}
