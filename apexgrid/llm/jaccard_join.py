@@ -12,7 +12,8 @@ Documents are compared as sets of distinct five-word shingles. Two link when the
   compared across components: short lists by a join, long ones in blocks of bounded size whose tasks scan an
   inverted list of one block for each set of the other and return at most one link per set and component.
 * Before sets are fetched, pairs must pass a parity sketch: the bits in which two sketches differ never exceed the
-  symmetric difference of the sets, so the filter loses nothing.
+  symmetric difference of the sets, so the filter loses nothing. Blocks are scanned by sketch first: only members that
+  some member of another component may link with have their sets fetched and scanned.
 
 Defined cases: null, empty and blank texts have no set, link with nothing and are their own component. A text of under
 five words has one shingle. Rows that repeat a doc_id are one document whose links are united. Rows without a doc_id
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import stage, unstage
 from .bitmap import bitmap, holds, slot
 from .components import connected
 from .shingles import WIDTH, mix, shingles_of, windows_of
@@ -40,8 +41,10 @@ MAX_LIGHT = 12
 FREQUENT = 1 << 17
 #: Shingles of a counting chunk (64 MB), and the count from which a chunk reports one.
 CHUNK, REPORT = 1 << 20, 2
-#: Lists up to this length are paired by a join; blocks hold about this many shingles.
+#: Lists up to this length are paired by a join; blocks hold about this many shingles, or words of sketches.
 SHORT_LIST, BLOCK = 32, 1 << 19
+#: Words that a sketch counts for in a block at least, which bounds a block's members.
+SKETCH_LEAST = 32
 #: A sketch has at least this many bits, and at least twice as many as its set has shingles.
 SKETCH_BITS = 256
 #: Bits of the filter that names the documents whose sets are fetched: a bound on what is broadcast, not on documents.
@@ -256,22 +259,74 @@ def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return _enough(lists.filter((F.col("id") != F.col("pivot")) & _sized("n", "pn", percent)).select(F.col("id").alias("x"), F.col("pivot").alias("y"), "w"))
 
 
-def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components within groups of long lists: ``members(id, g, comp, n)``, in blocks of bounded size.
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members(g, comp, weight, ...)`` dealt to tasks ``(g, i, j)`` of bounded weight, with ``role`` 0 (base), 1 (probe) or 2 (both).
 
-    A group's largest component is not compared with itself; all others are compared with the whole group.
+    A group's largest component is not compared with itself; all others are compared with the whole group. A group of
+    one block is sent once, of more: every block of probes meets every block of bases.
     """
-    main = members.groupBy("g", "comp").agg(F.sum("n").alias("weight")).groupBy("g") \
+    main = members.groupBy("g", "comp").agg(F.sum("weight").alias("weight")).groupBy("g") \
         .agg(F.max(F.struct("weight", "comp")).alias("m"), F.sum("weight").alias("all")) \
         .select("g", F.col("m.comp").alias("main"), F.ceil(F.col("all") / BLOCK).alias("nd"), F.ceil((F.col("all") - F.col("m.weight")) / BLOCK).alias("no"))
-    rows = members.join(main, "g").filter("no > 0")
-    place = F.xxhash64("id")
-    d = rows.select("id", "g", "comp", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1)).alias("i"), F.pmod(place, F.col("nd")).alias("j"))
-    o = rows.filter("comp <> main").select("id", "g", "comp", F.lit(1).alias("role"), F.pmod(place, F.col("no")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nd") - 1)).alias("j"))
-    work = d.select("id", "g", "comp", "role", "i", "j").union(o).join(sets.select("id", "n", "tokens"), "id")
+    rows = members.join(main, "g").filter("no > 0").withColumn("other", F.col("comp") != F.col("main"))
+    place, zero = F.xxhash64("id"), F.lit(0).cast("long")
+    once = rows.filter("nd = 1").withColumns({"role": F.when(F.col("other"), 2).otherwise(0), "i": zero, "j": zero})
+    many = rows.filter("nd > 1")
+    base = many.withColumn("role", F.lit(0)).withColumn("i", F.explode(F.sequence(zero, F.col("no") - 1))).withColumn("j", F.pmod(place, F.col("nd")))
+    probe = many.filter("other").withColumn("role", F.lit(1)).withColumn("i", F.pmod(place, F.col("no"))).withColumn("j", F.explode(F.sequence(zero, F.col("nd") - 1)))
+    return once.union(base).union(probe).drop("main", "nd", "no", "other", "weight")
+
+
+def _halved(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def near_rows(n: np.ndarray, comp: np.ndarray, sketch: list[np.ndarray], base: np.ndarray, probe: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows are one of a base and a probe of different components that size and sketch do not keep from linking."""
+    near = np.zeros(len(n), bool)
+    length = np.array([len(s) for s in sketch], np.int64)
+    for words in np.unique(length):
+        # bases by size, of this length: as they are, and halved for probes of half the length
+        at = np.flatnonzero(base & (length == words))
+        at = at[np.argsort(n[at], kind="stable")]
+        size, of = n[at], comp[at]
+        table = np.array([sketch[k] for k in at], np.int64).reshape(len(at), words).view(np.uint64)
+        for other in (words // 2, words, 2 * words):
+            asks = np.flatnonzero(probe & (length == other))
+            if not len(at) or not len(asks):
+                continue
+            bases, probes = _halved(table) if other < words else table, np.array([sketch[k] for k in asks], np.int64).view(np.uint64)
+            probes = _halved(probes) if other > words else probes
+            los = np.searchsorted(size, -(-percent * n[asks] // 100), "left")
+            his = np.searchsorted(size, 100 * n[asks] // percent, "right")
+            for k, p, lo, hi in zip(asks, probes, los, his):
+                differ = np.bitwise_count(bases[lo:hi] ^ p).sum(axis=1, dtype=np.int64)
+                hit = (differ * (100 + percent) <= (size[lo:hi] + n[k]) * (100 - percent)) & (of[lo:hi] != comp[k])
+                if hit.any():
+                    near[k] = True
+                    near[at[lo:hi][hit]] = True
+    return near
+
+
+def _near_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of ``members(id, g, comp, n)`` that may link across components of their group: a scan of sketches, which are a fraction of the sets."""
+    # a sketch has at most one word for 16 shingles
+    work = _dealt(members.withColumn("weight", F.greatest(F.ceil(F.col("n") / 16), F.lit(SKETCH_LEAST))).drop("n")).join(sketches, "id")
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = near_rows(pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["sketch"].to_list(), (pdf["role"] != 1).to_numpy(), (pdf["role"] != 0).to_numpy(), percent)
+        return pdf.loc[near, ["id", "g", "comp", "n"]]
+
+    return work.groupBy("g", "i", "j").applyInPandas(scan, "id long, g long, comp long, n long").distinct()
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components within groups of long lists: ``members(id, g, comp, n)``, in blocks of bounded size."""
+    work = _dealt(members.withColumnRenamed("n", "weight")).join(sets.select("id", "n", "tokens"), "id")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, probe, out = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1], []
+        base, probe, out = pdf[pdf["role"] != 1], pdf[pdf["role"] != 0], []
         if len(base) and len(probe):
             size, ids, comps = base["n"].to_numpy(), base["id"].to_numpy(), base["comp"].to_numpy()
             token = np.concatenate(base["tokens"].to_list())
@@ -318,7 +373,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = WIDTH) -
     rows = stage(_token_rows(docs, percent, width), "tokens")
     full = rows.filter("n > 0")
     first = full.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    placed = stage(full.select("doc_id", "n", "digest", F.col("sketch").isNotNull().alias("own")).join(first, "digest").select("doc_id", "n", "class_id", "own"), "classes")
+    alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.lit(False).alias("own"))
+    every = stage(full.select("doc_id", "n", "digest", F.col("sketch").isNotNull().alias("own")).join(first, "digest").select("doc_id", "n", "class_id", "own").union(alone), "classes")
+    placed = every.filter("n > 0")
     lists = _lists(rows, percent)
     sketches = full.filter("sketch IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "sketch")
 
@@ -327,18 +384,22 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = WIDTH) -
     links = placed.join(same, "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b") \
         .union(placed.filter("own AND doc_id <> class_id").select("doc_id", "class_id")).distinct()
     tested = stage(_promising(_pivot_pairs(lists, percent), sketches, percent), "pairs")
-    links = stage(links.union(_verified(tested, _sets(docs, _ends(tested), width), percent)), "links")
-
-    rows_ = stage(_open_lists(_labelled(lists, links)), "open")
-    pairs = stage(_promising(_short_pairs(rows_, percent), sketches, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    members = stage(_long_members(rows_), "members")
+    sets = _sets(docs, _ends(tested), width)
+    links = stage(links.union(_verified(tested, sets, percent)), "links")
+    unstage(sets)
+
+    open_ = stage(_open_lists(_labelled(lists, links)), "open")
+    unstage(lists)
+    pairs = stage(_promising(_short_pairs(open_, percent), sketches, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    members = stage(_near_members(stage(_long_members(open_), "members"), sketches, percent), "near")
+    unstage(open_, rows)
     sets = _sets(docs, _ends(pairs).union(members.select("id")), width)
     links = links.union(_verified(pairs, sets, percent)).union(_block_links(members, sets, percent))
 
     comp = connected(links).select(F.col("id").alias("class_id"), "comp")
+    unstage(sets)
     linked = placed.join(comp, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class_id").alias("component_id"), "class_id")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    return linked.union(alone)
+    return linked.union(every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class_id"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
