@@ -52,6 +52,8 @@ class WordTokenizer:
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._seen: dict[str, bytes] = {}
+        self._past: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
         self._held = 0
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
@@ -87,9 +89,12 @@ class WordTokenizer:
         column = pc.ascii_split_whitespace(pa.array(map(_lowered, texts), pa.large_string()))
         words = column.flatten().dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if self._held > REMEMBERED:
-            self.forget()
-        own = self._learn([w for w in distinct if w not in self._seen])
+        if self._held > self.remembered // 2:  # two halves: words met since the last turn stay, others go with the next
+            self._past, self._seen, self._held = self._seen, {}, 0
+        own, past = {}, self._past
+        for w in [w for w in distinct if w not in self._seen]:
+            own[w] = past.get(w)
+        own.update(self._learn([w for w, ids in own.items() if ids is None]))
         for w, ids in own.items():
             if len(w) <= WORD:
                 self._seen[w] = ids
@@ -106,19 +111,19 @@ class WordTokenizer:
 
     def forget(self) -> None:
         """Free the memory of words, at the end of a task: the worker goes on to other work."""
-        self._seen.clear()
-        self._held = 0
+        self._seen, self._past, self._held = {}, {}, 0
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One per worker and file."""
+def tokenizer(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
+    """One per worker and file, which remembers words of so many bytes."""
     if path not in _TOKENIZERS:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _TOKENIZERS[path] = WordTokenizer(path)
+    _TOKENIZERS[path].remembered = remembered
     return _TOKENIZERS[path]
 
 

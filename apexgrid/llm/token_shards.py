@@ -25,6 +25,8 @@ from ..session import shared_folder
 from .packing import tokenizer
 
 ROUNDS = 6
+#: Characters of texts that are tokenised together, bytes of words that a worker remembers, and bytes of sequences that a task joins to shards.
+TOGETHER, REMEMBERED, TASK = 1 << 22, 150_000_000, 1 << 25
 
 
 def _round(x: np.ndarray, key: int, turn: int) -> np.ndarray:
@@ -55,6 +57,8 @@ def permuted(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.n
 
 def _sequences(docs: DataFrame, path: str, end_id: int, pad_id: int, length: int, dtype: str) -> DataFrame:
     """(part, local, n_tokens, docs, packed): sequences of each task in order; ``packed`` is compressed for the shuffle."""
+    end = np.array([end_id], "<u4")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, local = TaskContext.get().partitionId(), 0
         held, ids, size = [], [], 0
@@ -85,12 +89,13 @@ def _sequences(docs: DataFrame, path: str, end_id: int, pad_id: int, length: int
 
         names = ["part", "local", "n_tokens", "docs", "packed"]
         for batch in batches:
-            keys = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            for lo in range(0, len(batch), 256):
-                for key, body in zip(keys[lo:lo + 256], tokenizer(path).encode([t or "" for t in batch["text"].iloc[lo:lo + 256]])):
-                    own = np.concatenate([np.frombuffer(body, "<u4"), [end_id]]).astype(dtype)
+            keys, texts = [None if pd.isna(i) else int(i) for i in batch["doc_id"]], [t or "" for t in batch["text"]]
+            chars = np.cumsum([len(t) for t in texts])
+            for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(chars // TOGETHER)) + 1):
+                for k, body in zip(some, tokenizer(path, REMEMBERED).encode([texts[k] for k in some])):
+                    own = np.append(np.frombuffer(body, "<u4"), end).astype(dtype)
                     held.append(own)
-                    ids.append(key)
+                    ids.append(keys[k])
                     size += len(own)
                 if size >= 64 * length:
                     yield pd.DataFrame(cut(False), columns=names)
@@ -122,7 +127,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, key: int, folder: str
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(np.int64), total, key))
 
-    placed = made.join(before, "part").withColumn("slot", slot_of(F.col("before") + F.col("local"))) \
+    placed = made.join(F.broadcast(before), "part").withColumn("slot", slot_of(F.col("before") + F.col("local"))) \
         .withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
 
     def join_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,8 +148,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int, key: int, folder: str
         if open_ is not None:
             yield frame()
 
-    parts = max(1, min(-(-int(total) // per_shard), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed.select("shard", "slot", "n_tokens", "docs", "packed").repartitionByRange(parts, "shard").sortWithinPartitions("slot") \
+    # slots are dense, so equal ranges of shards need no sampling: as many as the session's partitions, more if they would be large
+    shards = max(1, -(-int(total) // per_shard))
+    parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * stride // TASK)))
+    placed.select("shard", "slot", "n_tokens", "docs", "packed").repartitionById(parts, F.expr(f"CAST(shard * {parts} DIV {shards} AS INT)")).sortWithinPartitions("slot") \
         .mapInPandas(join_records, "shard long, first_slot long, stride int, records array<struct<n_tokens:int,docs:array<long>>>, blob binary") \
         .write.option("compression", "zstd").parquet(f"{base}/shards")
     return f"{base}/shards"

@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from apexgrid.llm import fingerprints, jaccard_join, licenses, secrets, url_filter
+from apexgrid.llm import fingerprints, jaccard_join, licenses, secrets, token_shards, url_filter
 from apexgrid.llm.components import connected
 from apexgrid.llm.decontaminate import decontaminated, leaks, sketch_length
 from apexgrid.llm.line_dedup import line_report, without_repeated_lines
@@ -121,6 +121,45 @@ def test_jaccard_components(spark, corpus, monkeypatch, short_list, block):
     assert sorted(map(tuple, got.collect())) == brute_components(corpus)
 
 
+def test_jaccard_near_rows_lose_no_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (3, 40, 60, 64, 66, 90, 130, 300):
+        for _ in range(6):
+            a = np.unique(rng.integers(-2 ** 63, 2 ** 63 - 1, n))
+            sets += [a, a[rng.random(len(a)) > 0.1], np.union1d(a, rng.integers(-2 ** 63, 2 ** 63 - 1, n // 4))]
+    n, comp = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2
+    probe = rng.random(len(sets)) < 0.7
+    linked, fits = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+    for a in range(len(sets)):
+        for b in np.flatnonzero(probe & (comp != comp[a])):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            linked[[a, b]] |= 100 * both >= 75 * (n[a] + n[b] - both)
+            fits[[a, b]] |= both >= 0.6 * (n[a] + n[b] - both)
+    near = jaccard_join.near_rows(n, comp, [jaccard_join._parity(s) for s in sets], np.ones(len(sets), bool), probe, 75)
+    assert linked.any() and not (linked & ~near).any()
+    assert not (near & ~fits & (n > 30)).any()
+
+
+def test_jaccard_blocks_get_only_sets_that_may_link(spark, monkeypatch):
+    rng = random.Random(12)
+    common = " ".join(f"c{k}" for k in range(30))
+    texts = [common + " " + " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(40)) for _ in range(60)]
+    texts += [texts[3] + " end", texts[50] + " end"]
+    sent = []
+    block_links = jaccard_join._block_links
+
+    def seen(members, sets, percent):
+        sent.append({r["id"] for r in members.collect()})
+        return block_links(members, sets, percent)
+    monkeypatch.setattr(jaccard_join, "_block_links", seen)
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda docs, width: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    monkeypatch.setattr(jaccard_join, "_pivot_pairs", lambda lists, percent: spark.createDataFrame([], "a long, b long"))
+    got = jaccard_join.jaccard_components(frame(spark, texts)).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == brute_components(texts)
+    assert sent == [{3, 50, 60, 61}]
+
+
 def test_jaccard_light_sets_find_the_same(spark, monkeypatch):
     rng = random.Random(9)
     texts = []
@@ -388,6 +427,46 @@ def test_token_shards(spark, corpus):
     assert read_sequences(spark, empty).count() == 0
 
 
+def test_token_shards_are_shuffled_once(spark, corpus, tmp_path, monkeypatch):
+    docs, plans = frame(spark, corpus * 3).repartition(3), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(token_shards, "TASK", 1 << 12)
+    writer = type(docs.write)
+    parquet = writer.parquet
+
+    def seen(self, path, *a, **k):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return parquet(self, path, *a, **k)
+    monkeypatch.setattr(writer, "parquet", seen)
+    try:
+        folder = write_shards(docs, WORD_BPE, 2, 5, str(tmp_path / "s"), length=64, per_shard=4)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans[-1] and "rangepartitioning(shard" not in plans[-1]
+    rows = read_sequences(spark, folder, 4).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    # a file holds neighbouring shards, of a bounded number of bytes
+    held = [{r["shard"] for r in spark.read.parquet(f).select("shard").collect()} for f in spark.read.parquet(folder).inputFiles()]
+    assert all(len(h) == max(h) - min(h) + 1 <= (1 << 12) // (4 * 128) + 1 for h in held if h)
+    assert sum(map(len, held)) == len(set().union(*held))
+
+
+def test_words_met_often_stay_remembered():
+    mine, learned = WordTokenizer(WORD_BPE), Counter()
+    mine.remembered = 20_000
+    learn = mine._learn
+
+    def seen(words):
+        learned.update(words)
+        return learn(words)
+    mine._learn = seen
+    texts = [f"often q{k}a w{k}b e{k}c r{k}d " * 2 for k in range(400)]
+    assert [mine.encode([t])[0] for t in texts] == WordTokenizer(WORD_BPE).encode(texts)
+    assert learned["often"] == 1 and mine._held <= 20_000
+    mine.forget()
+    assert not mine._seen and not mine._past
+
+
 def test_glob_automaton():
     rng = random.Random(11)
     globs = ["", "*", "**", "a", "ab*", "**ab", "a?b", "*.org/**", "a*b/**c", "**/ads/**", "x" * 70 + "*", "*" + "y" * 130, "?*?"]
