@@ -34,6 +34,8 @@ TRAIN_ROWS, TELLING, BROADCAST_SITES = 8192, 1024, 50_000
 TOXIC_CUT, QUALITY_CUT = 0.3, 0.5
 #: Shrinkage of the weights of telling forms; shapes have 1.
 FORM_RIDGE = 0.1
+#: Rows of the sample that are numbers at once while a model is fitted: some 2 MB, not the 35 MB of each matrix of all rows.
+FIT_ROWS = 512
 TARGETS = ("quality", "toxic")
 BEGINNINGS = (4, 5, 6, 7, 8)
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -108,16 +110,23 @@ class Model:
         return float(self.bias + ((shaped - self.mean) / self.scale) @ self.shapes + sum(table[f] for f in forms if f in table))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 1.0, rounds: int = 40) -> tuple[float, np.ndarray]:
-    """Ridge logistic regression by Newton steps on the bounded sample; classes weigh as they occur."""
-    z = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(z.shape[1])
-    penalty = np.concatenate([[1e-6], np.broadcast_to(ridge, x.shape[1])])
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 1.0, rounds: int = 40, marks: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Ridge logistic regression by Newton steps on the bounded sample; classes weigh as they occur.
+
+    ``marks`` are further columns of truth values. The sums of a step are taken over blocks of rows, so the driver holds no matrix of all rows.
+    """
+    marks = np.zeros((len(x), 0), bool) if marks is None else marks
+    w = np.zeros(1 + x.shape[1] + marks.shape[1])
+    penalty = np.concatenate([[1e-6], np.broadcast_to(ridge, len(w) - 1)])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + penalty * w
-        v = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((z * v[:, None]).T @ z + np.diag(penalty), grad)
+        grad, curve = penalty * w, np.diag(penalty)
+        for lo in range(0, len(x), FIT_ROWS):
+            at = slice(lo, lo + FIT_ROWS)
+            z = np.hstack([np.ones((len(x[at]), 1)), x[at], marks[at]])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            grad += z.T @ (p - y[at])
+            curve += (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+        step = np.linalg.solve(curve, grad)
         size = np.abs(step).max()
         w -= step * min(1.0, 4.0 / max(size, 1e-12))
         if size < 1e-6:
@@ -168,17 +177,16 @@ def fit(sample: DataFrame) -> dict[str, Model | None]:
         return dict.fromkeys(TARGETS)
     shapes = np.vstack(got["shape"].to_list())
     mean, scale = shapes.mean(0), np.maximum(shapes.std(0), 0.05)
-    held = np.zeros((len(got), len(names)))
+    held = np.zeros((len(got), len(names)), bool)
     for i, f in enumerate(got["forms"]):
-        held[i, f] = 1
+        held[i, f] = True
     for target in TARGETS:
         y = got[target].to_numpy(float)
         if y.min() == y.max():
             models[target] = None
             continue
         own = [at[f] for f in told[target]]
-        bias, w = fit_logistic(np.hstack([(shapes - mean) / scale, held[:, own]]), y,
-                               np.repeat([1.0, FORM_RIDGE], [SHAPES, len(own)]))
+        bias, w = fit_logistic((shapes - mean) / scale, y, np.repeat([1.0, FORM_RIDGE], [SHAPES, len(own)]), marks=held[:, own])
         models[target] = Model(bias, w[:SHAPES], mean, scale, dict(zip(told[target], w[SHAPES:].tolist())))
     return models
 

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from apexgrid.llm import fingerprints, jaccard_join, licenses, secrets, token_shards, url_filter
+from apexgrid.llm import fingerprints, jaccard_join, licenses, quality, secrets, token_shards, url_filter
 from apexgrid.llm.components import connected
 from apexgrid.llm.decontaminate import decontaminated, leaks, sketch_length
 from apexgrid.llm.line_dedup import line_report, without_repeated_lines
@@ -534,6 +535,23 @@ def test_quality_held_out(spark):
     assert clean["keep"].mean() > 0.99 and toxic["keep"].mean() < 0.25
 
 
+def test_logistic_fit_holds_no_matrix_of_all_rows():
+    rng = np.random.default_rng(3)
+    x, marks = rng.normal(size=(4100, 5)), rng.random((4100, 300)) < 0.1
+    y = (x[:, 0] + marks[:, :9].sum(1) + rng.normal(size=len(x)) > 1).astype(float)
+    ridge = np.repeat([1.0, 0.1], [5, 300])
+    want = quality.fit_logistic(np.hstack([x, marks]), y, ridge)
+    tracemalloc.start()
+    got = quality.fit_logistic(x, y, ridge, marks=marks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(x) * 300 * 8  # bytes of one such matrix
+    assert np.isclose(got[0], want[0]) and np.allclose(got[1], want[1])
+    # a ridge fit is where the gradient vanishes
+    p = 1 / (1 + np.exp(-(got[0] + np.hstack([x, marks]) @ got[1])))
+    assert np.abs(np.hstack([x, marks]).T @ (p - y) + ridge * got[1]).max() < 1e-6
+
+
 def test_quality_odd_rows(spark):
     rng = random.Random(13)
     texts = [None, ""] + [sentence(rng, 30) + (" scum" if k % 4 == 0 else "") for k in range(500)]
