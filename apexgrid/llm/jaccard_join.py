@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import stage, unstage
+from ..session import small_batches, stage, unstage
 from .bitmap import bitmap, holds, slot
 from .components import connected
 from .shingles import WIDTH, mix, shingles_of, windows_of
@@ -369,7 +369,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = WIDTH) -
 
     ``component_id`` is the smallest doc_id reachable by links, ``class_id`` the smallest with an equal set.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # every pass over the texts is staged within, so the setting meets all of them
+    with small_batches(docs.sparkSession):
+        return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, width)
+
+
+def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
     rows = stage(_token_rows(docs, percent, width), "tokens")
     full = rows.filter("n > 0")
     first = full.groupBy("digest").agg(F.min("doc_id").alias("class_id"))

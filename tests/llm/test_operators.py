@@ -20,6 +20,7 @@ from apexgrid.llm.packing import WordTokenizer, pack
 from apexgrid.llm.quality import classify, site_shifts
 from apexgrid.llm.shingles import shingles, shingles_of, windows, word_hashes
 from apexgrid.llm.token_shards import permuted, read_sequences, write_shards
+from apexgrid.session import BATCH_ROWS
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, id long, place int"
@@ -173,6 +174,26 @@ def test_jaccard_light_sets_find_the_same(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == brute_components(texts)
 
 
+def test_jaccard_texts_travel_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, met, written = spark.conf.get(key), [], jaccard_join.stage
+
+    def seen(df, label):
+        met.append(int(spark.conf.get(key)))
+        return written(df, label)
+    monkeypatch.setattr(jaccard_join, "stage", seen)
+    docs = frame(spark, ["a b c d e f", "a b c d e f", "x y"])
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {0, 2}
+    assert set(met) == {BATCH_ROWS} and spark.conf.get(key) == own
+    met.clear()
+    spark.conf.set(key, "7")
+    try:
+        jaccard_join.jaccard_components(docs)
+    finally:
+        spark.conf.set(key, own)
+    assert set(met) == {7}
+
+
 def test_jaccard_repeated_ids_and_empty_table(spark):
     a, b = sentence(random.Random(1), 30), " ".join(f"v{k}" for k in range(30))
     ids, texts = [7, 7, 3, 9, None, 5], [a, b, a, b + " end", a, None]
