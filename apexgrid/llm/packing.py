@@ -21,8 +21,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Examples that wait in a task's pool; bytes of words that a worker remembers, of them beside each word, and the longest such word; new words encoded together.
-POOL, REMEMBERED, ENTRY, WORD, TOGETHER = 2048, 50_000_000, 160, 48, 256
+#: Examples that wait in a task's pool; bytes of words that a worker remembers, of them beside each word, and the longest such word; new words encoded together;
+#: characters of the texts that are encoded together, or one text.
+POOL, REMEMBERED, ENTRY, WORD, TOGETHER, CHARS = 2048, 100_000_000, 160, 48, 256, 1 << 21
 #: Punctuation that is taken off the end of a word of letters.
 _TAIL = ".,;:!?*&%$#|()[]{}<>+=/-_\"~^"
 
@@ -41,8 +42,8 @@ class WordTokenizer:
     words nor letters with punctuation and marks the end of a word in its vocabulary.
 
     A batch of texts is a column of words: it is dictionary-encoded, so each distinct word is looked up once a batch and the ids are gathered by
-    array operations. Words not seen before are encoded apart from punctuation at their end; those of letters many at a time, and parted
-    again at the word ends.
+    array operations. What is looked up and remembered are words of letters apart from the punctuation at their end, which many words share.
+    Those not seen before are encoded, words of letters many at a time and parted again at the word ends.
     """
 
     def __init__(self, path: str):
@@ -75,20 +76,21 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words not seen before."""
-        seen, parts = self._seen, {}
-        for w in words:
-            stem = w.rstrip(_TAIL)
-            if stem != w and stem.lower().isalpha():
-                parts[w] = (stem, w[len(stem):])
-        own = self._encoded(list({*(w for w in words if w not in parts), *(x for p in parts.values() for x in p if x not in seen)}))
-        for w, p in parts.items():
-            own[w] = b"".join([own[x] if x in own else seen[x] for x in p])
-        return own
+        return self._encoded(words)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         column = pc.ascii_split_whitespace(pa.array(map(_lowered, texts), pa.large_string()))
         words = column.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts, heads, tails = {"": 0}, [], []
+        for w in words.dictionary.to_numpy(zero_copy_only=False).tolist():
+            stem = w.rstrip(_TAIL)
+            if len(stem) == len(w) or not stem.lower().isalpha():
+                heads.append(parts.setdefault(w, len(parts)))
+                tails.append(0)
+            else:
+                heads.append(parts.setdefault(stem, len(parts)))
+                tails.append(parts.setdefault(w[len(stem):], len(parts)))
+        distinct = list(parts)[1:]
         if self._held > self.remembered // 2:  # two halves: words met since the last turn stay, others go with the next
             self._past, self._seen, self._held = self._seen, {}, 0
         own, past = {}, self._past
@@ -99,9 +101,10 @@ class WordTokenizer:
             if len(w) <= WORD:
                 self._seen[w] = ids
                 self._held += ENTRY + len(w) + len(ids)
-        ids = [own[w] if w in own else self._seen[w] for w in distinct]
+        ids = [b"", *(own[w] if w in own else self._seen[w] for w in distinct)]
         size = np.array([len(x) // 4 for x in ids], np.int64)
-        table, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        size = size[heads] + size[tails] if heads else size[:0]
+        table, first = np.frombuffer(b"".join([ids[k] for pair in zip(heads, tails) for k in pair]), "<u4"), np.cumsum(size) - size
         at = words.indices.to_numpy(zero_copy_only=False)
         lengths = size[at] if len(at) else size[:0]
         ends = np.cumsum(lengths)
@@ -231,8 +234,8 @@ def pack(docs: DataFrame, path: str, end_id: int, tokens: int = 4096, segments:
         encoder = tokenizer(path)
         try:
             for batch in batches:
-                for lo in range(0, len(batch), 256):
-                    part = batch.iloc[lo:lo + 256]
+                chars = np.cumsum([sum(len(t or "") for t in texts) for texts in zip(*[batch[c] for c in batch.columns[1:]])])
+                for _, part in batch.groupby(chars // CHARS, sort=False):
                     bodies = encoder.encode([t or "" for t in part["_text"]])
                     heads = encoder.encode([t or "" for t in part["_prompt"]]) if prompt else [b""] * len(part)
                     for k, head, body in zip(part["_key"], heads, bodies):

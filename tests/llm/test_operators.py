@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from apexgrid.llm import fingerprints, jaccard_join, licenses, quality, secrets, token_shards, url_filter
+from apexgrid.llm import fingerprints, jaccard_join, licenses, packing, quality, secrets, token_shards, url_filter
 from apexgrid.llm.components import connected
 from apexgrid.llm.decontaminate import decontaminated, leaks, sketch_length
 from apexgrid.llm.line_dedup import line_report, without_repeated_lines
@@ -489,6 +489,29 @@ def test_words_met_often_stay_remembered():
     assert not mine._seen and not mine._past
 
 
+def test_words_are_remembered_without_punctuation_at_their_end():
+    mine, learned = WordTokenizer(WORD_BPE), Counter()
+    learn = mine._learn
+
+    def seen(words):
+        learned.update(words)
+        return learn(words)
+    mine._learn = seen
+    texts = ["édon x9, x9! a'b. ", "édon, lyea... (x9", "édon&&& lyea! édon,édon, a'b.", ".,; ! édon."]
+    assert [mine.encode([t])[0] for t in texts] == [WordTokenizer(WORD_BPE).encode([t])[0] for t in texts] == WordTokenizer(WORD_BPE).encode(texts)
+    assert learned["édon"] == learned["lyea"] == learned["x9,"] == 1 and not {"édon,", "lyea!", "lyea..."} & set(mine._seen)
+
+
+def test_packing_encodes_texts_in_parts(spark, corpus, monkeypatch):
+    """The pieces do not depend on how many texts are encoded together."""
+    docs = frame(spark, corpus + [None, None]).coalesce(1)
+    want = pack(docs, WORD_BPE, 2, 64).collect()
+    monkeypatch.setattr(packing, "CHARS", 200)
+    assert pack(docs, WORD_BPE, 2, 64).collect() == want and len(want) > len(corpus)
+    nulls = pack(frame(spark, [None, None, ""]).coalesce(1), WORD_BPE, 2, 64).collect()
+    assert [(r["doc_id"], r["doc_tokens"]) for r in sorted(nulls, key=lambda r: r["doc_id"])] == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_glob_automaton():
     rng = random.Random(11)
     globs = ["", "*", "**", "a", "ab*", "**ab", "a?b", "*.org/**", "a*b/**c", "**/ads/**", "x" * 70 + "*", "*" + "y" * 130, "?*?"]
