@@ -174,8 +174,9 @@ def _boundary(heads: DataFrame, percent: int) -> int:
 def _lists(rows: DataFrame, percent: int) -> DataFrame:
     """(h, id, n, w, pivot, pn): inverted lists that more than one document stands in, each with its pivot.
 
-    ``w`` is 2 for subset keys, which prove enough by themselves, and 1 for tokens, of which partners share two. A set
-    of one shingle has no partner but its copies.
+    Lists of the same members, which near copies have by the hundred, are one list: ``w`` is the sum of their weights, 2
+    for a subset key, which proves enough by itself, and 1 for a token, of which partners share two. Lists merged by
+    a hash in common only bring up more pairs to verify. A set of one shingle has no partner but its copies.
     """
     bound = _boundary(rows, percent)
     keys = F.udf(lambda t: subset_keys(np.array(t, np.int64), percent), "array<long>")
@@ -185,13 +186,17 @@ def _lists(rows: DataFrame, percent: int) -> DataFrame:
     def listed(df: DataFrame, tokens, w: int) -> DataFrame:
         return df.select(F.explode(tokens).alias("h"), F.col("doc_id").alias("id"), "n", F.lit(w).alias("w"))
 
-    pivot = F.min(F.struct(F.xxhash64("id").alias("k"), "id", "n"))
+    # rows are dealt before the hashes of their ids are added, which would more than double what is shuffled
+    # what tells lists apart: ends, length, an order-free hash of the members; and the pivot
+    told = {"lo": F.min("id"), "hi": F.max("id"), "len": F.count("*"), "all": F.bit_xor(F.xxhash64("id", "n")),
+            "p": F.min(F.struct(F.xxhash64("id").alias("k"), "id", "n"))}
     by = Window.partitionBy("h")
     rare = listed(in_lists, "prefix", 1).union(listed(rows.filter((F.size("small") > 0) & (F.col("n") < bound)), keys("small"), 2)) \
-        .withColumns({"lo": F.min("id").over(by), "hi": F.max("id").over(by), "p": pivot.over(by)}).filter("lo <> hi").drop("lo", "hi")
+        .repartition("h").withColumns({k: v.over(by) for k, v in told.items()})
     common = listed(in_lists, "common", 1)
-    common = common.join(common.groupBy("h").agg(pivot.alias("p")), "h")
-    return stage(rare.unionByName(common).select("h", "id", "n", "w", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "lists")
+    common = common.join(common.groupBy("h").agg(*[v.alias(k) for k, v in told.items()]), "h")
+    met = rare.unionByName(common).filter("lo <> hi").select(F.xxhash64("lo", "hi", "len", "all").alias("h"), "id", "n", "w", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
+    return stage(met.groupBy("h", "id", "n", "pivot", "pn").agg(F.sum("w").alias("w")), "lists")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -213,6 +218,18 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return stage(texts.select("id", "text", slot(value, FETCH_BITS).alias("p")).mapInPandas(build, "id long, n long, tokens array<long>"), "sets")
 
 
+def _asked(sketches: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of at least the documents of ``ids(id)``, looked up like those of ``_sets``: no other sketch is shuffled."""
+    value = F.xxhash64("id")
+    held = sketches.sparkSession.sparkContext.broadcast(bitmap(ids, value, FETCH_BITS))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[holds(held.value, batch["p"].to_numpy())].drop(columns="p")
+
+    return stage(sketches.select("id", "n", "sketch", slot(value, FETCH_BITS).alias("p")).mapInPandas(keep, sketches.schema), "asked")
+
+
 def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)``, of fitting sizes, whose sketches do not rule out a link.
 
@@ -388,16 +405,22 @@ def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
     same = placed.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a <> z").select("doc_id", "a")
     links = placed.join(same, "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b") \
         .union(placed.filter("own AND doc_id <> class_id").select("doc_id", "class_id")).distinct()
-    tested = stage(_promising(_pivot_pairs(lists, percent), sketches, percent), "pairs")
+    pivots = stage(_pivot_pairs(lists, percent), "pivots")
+    asked = _asked(sketches, _ends(pivots))
+    tested = stage(_promising(pivots, asked, percent), "pairs")
+    unstage(pivots, asked)
     sets = _sets(docs, _ends(tested), width)
     links = stage(links.union(_verified(tested, sets, percent)), "links")
     unstage(sets)
 
     open_ = stage(_open_lists(_labelled(lists, links)), "open")
     unstage(lists)
-    pairs = stage(_promising(_short_pairs(open_, percent), sketches, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    members = stage(_near_members(stage(_long_members(open_), "members"), sketches, percent), "near")
-    unstage(open_, rows)
+    short, long = stage(_short_pairs(open_, percent), "short"), stage(_long_members(open_), "members")
+    unstage(open_)
+    asked = _asked(sketches, _ends(short).union(long.select("id")))
+    pairs = stage(_promising(short, asked, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    members = stage(_near_members(long, asked, percent), "near")
+    unstage(short, long, asked, rows)
     sets = _sets(docs, _ends(pairs).union(members.select("id")), width)
     links = links.union(_verified(pairs, sets, percent)).union(_block_links(members, sets, percent))
 

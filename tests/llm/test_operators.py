@@ -194,6 +194,46 @@ def test_jaccard_texts_travel_in_small_batches(spark, monkeypatch):
     assert set(met) == {7}
 
 
+@pytest.mark.parametrize("counted", [False, True])
+def test_jaccard_lists_of_the_same_members_are_one(spark, monkeypatch, counted):
+    if not counted:
+        monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda docs, width: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    monkeypatch.setattr(jaccard_join, "_boundary", lambda rows, percent: 9)
+    rng = random.Random(21)
+    texts = []
+    for n in (8, 10, 12, 60, 200):
+        t = " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(n))
+        texts += [t, t + " end", "start " + t, near_copy(rng, t), t[:len(t) // 2] + " " + " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(n))]
+    # 25 has two texts of the same length
+    ids = [*range(len(texts)), 25, 25]
+    texts += [texts[15] + " other", texts[15] + " another"]
+    rows = jaccard_join.stage(jaccard_join._token_rows(frame(spark, texts, ids), 75, 5), "tokens")
+    lists, want, got = defaultdict(list), Counter(), defaultdict(list)
+    for r in rows.filter("n > 1").collect():
+        tokens = r["prefix"] + r["common"] if 100 * r["n"] >= 75 * 9 else []
+        for h in tokens:
+            lists[h].append((r["doc_id"], r["n"], 1))
+        for h in jaccard_join.subset_keys(np.array(r["small"], np.int64), 75) if r["small"] and r["n"] < 9 else []:
+            lists[h].append((r["doc_id"], r["n"], 2))
+    for members in lists.values():
+        if len({m[0] for m in members}) > 1:
+            for member in {m[:2] for m in members}:
+                want[(frozenset(m[:2] for m in members), len(members), member)] += sum(m[2] for m in members if m[:2] == member)
+    for r in jaccard_join._lists(rows, 75).collect():
+        got[r["h"]].append(((r["id"], r["n"]), r["w"], (r["pivot"], r["pn"])))
+    merged = [(frozenset(m for m, _, _ in members), m, w) for members in got.values() for m, w, _ in members]
+    assert len({(k, m) for k, _, m in want}) < len(merged) + 1 < sum(want.values()) / 2
+    assert sorted((sorted(k), m, w) for k, m, w in merged) == sorted((sorted(k), m, w) for (k, _, m), w in want.items())
+    assert all(len({p for _, _, p in members}) == 1 and members[0][2] in {m for m, _, _ in members} for members in got.values())
+
+
+def test_jaccard_sketches_that_no_pair_asks_for_are_not_shuffled(spark):
+    sketches = spark.createDataFrame([(k, 3, [k, -k]) for k in range(2000)], "id long, n long, sketch array<long>")
+    asked = spark.createDataFrame([(5,), (1999,), (5,), (-1,)], "id long")
+    assert sorted(map(tuple, jaccard_join._asked(sketches, asked).collect())) == [(5, 3, [5, -5]), (1999, 3, [1999, -1999])]
+    assert jaccard_join._asked(sketches, asked.filter("id = 0")).count() == 0
+
+
 def test_jaccard_repeated_ids_and_empty_table(spark):
     a, b = sentence(random.Random(1), 30), " ".join(f"v{k}" for k in range(30))
     ids, texts = [7, 7, 3, 9, None, 5], [a, b, a, b + " end", a, None]
