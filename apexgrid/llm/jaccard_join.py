@@ -413,14 +413,14 @@ def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
     links = stage(links.union(_verified(tested, sets, percent)), "links")
     unstage(sets)
 
-    open_ = stage(_open_lists(_labelled(lists, links)), "open")
+    open_ = stage(_open_lists(_labelled(lists.drop("pn"), links)), "open")
     unstage(lists)
     short, long = stage(_short_pairs(open_, percent), "short"), stage(_long_members(open_), "members")
     unstage(open_)
-    asked = _asked(sketches, _ends(short).union(long.select("id")))
+    asked, scanned = _asked(sketches, _ends(short)), _asked(sketches, long.select("id"))
     pairs = stage(_promising(short, asked, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    members = stage(_near_members(long, asked, percent), "near")
-    unstage(short, long, asked, rows)
+    members = stage(_near_members(long, scanned, percent), "near")
+    unstage(short, long, asked, scanned, rows)
     sets = _sets(docs, _ends(pairs).union(members.select("id")), width)
     links = links.union(_verified(pairs, sets, percent)).union(_block_links(members, sets, percent))
 
