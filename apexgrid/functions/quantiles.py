@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
+
 #: Ranks that bracket the median, and the accuracy of their estimate: the bracket is ten times as wide as its error.
 BRACKET, ACCURACY = (0.499, 0.501), 10_000
 
@@ -55,6 +57,7 @@ def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str,
     cut = digits.withColumns({"_upto": F.sum("_w").over(upto), "_all": F.sum("_w").over(whole)}).withColumn("_q", shared).select("*", "_q.*") \
         .where(F.col("_upto") >= need) \
         .groupBy(*keys, "_i").agg(F.min(F.struct("_d", (F.col("_upto") - F.col("_w")).alias("_under"), "_share", "_all")).alias("_b")).select(*keys, "_i", "_b.*")
+    cut = stage(cut, "digits")  # few rows: written, so that the join knows
     inside = df.join(cut, [*keys, "_d"]).groupBy(*keys, "_i", "_under", "_share", "_all", "_v").agg(F.sum("_w").alias("_w"))
     run = F.col("_under") + F.sum("_w").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     last = F.max("_v").over(Window.partitionBy(*keys, "_i"))

@@ -11,6 +11,7 @@ A split ``k`` is trained on the events before ``k``; all splits of a walk-forwar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import weighted_quantiles
 from ..functions.ranking import average_rank
-from ..session import stage
+from ..session import small_batches, stage
 
 #: Shrinkage in units of a split's own curvature, most steps, and the step (in the same units) that ends them.
 RIDGE, STEPS, SMALL = 1e-3, 40, 1e-6
@@ -29,10 +30,9 @@ _SUMS = "split bigint, salt int, sums array<double>"
 
 
 def event_arrays(table: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per event: its index, the cars' features and points. Rows without points are left out, missing features are 0."""
-    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
-    return table.where(F.col("y_points").isNotNull()).groupBy("event_index", "event_id") \
-        .agg(F.collect_list(F.struct(x.alias("x"), F.col("y_points").cast("double").alias("y"))).alias("cars"))
+    """One row per event: its index, and the cars' features and points in one flat array. Rows without points are left out, missing features are 0."""
+    car = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols], F.col("y_points").cast("double"))
+    return table.where(F.col("y_points").isNotNull()).groupBy("event_index", "event_id").agg(F.flatten(F.collect_list(car)).alias("cars"))
 
 
 def event_weight(index: np.ndarray, latest: float, half_life: float | None) -> np.ndarray:
@@ -41,54 +41,84 @@ def event_weight(index: np.ndarray, latest: float, half_life: float | None) -> n
 
 def padded(cars: pd.Series, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features (events, cars, p), points and presence of a batch of events."""
-    n = [len(c) for c in cars]
-    x, y, on = np.zeros((len(n), max(n), p)), np.zeros((len(n), max(n))), np.zeros((len(n), max(n)), bool)
-    for e, rows in enumerate(cars):
-        x[e, :n[e]] = [r["x"] for r in rows]
-        y[e, :n[e]] = [r["y"] for r in rows]
-        on[e, :n[e]] = True
-    return x, y, on
+    n = np.array([len(c) for c in cars]) // (p + 1)
+    on = np.arange(n.max()) < n[:, None]
+    rows = np.zeros((*on.shape, p + 1))
+    rows[on] = np.concatenate(cars.to_numpy()).reshape(-1, p + 1)
+    return np.ascontiguousarray(rows[:, :, :p]), rows[:, :, p], on
+
+
+@lru_cache(8)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of ``n`` cars: the first, the second, +1 and -1 for them by pair and car, and the pair of every two cars (one past the last on the diagonal)."""
+    i, j = np.triu_indices(n, 1)
+    sides = np.zeros((len(i), n))
+    sides[np.arange(len(i)), i], sides[np.arange(len(i)), j] = 1, -1
+    at = np.full((n, n), len(i))
+    at[i, j] = at[j, i] = np.arange(len(i))
+    return i, j, sides, at
+
+
+def contrasts(x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features less those of the event's first car, and by (event, pair) 1 if the first car has more points, -1 if the second has, 0 for equal ones and absent cars.
+
+    Only differences count in pairs: what all cars of an event share is exactly zero here, so no rounding of it gets a weight.
+    """
+    i, j, _, _ = _pairs(y.shape[1])
+    return x - x[:, :1], ((y[:, i] > y[:, j]).astype(float) - (y[:, i] < y[:, j])) * (on[:, i] & on[:, j])
 
 
 def pair_terms(x: np.ndarray, y: np.ndarray, on: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
     """(cross products, gradient, loss) of a batch of events as one vector."""
-    s = x @ beta
-    d = s[:, :, None] - s[:, None, :]
-    beats = (y[:, :, None] > y[:, None, :]) & on[:, :, None] & on[:, None, :]
-    wins = np.where(beats, w[:, None, None], 0.0)
-    loss = float((wins * np.logaddexp(0.0, -d)).sum())
-    miss = wins * np.where(d > 0, np.exp(-np.abs(d)), 1.0) / (1 + np.exp(-np.abs(d)))  # weight times the odds of the lower car
-    grad = -np.einsum("en,enp->p", miss.sum(2) - miss.sum(1), x)
-    curve = miss * (1 - np.divide(miss, w[:, None, None], where=w[:, None, None] > 0, out=np.zeros_like(miss)))
-    both = curve + curve.transpose(0, 2, 1)
-    cross = np.einsum("enp,en,enq->pq", x, both.sum(2), x, optimize=True) - np.einsum("enp,enm,emq->pq", x, both, x, optimize=True)
+    return contrast_terms(*contrasts(x, y, on), w, beta)
+
+
+def contrast_terms(x: np.ndarray, won: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """The same from the batch's ``contrasts``."""
+    n, p = x.shape[1:]
+    i, j, sides, at = _pairs(n)
+    flat = x.reshape(-1, p)
+    s = (flat @ beta).reshape(-1, n)
+    d = (s[:, i] - s[:, j]) * won
+    small = np.exp(-np.abs(d))
+    odds = 1 / (1 + small)  # of the car that is ahead by score
+    wins = w[:, None] * np.abs(won)
+    loss = float((wins * (np.log1p(small) - np.minimum(d, 0.0))).sum())
+    miss = wins * np.where(d > 0, small * odds, odds)  # weight times the odds of the lower car
+    grad = -(((miss * won) @ sides).ravel() @ flat)
+    curve = np.zeros((len(won), len(i) + 1))
+    np.multiply(wins * small, odds * odds, out=curve[:, :-1])
+    both = -curve[:, at]
+    both[:, np.arange(n), np.arange(n)] = -both.sum(2)
+    cross = flat.T @ (both @ x).reshape(-1, p)
     return np.concatenate([cross.ravel(), grad, [loss]])
 
 
-def _reduced(events: DataFrame, splits: list[int], p: int, terms) -> DataFrame:
-    """(split, salt, sums): ``terms(split, index, x, y, on)`` over the events before each split, in at most ``SALT`` rows a split."""
+def _reduced(events: DataFrame, p: int, terms) -> DataFrame:
+    """(split, salt, sums): sums of the (split, vector) that ``terms(index, x, y, on)`` gives for batches of events in rising order, in at most ``SALT`` rows a split."""
     def reduce_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, np.ndarray] = {}
         part = 0
         for batch in batches:
             part = int(batch["_part"].iloc[0]) if len(batch) else part
+            batch = batch.sort_values("event_index", kind="stable")
             for lo in range(0, len(batch), 64):
                 some = batch.iloc[lo:lo + 64]
-                x, y, on = padded(some["cars"], p)
-                index = some["event_index"].to_numpy(float)
-                for k in splits:
-                    fit = index < k
-                    if fit.any():
-                        v = terms(k, index[fit], x[fit], y[fit], on[fit])
-                        acc[k] = acc[k] + v if k in acc else v
+                for k, v in terms(some["event_index"].to_numpy(float), *padded(some["cars"], p)):
+                    acc[k] = acc[k] + v if k in acc else v
         if acc:
             yield pd.DataFrame({"split": list(acc), "salt": [part % SALT] * len(acc), "sums": list(acc.values())})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"split": [pdf["split"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "sums": [np.stack(pdf["sums"].to_numpy()).sum(axis=0)]})
+    return events.select("event_index", "cars", F.spark_partition_id().alias("_part")).mapInPandas(reduce_part, _SUMS).groupBy("split", "salt").applyInPandas(_added, _SUMS)
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"split": [pdf["split"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "sums": [np.stack(pdf["sums"].to_numpy()).sum(axis=0)]})
 
-    numbered = events.where(F.col("event_index") < max(splits)).select("event_index", "cars", F.spark_partition_id().alias("_part"))
-    return numbered.mapInPandas(reduce_part, _SUMS).groupBy("split", "salt").applyInPandas(add, _SUMS)
+
+def _before(splits: list[int], index: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(split, how many events of a batch in rising order are before it), where there are any."""
+    return ((k, n) for k, n in zip(splits, np.searchsorted(index, splits).tolist()) if n)
 
 
 def newton(sums: np.ndarray, p: int, beta: np.ndarray, before: np.ndarray, lost: float, scale: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, bool]:
@@ -113,18 +143,21 @@ def fit_weights(events: DataFrame, splits: list[int], p: int, latest: dict[int,
     state = {k: (np.zeros(p), np.zeros(p), np.inf, np.zeros(0)) for k in splits}
     done: dict[int, np.ndarray] = {}
     schema = "split bigint, beta array<double>, before array<double>, lost double, scale array<double>, done boolean"
+    events = events.where(F.col("event_index") < max(splits))
     for _ in range(STEPS):
         now = dict(state)
 
-        def terms(k, index, x, y, on):
-            return pair_terms(x, y, on, event_weight(index, latest[k], half_life), now[k][0])
+        def terms(index, x, y, on):
+            x, won = contrasts(x, y, on)
+            for k, n in _before(list(now), index):
+                yield k, contrast_terms(x[:n], won[:n], event_weight(index[:n], latest[k], half_life), now[k][0])
 
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
             k = int(pdf["split"].iloc[0])
             beta, before, lost, scale, end = newton(np.stack(pdf["sums"].to_numpy()).sum(axis=0), p, *now[k], ridge)
             return pd.DataFrame({"split": [k], "beta": [beta], "before": [before], "lost": [lost], "scale": [scale], "done": [end]})
 
-        rows = _reduced(events, list(now), p, terms).groupBy("split").applyInPandas(solve, schema).collect()  # one row per split
+        rows = _reduced(events, p, terms).groupBy("split").applyInPandas(solve, schema).collect()  # one row per split
         state = {k: v for k, v in state.items() if k not in done}
         for r in rows:
             state[r["split"]] = tuple(np.asarray(r[c]) if c != "lost" else r[c] for c in ("beta", "before", "lost", "scale"))
@@ -141,13 +174,15 @@ MODEL = "split bigint, weights array<double>, slope double, intercept double, sp
 
 def calibrated(events: DataFrame, weights: dict[int, np.ndarray], p: int) -> list[tuple]:
     """(split, weights, slope, intercept, spread): the line from scores to points, identity where scores do not differ, and the features' deviations."""
-    def terms(k, index, x, y, on):
-        s = (x @ weights[k])[on]
-        v, z = y[on], x[on]
-        return np.concatenate([[len(s), s.sum(), v.sum(), (s * s).sum(), (s * v).sum()], z.sum(0), (z * z).sum(0)])
+    def terms(index, x, y, on):
+        v, z, ends = y[on], x[on], np.cumsum(on.sum(1))
+        for k, n in _before(list(weights), index):
+            cars = ends[n - 1]
+            s, own, few = z[:cars] @ weights[k], v[:cars], z[:cars]
+            yield k, np.concatenate([[cars, s.sum(), own.sum(), (s * s).sum(), (s * own).sum()], few.sum(0), np.einsum("np,np->p", few, few)])
 
     sums: dict[int, np.ndarray] = {}
-    for r in _reduced(events, list(weights), p, terms).collect():  # at most SALT short vectors per split
+    for r in _reduced(events.where(F.col("event_index") < max(weights)), p, terms).collect():  # at most SALT short vectors per split
         sums[r["split"]] = sums.get(r["split"], 0.0) + np.asarray(r["sums"])
     out = []
     for k, w in weights.items():
@@ -175,18 +210,39 @@ def bucket(value: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c < value))
 
 
-def bounds(table: DataFrame, models: DataFrame, splits: list[int], cols: list[str], latest: dict[int, float], half_life: float | None) -> DataFrame:
-    """(split, cuts, quantiles): deciles of a split's training predictions and, by bucket between them, exact weighted residual quantiles."""
-    since = F.create_map(*[F.lit(x) for k, v in latest.items() for x in (int(k), float(v))])
-    w = F.lit(1.0) if half_life is None else F.pow(F.lit(0.5), (F.element_at(since, F.col("split")) - F.col("event_index")) / half_life)
-    later = F.filter(F.array(*[F.lit(int(k)).cast("bigint") for k in splits]), lambda k: k > F.col("event_index"))
-    rows = table.where(F.col("y_points").isNotNull()).withColumn("split", F.explode(later)).join(models, "split")
-    rows = rows.select("split", (score(cols) * F.col("slope") + F.col("intercept")).alias("p"), F.col("y_points").cast("double").alias("y"), w.alias("w"))
-    rows = stage(rows.select("split", "p", (F.col("y") - F.col("p")).alias("r"), "w"), "residuals")
-    cuts = weighted_quantiles(rows, ["split"], "p", "w", tuple(i / BUCKETS for i in range(1, BUCKETS)), "cuts")
-    cuts = stage(cuts, "cuts")
+def residuals(events: DataFrame, models: list[tuple], p: int, latest: dict[int, float], half_life: float | None) -> DataFrame:
+    """(split, p, r, w): of every split and training row its prediction, what it missed and its weight; scores are summed column by column, as ``score`` does."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.sort_values("event_index", kind="stable")
+            index = batch["event_index"].to_numpy(float)
+            for lo in range(0, len(batch), 256):
+                some, own = batch["cars"].iloc[lo:lo + 256], index[lo:lo + 256]
+                x, y, on = padded(some, p)
+                z, y, ends, out = np.ascontiguousarray(x[on].T), y[on], np.cumsum(on.sum(1)), []
+                for k, weights, slope, intercept, _ in models:
+                    n = int(np.searchsorted(own, k))
+                    if n:
+                        cars = ends[n - 1]
+                        s = np.zeros(cars)
+                        for c, v in zip(z, weights):
+                            s += c[:cars] * v
+                        at = s * slope + intercept
+                        w = np.repeat(event_weight(own[:n], latest[k], half_life), on[:n].sum(1))
+                        out.append((np.full(cars, k), at, y[:cars] - at, w))
+                if out:
+                    yield pd.DataFrame(dict(zip(("split", "p", "r", "w"), map(np.concatenate, zip(*out)))))
+
+    last = max((m[0] for m in models), default=0)
+    return events.where(F.col("event_index") < last).select("event_index", "cars").mapInPandas(rows, "split bigint, p double, r double, w double")
+
+
+def bounds(rows: DataFrame) -> DataFrame:
+    """(split, cuts, quantiles) from ``residuals``: deciles of a split's training predictions and, by bucket between them, exact weighted residual quantiles."""
+    rows = stage(rows, "residuals")
+    cuts = stage(weighted_quantiles(rows, ["split"], "p", "w", tuple(i / BUCKETS for i in range(1, BUCKETS)), "cuts"), "cuts")
     per = weighted_quantiles(rows.join(cuts, "split").withColumn("b", bucket(F.col("p"), F.col("cuts"))), ["split", "b"], "r", "w", SHARES, "q")
-    return stage(per.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("b", "q"))).alias("quantiles")).join(cuts, "split"), "bounds")
+    return per.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("b", "q"))).alias("quantiles")).join(cuts, "split")
 
 
 def fit_splits(table: DataFrame, cols: list[str], splits: list[int], half_life: float | None, ridge: float = RIDGE) -> DataFrame:
@@ -196,9 +252,11 @@ def fit_splits(table: DataFrame, cols: list[str], splits: list[int], half_life:
     # the newest training event of a split has weight one
     seen = [r[0] for r in events.select("event_index").distinct().orderBy("event_index").collect()]  # the calendar
     latest = {k: float(max((i for i in seen if i < k), default=k - 1)) for k in splits}
-    rows = calibrated(events, fit_weights(events, splits, p, latest, half_life, ridge), p)
-    models = stage(spark.createDataFrame(rows, MODEL), "models")
-    return models.join(bounds(table, models, splits, cols, latest, half_life), "split", "left")
+    with small_batches(spark):
+        rows = calibrated(events, fit_weights(events, splits, p, latest, half_life, ridge), p)
+        near = bounds(residuals(events, rows, p, latest, half_life))
+    # written, so that the join with the field knows how small they are
+    return stage(spark.createDataFrame(rows, MODEL).join(near, "split", "left"), "models")
 
 
 def ranked(field: DataFrame, cols: list[str]) -> DataFrame:
@@ -207,5 +265,6 @@ def ranked(field: DataFrame, cols: list[str]) -> DataFrame:
     q = F.try_element_at("quantiles", bucket(F.col("predicted_points"), F.col("cuts")))
     pts = F.col("predicted_points")
     lo, hi = pts + F.coalesce(q[0], F.lit(0.0)), pts + F.coalesce(q[1], F.lit(0.0))
-    return out.withColumns({"predicted_position": average_rank(["event_id"], "score", ascending=False), "lower": F.least(lo, hi), "upper": F.greatest(lo, hi)}) \
-        .drop("weights", "slope", "intercept", "spread", "quantiles", "cuts")
+    # the model's columns go before the ranks, whose shuffle need not carry them
+    out = out.withColumns({"lower": F.least(lo, hi), "upper": F.greatest(lo, hi)}).drop("weights", "slope", "intercept", "spread", "quantiles", "cuts")
+    return out.withColumn("predicted_position", average_rank(["event_id"], "score", ascending=False))

@@ -69,6 +69,29 @@ def test_weights_end_where_the_gradient_does(spark, version):
     assert m.importances()[0][0] == "a"
 
 
+def test_what_a_grid_shares_gets_no_weight_and_the_steps_end(spark, monkeypatch):
+    """A column with one value per event differs in no pair. Its rounding must not be taken for curvature: weights would then be noise, and no step the last."""
+    shared = {f"shared{k}": F.sin(F.col("event_id") * k) * 1000 + 2000 for k in range(1, 9)}
+    df = season(spark, 10).withColumns(shared).persist()
+    passes, reduced = [], PW._reduced
+    monkeypatch.setattr(PW, "_reduced", lambda *a: passes.append(1) or reduced(*a))
+    m = M.Ranker([*COLS, *shared], 5.0).fit(df)
+    assert m.weights[2:] == [0.0] * 9 and len(passes) < 12
+    assert m.weights[:2] == pytest.approx(M.Ranker(COLS, 5.0).fit(df).weights[:2], rel=1e-9)
+
+
+@pytest.mark.parametrize("half_life", [None, 3.0])
+def test_residuals_are_those_of_the_score_column(spark, half_life):
+    df = season(spark, 6, split_points=True).withColumn("y_points", F.when(F.col("driver_id") != 5, F.col("y_points"))).persist()
+    models = [(k, [0.3 / k, -1.7, 0.1], 2.5, 0.3 * k, [0.0] * 3) for k in (2, 4, 9)]
+    latest = {2: 1.0, 4: 3.0, 9: 5.0}
+    got = PW.residuals(PW.event_arrays(df, COLS), models, 3, latest, half_life).collect()
+    weights = spark.createDataFrame([m[:4] for m in models], "split long, weights array<double>, slope double, intercept double")
+    rows = df.where("y_points IS NOT NULL").join(weights, F.col("event_index") < F.col("split")).withColumn("p", PW.score(COLS) * F.col("slope") + F.col("intercept")).collect()
+    want = [(r["split"], r["p"], r["y_points"] - r["p"], 1.0 if half_life is None else 0.5 ** ((latest[r["split"]] - r["event_index"]) / half_life)) for r in rows]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_no_worse_than_least_squares_on_held_out_weekends(spark):
     """Rank correlation on later weekends, against the linear model of centred points."""
     total = [0.0, 0.0]
