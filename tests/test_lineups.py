@@ -56,6 +56,35 @@ def test_exact_with_transfers_equals_brute_force(seed):
     assert f[0][c].sum() + f[0][c].max() + f[2][q].sum() - 10 * news - 10 * max(0, news - 2) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_looking_at_all_sets_gives_the_line_up_of_the_knapsack(seed):
+    """The same picks in the same order, with many equal line-ups, few cars and nothing that fits, too."""
+    r = np.random.default_rng(seed)
+    for n, m, budget in ((20, 10, 1000), (14, 9, 700), (6, 3, 600), (5, 2, 2000), (4, 2, 1000), (9, 1, 1000), (20, 10, 200)):
+        dp, tp = r.integers(-3, 6, n).astype(float), r.integers(-3, 6, m).astype(float)
+        dx, tx = r.integers(1, 7, n) * 50, r.integers(2, 6, m) * 50
+        for also in ((), (r.random(n) < .6, r.random(m) < .6, 10.0, 10.0, 2)):
+            got, want = X.exact(dp, dx, tp, tx, budget, *also), X.knapsack(dp, dx, tp, tx, budget, *also)
+            assert (got is None) == (want is None) and (got is None or [list(x) for x in got] == [list(x) for x in want])
+
+
+@pytest.mark.parametrize("method", ["greedy", "upgraded", "sampled"])
+def test_rows_of_a_batch_are_solved_together(monkeypatch, method):
+    """As if each were alone, in far fewer steps than rows."""
+    from types import SimpleNamespace
+    rows = []
+    for e in range(40):
+        dp, dx, tp, tx = field(e, 12 - e % 2, 6)
+        ids = lambda x: np.arange(1, len(x) + 1)
+        rows.append(SimpleNamespace(event_id=e, d_id=ids(dp), d_x=dx, d_p=dp, d_lo=dp - 5, d_hi=dp + 8, t_id=ids(tp), t_x=tx, t_p=tp, t_lo=tp - 5, t_hi=tp + 8))
+    calls, value_lineup = [], X.value_lineup
+    monkeypatch.setattr(X, "value_lineup", lambda *a, **k: calls.append(1) or value_lineup(*a, **k))
+    p, budgets = LN.DEFAULTS, np.array([900 + 10 * (e % 3) for e in range(40)])
+    together = LN.ideals(rows, method, budgets, p)
+    assert len(calls) <= 6
+    assert together == [LN.ideals([r], method, budgets[[i]], p)[0] for i, r in enumerate(rows)] and all(x[5] for x in together)
+
+
 def plain_greedy(p, x, k, budget):
     order = sorted(range(len(p)), key=lambda i: -(p[i] / x[i]))
     out, left = [], budget
