@@ -174,3 +174,13 @@ def test_stream_ingests_teams_and_scores(spark, tmp_path):
         put(folder + "/again", "2026-03-27-all-drivers-performance.csv", head + "26,Ann,T,Oz,race,Race Position,,1,26,26\n")
     rows = spark.read.parquet(str(tmp_path / "ds")).collect()
     assert [(r["name"], r["race"], r["points"], r["race_total"]) for r in rows] == [("Ann", "Oz", 26, 26)]
+
+
+def test_constructor_items_are_scored_once(spark, monkeypatch):
+    """Two headers a delivery read them, and each delivery again: from a written table, not from all laps."""
+    from apexgrid.catalog import files as CF
+    from apexgrid.catalog.bindings import Bindings
+    v = Bindings(spark, "/root/testdata/sf0.001")
+    rows = CF._scores(v, "constructor_score")
+    assert not any("lineitem" in f for f in rows.inputFiles()) and any("constructor-items" in f for f in rows.inputFiles())
+    assert CF._scores(Bindings(spark, "/root/testdata/sf0.001"), "constructor_score").inputFiles() == rows.inputFiles()
